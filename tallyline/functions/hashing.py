@@ -71,6 +71,17 @@ def digest_text(count: Column) -> Column:
     return sha256_hex(F.concat_ws(":", count.cast("string"), *sums))
 
 
-def fold_regex(text: Column, patterns: list[tuple[str, str, str]]) -> Column:
-    """Apply (name, pattern, replacement) entries one after the other."""
-    return reduce(lambda col, p: F.regexp_replace(col, p[1], p[2].replace("$", r"\$")), patterns, text)
+def fold_regex(text: Column, patterns: list[tuple[str, str, str]], needles: dict[str, str]) -> Column:
+    """Apply (name, pattern, replacement) entries one after the other.
+
+    `needles` names a lower-case text every match of a pattern contains; texts
+    without it skip the regular expression.
+    """
+
+    def one(col: Column, entry: tuple[str, str, str]) -> Column:
+        _, pattern, replacement = entry
+        replaced = F.regexp_replace(col, pattern, replacement.replace("$", r"\$"))
+        needle = needles.get(pattern)
+        return replaced if needle is None else F.when(F.contains(F.lower(col), F.lit(needle)), replaced).otherwise(col)
+
+    return reduce(one, patterns, text)

@@ -1,4 +1,4 @@
-"""Cutting lineage: results that several plans read are written once."""
+"""Where rows are kept: results written once, small inputs spread over all cores."""
 
 from __future__ import annotations
 
@@ -27,3 +27,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder now and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table read from fewer splits than there are cores to all cores.
+
+    For row-wise work that costs much more than a shuffle (regular expressions,
+    JSON). A table of many splits is left as it is. Apply it to the scan, before
+    other work.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,6 +7,8 @@ missing field, a JSON null and a value of the wrong type stay distinguishable.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,41 +123,55 @@ def check(raw: DataFrame) -> DataFrame:
         .withColumns({f"s_{n}": _text(n) for n in texts})
         .withColumn("amount_number", F.try_variant_get(F.col("v_amount_cents"), "$", "double"))
     )
+    rules = event_rules()
+    is_json = F.col("raw_kind").isin("object", "array")
+    # most rows are valid: one flag settles that before any message is built
+    suspect = parsed.withColumn("suspect", reduce(lambda x, y: x | y, [F.coalesce(r.broken, F.lit(False)) for r in rules]))
     messages = (
         F.when(F.col("raw_kind") == "malformed", F.array(F.lit("Event must be valid JSON")))
         .when(F.col("raw_kind") == "scalar", F.array(F.lit("Event must be an object")))
-        .otherwise(broken_rules(event_rules()))
+        .when(F.col("suspect"), broken_rules(rules))
+        .otherwise(F.array().cast("array<string>"))
     )
-    return parsed.withColumn("messages", messages)
+    # what lenient mode hashes for a rejected row: the fields as they were given
+    as_given = F.to_json(F.struct(*SCOPE, *[F.col(f"v_{n}").alias(n) for n in PLAIN_FIELDS]))
+    whole = F.col("amount_number") == F.floor("amount_number")
+    no_metadata = F.coalesce(F.col("t_metadata"), F.lit("VOID")) == "VOID"
+    checked = suspect.select(
+        *SCOPE,
+        "ingest_seq",
+        "raw",
+        "raw_kind",
+        "payload",
+        *[f"s_{n}" for n in texts],
+        F.when(whole, F.try_variant_get(F.col("v_amount_cents"), "$", "bigint")).alias("amount_cents"),
+        F.when(no_metadata, F.parse_json(F.lit("{}"))).otherwise(F.col("v_metadata")).alias("metadata"),
+        messages.alias("messages"),
+        F.when(F.col("suspect") & is_json, sha256_hex(as_given)).alias("given_hash"),
+    )
+    # a generator of one row: filters on `messages` stay above it, so the rules run once per row
+    return checked.select(F.inline(F.array(F.struct(*checked.columns))))
 
 
 def _normalised(checked: DataFrame, normalized_at: str) -> DataFrame:
-    whole = F.col("amount_number") == F.floor("amount_number")
-    as_given = F.to_json(
-        F.struct(*SCOPE, *[F.col(f"v_{n}").alias(n) for n in PLAIN_FIELDS])
-    )
     typed = checked.select(
         *SCOPE,
         *[F.col(f"s_{n}").alias(n) for n in ["event_id", "event_type", "customer_id", "subscription_id", "invoice_id"]],
         F.try_to_timestamp("s_timestamp").alias("timestamp"),
         F.col("s_timestamp").alias("timestamp_text"),
-        F.when(whole, F.try_variant_get(F.col("v_amount_cents"), "$", "bigint")).alias("amount_cents"),
+        "amount_cents",
         F.col("s_currency").alias("currency"),
         F.col("s_plan_id").alias("plan_id"),
         F.try_to_timestamp("s_period_start").alias("period_start"),
         F.try_to_timestamp("s_period_end").alias("period_end"),
-        F.when(F.coalesce(F.col("t_metadata"), F.lit("VOID")) == "VOID", F.parse_json(F.lit("{}")))
-        .otherwise(F.col("v_metadata"))
-        .alias("metadata"),
+        "metadata",
         F.col("payload").alias("raw_payload"),
         F.to_timestamp(F.lit(normalized_at)).alias("normalized_at"),
-        as_given.alias("as_given"),
         F.col("messages").alias("validation_errors"),
         "ingest_seq",
+        "given_hash",
     )
-    # a rejected row kept in lenient mode is hashed as given, a valid one as typed
-    hashed = F.when(F.size("validation_errors") == 0, source_hash()).otherwise(sha256_hex(F.col("as_given")))
-    return typed.withColumn("source_hash", hashed).select(*EVENT_COLUMNS)
+    return typed.withColumn("source_hash", F.coalesce("given_hash", source_hash())).select(*EVENT_COLUMNS)
 
 
 def events_of(checked: DataFrame, normalized_at: str, lenient: bool = False) -> DataFrame:

@@ -17,18 +17,30 @@ STYLES = {
     "inline": fixed.INLINE_PATTERNS,
     "list": fixed.PATTERN_LIST,
 }
+# a lower-case text that every match of the pattern contains
+NEEDLES = {
+    fixed.ASSIGNED_KEY: "_key",
+    fixed.ASSIGNED_TOKEN: "_token",
+    fixed.ASSIGNED_SECRET: "_secret",
+    fixed.SK_KEY: "sk-",
+    fixed.EMAIL: "@",
+    fixed.CLOUD_KEY_ID: "akia",
+    fixed.PEM_HEADER: "private key-----",
+    fixed.LIVE_PAYMENT_KEY: "sk_live_",
+    fixed.ACCESS_TOKEN: "ghp_",
+}
 
 
 def redact_text(text: Column, style: str, extra: list[tuple[str, str, str]] | None = None) -> Column:
     """Replace every match of the style's patterns, one pattern after the other."""
-    return fold_regex(text, [*STYLES[style], *(extra or [])])
+    return fold_regex(text, [*STYLES[style], *(extra or [])], NEEDLES)
 
 
 def is_sensitive(text: Column) -> Column:
     """True where any whole-value pattern occurs anywhere in the text."""
     hit = F.lit(False)
     for pattern in fixed.WHOLE_VALUE_PATTERNS:
-        hit = hit | text.rlike(pattern)
+        hit = hit | (F.contains(F.lower(text), F.lit(NEEDLES[pattern])) & text.rlike(pattern))
     return hit
 
 
@@ -46,8 +58,10 @@ def redact_hits(df: DataFrame, key: list[str], column: str) -> DataFrame:
     """How often each typed pattern matches a text, counted on the text the earlier patterns left."""
     counts, text = [], F.col(column)
     for name, pattern, replacement in fixed.TYPED_PATTERNS:
-        counts.append(F.regexp_count(text, F.lit(pattern)).cast("bigint").alias(name))
-        text = fold_regex(text, [(name, pattern, replacement)])
+        possible = F.contains(F.lower(text), F.lit(NEEDLES[pattern]))
+        found = F.when(possible, F.regexp_count(text, F.lit(pattern))).otherwise(F.lit(0))
+        counts.append(found.cast("bigint").alias(name))
+        text = fold_regex(text, [(name, pattern, replacement)], NEEDLES)
     names = [name for name, _, _ in fixed.TYPED_PATTERNS]
     return (
         df.select(*key, *counts)

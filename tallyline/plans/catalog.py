@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tallyline import fixed
 from tallyline.functions import columns as c
 from tallyline.functions.hashing import canonical_hash, canonical_json, source_hash
-from tallyline.functions.materialise import ensure_checkpoint_dir
+from tallyline.functions.materialise import ensure_checkpoint_dir, spread
 from tallyline.functions.skew import HeavyKeys
 from tallyline.functions.thresholds import Thresholds
 from tallyline.operators import (
@@ -114,7 +114,7 @@ class Inputs:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return derived.raw_billing(self.billing)
+        return derived.raw_billing(derived.billing_view(spread(self.events)))
 
     @cached_property
     def checked(self) -> DataFrame:
@@ -125,7 +125,7 @@ class Inputs:
             self.churn_customers,
             derived.usage_metrics(self.events),
             derived.support_tickets(self.table("orders")),
-            derived.plan_downgrades(self.billing),
+            derived.plan_downgrades(self.billing, self.heavy),
             thresholds,
             REFERENCE,
             REFERENCE,
@@ -171,7 +171,7 @@ class Inputs:
             self.churn_customers,
             derived.usage_metrics(self.events),
             derived.support_tickets(self.table("orders")),
-            derived.plan_downgrades(self.billing),
+            derived.plan_downgrades(self.billing, self.heavy),
             REFERENCE,
         )
         return analyze(self.billing, START, END, REFERENCE, churn_inputs=inputs)
@@ -623,7 +623,7 @@ def profile_violations(i: Inputs) -> DataFrame:
 
 # -- redaction ---------------------------------------------------------------------
 def _texts(i: Inputs) -> DataFrame:
-    return derived.planted_secrets(i.table("documents"))
+    return derived.planted_secrets(spread(i.table("documents")))
 
 
 @query
@@ -653,12 +653,12 @@ def redact_hits(i: Inputs) -> DataFrame:
 
 @query
 def redact_conversations(i: Inputs) -> DataFrame:
-    return redact.redact_columns(i.table("conversations"), ["text"], "list")
+    return redact.redact_columns(spread(i.table("conversations")), ["text"], "list")
 
 
 @query
 def redact_payload_keys(i: Inputs) -> DataFrame:
-    payloads = derived.event_payloads(i.events)
+    payloads = derived.event_payloads(spread(i.events))
     return payloads.withColumn("payload", redact.redact_payloads(F.col("payload")))
 
 

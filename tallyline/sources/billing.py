@@ -47,9 +47,13 @@ def read_raw(spark: SparkSession, path: str, tenant_id: str, project_id: str, la
     return with_scope(raw, tenant_id, project_id)
 
 
+# JSON carries times in full precision; ignored by the other layouts
+TIME_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def read_table(spark: SparkSession, path: str, layout: str = "parquet", schema: str | None = None) -> DataFrame:
     """Any typed table: events, usage metrics, tickets, downgrades, requests, metrics."""
-    reader = spark.read.format(layout)
+    reader = spark.read.format(layout).options(**TIME_OPTIONS)
     return (reader.schema(schema) if schema else reader).load(path)
 
 
@@ -110,6 +114,7 @@ def write_events(events: DataFrame, path: str, layout: str = "parquet", mode: st
         .write.partitionBy("tenant_id", "event_date")
         .mode(mode)
         .format(layout)
+        .options(**TIME_OPTIONS)
         .save(path)
     )
 
@@ -119,4 +124,4 @@ def write_table(df: DataFrame, path: str, layout: str = "parquet", mode: str = "
     texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "variant"]
     df.withColumns({c: F.to_json(c) for c in texts}).hint("rebalance", "tenant_id").write.partitionBy(
         "tenant_id"
-    ).mode(mode).format(layout).save(path)
+    ).mode(mode).format(layout).options(**TIME_OPTIONS).save(path)

@@ -7,10 +7,12 @@ faults, run logs and text with planted secrets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import iso_micros
+from tallyline.functions.ordered import ordered_scan
+from tallyline.functions.skew import HeavyKeys
 
 PERIOD_START = "2024-01-03T00:00:00Z"
 PERIOD_END = "2024-01-28T23:59:59.999Z"
@@ -180,17 +182,16 @@ def support_tickets(orders: DataFrame) -> DataFrame:
     )
 
 
-def plan_downgrades(billing: DataFrame) -> DataFrame:
-    """Plan changes to a smaller plan id after 17 January.
-
-    Test data only: the previous plan comes from a window per subscription.
-    """
-    chain = Window.partitionBy("tenant_id", "project_id", "subscription_id").orderBy(
-        "timestamp", "event_id", "ingest_seq"
-    )
+def plan_downgrades(billing: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
+    """Plan changes to a smaller plan id after 17 January."""
+    key = ["tenant_id", "project_id", "subscription_id"]
+    planned = billing.where(F.col("plan_id").isNotNull() & F.col("subscription_id").isNotNull())
+    planned = planned.select(*key, "customer_id", "plan_id", "timestamp", "event_id", "ingest_seq")
+    heavy = HeavyKeys(billing).of(key) if heavy is None else heavy.of(key)
     return (
-        billing.where(F.col("plan_id").isNotNull())
-        .withColumn("from_plan", F.lag("plan_id").over(chain))
+        ordered_scan(
+            planned, key, ["timestamp", "event_id", "ingest_seq"], previous={"from_plan": "plan_id"}, heavy=heavy
+        )
         .where(
             (F.col("plan_id") < F.col("from_plan"))
             & (F.col("timestamp") >= F.to_timestamp(F.lit("2024-01-17T00:00:00Z")))
