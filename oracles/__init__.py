@@ -375,6 +375,38 @@ FROM (SELECT *, sha256('{"job_type":"' || job_type || '","payload":' || payload
 oracle("job_requests", f"""
 SELECT {SCOPE}, trace_id, job_type, job_id, '1970-01-01T00:00:00.000Z' AS requested_at, payload, 'normal' AS priority,
   3 AS max_retries, timeout_seconds, metadata, idempotency_key FROM queue""")
+_HOOKS = """'"finops_hooks":{{"capability":"{cap}","cost_context":{{"cost_center":"' || tenant_id || ':' || project_id
+  || '","tags":["finops","{cap}"]}},"module_id":"finops","project_id":"' || project_id || '","tenant_id":"' || tenant_id || '"}}'"""
+_PATHS = """'./output/{kind}-' || tenant_id || '-' || project_id || '.json"'"""
+PARTS["alone"] = f"""
+SELECT *, 'autopilot.finops.anomaly_scan' AS job_type,
+  '{{' || {_HOOKS.format(cap='anomaly_detect')} || ',"ledger_path":"' || ledger_path || '","ledger_source":'
+  || {_FILE.format(p='ledger_path')} || ',"max_retries":3,"operation":"anomaly_scan","output":{{"anomalies_path":"'
+  || {_PATHS.format(kind='anomalies')} || '}},"thresholds":{{"dispute_spike_threshold":5,'
+  || '"payment_failure_spike_threshold":0.25,"refund_spike_threshold_cents":100000}},"timeout_seconds":300}}' AS payload,
+  '{{"triggered_by":"tallyline"}}' AS metadata
+FROM renter WHERE number % 4 <> 2
+UNION ALL
+SELECT *, 'autopilot.finops.churn_risk_report',
+  '{{' || {_HOOKS.format(cap='churn_assess')} || ',"inputs":{{"ledger":' || {_FILE.format(p='ledger_path')}
+  || coalesce(',"support_tickets":' || {_FILE.format(p='tickets_path')}, '')
+  || coalesce(',"usage_metrics":' || {_FILE.format(p='usage_path')}, '')
+  || '}},"max_retries":3,"operation":"churn_risk_report","output":{{"report_path":"' || {_PATHS.format(kind='churn')}
+  || '}},"timeout_seconds":600,"weights":{{"inactivity":0.1,"payment_failure":0.3,"plan_downgrade":0.15,'
+  || '"support_tickets":0.2,"usage_drop":0.25}}}}',
+  '{{"notes":"Operational insights only - not financial advice","triggered_by":"tallyline"}}'
+FROM renter WHERE number % 4 <> 3
+UNION ALL
+SELECT *, 'autopilot.finops.reconcile',
+  '{{"events_source":' || {_FILE.format(p='events_path')} || ',' || {_HOOKS.format(cap='mrr_reconcile')}
+  || ',"max_retries":3,"operation":"reconcile","output":{{"ledger_path":"' || {_PATHS.format(kind='ledger')}
+  || ',"report_path":"' || {_PATHS.format(kind='recon')} || '}},"period_end":"{PERIOD_B}","period_start":"{PERIOD_A}","timeout_seconds":300}}',
+  '{{"notes":"Events source: ' || events_path || '","triggered_by":"tallyline"}}'
+FROM renter WHERE number % 4 <> 1"""
+oracle("job_standalone_requests", f"""
+SELECT {SCOPE}, job_type, 'job-' || substr(sha256(job_type || ':' || tenant_id || ':' || project_id || ':' || payload), 1, 16)
+  AS job_id, '1970-01-01T00:00:00.000Z' AS requested_at, payload, 'normal' AS priority, 3 AS max_retries,
+  300 AS timeout_seconds, metadata FROM alone""")
 oracle("job_bundles", f"""
 SELECT {SCOPE}, trace_id, count(*) AS job_count,
   sha256('{{"metadata":{{"job_count":' || count(*) || '}},"module_id":"finops","project_id":"' || project_id

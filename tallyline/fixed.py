@@ -282,3 +282,23 @@ JOB_TIMEOUTS = {JOB_ANOMALY_SCAN: 300, JOB_CHURN_RISK: 600, JOB_RECONCILE: 300}
 JOB_MAX_RETRIES = 3
 DRY_RUN_FIELD = "jobforge_dry_run"
 ACTION_FIELDS = ["action", "action_type", "action_name"]
+
+# -- fixed values: stand-alone requests ----------------------------------------
+STANDALONE_CAPABILITIES = {
+    JOB_ANOMALY_SCAN: "anomaly_detect",
+    JOB_CHURN_RISK: "churn_assess",
+    JOB_RECONCILE: "mrr_reconcile",
+}
+CHURN_NOTE = "Operational insights only - not financial advice"
+SCAN_THRESHOLDS = {
+    "refund_spike_threshold_cents": 100000,
+    "dispute_spike_threshold": 5,
+    "payment_failure_spike_threshold": 0.25,
+}
+CHURN_WEIGHTS = {
+    "payment_failure": 0.3,
+    "usage_drop": 0.25,
+    "support_tickets": 0.2,
+    "plan_downgrade": 0.15,
+    "inactivity": 0.1,
+}

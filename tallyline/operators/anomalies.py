@@ -270,7 +270,9 @@ def refund_spikes(
             percent_text(F.col("cents"), F.col("revenue")),
             F.lit("% of revenue)"),
         ),
-        confidence=F.when((limit_pct == 0) & (pct > 0), 1.0).otherwise(F.least(F.try_divide(pct, limit_pct), F.lit(1.0))),
+        confidence=F.when((limit_pct == 0) & (pct > 0), 1.0).when(
+            limit_pct != 0, F.least(F.try_divide(pct, limit_pct), F.lit(1.0))
+        ),
         expected=allowed,
         observed=F.col("cents"),
         difference=F.col("cents") - allowed,

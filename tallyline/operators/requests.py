@@ -116,6 +116,64 @@ def job_requests(tenants: DataFrame, requested_at: str = fixed.STABLE_TIMESTAMP)
     )
 
 
+def standalone_requests(
+    tenants: DataFrame, requested_at: str, triggered_by: str, priority: str = "normal", max_retries: int = 3
+) -> DataFrame:
+    """Requests outside a bundle: the payload carries hooks, thresholds or weights and its own limits.
+
+    The ids of critical findings to look at first are a table of their own
+    (`priority_ids`), since their number grows with the tenant.
+    """
+    constants = lambda values: F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
+    extra = {
+        fixed.JOB_ANOMALY_SCAN: [
+            F.col("anomaly_ledger_path").alias("ledger_path"),
+            constants(fixed.SCAN_THRESHOLDS).alias("thresholds"),
+        ],
+        fixed.JOB_CHURN_RISK: [constants(fixed.CHURN_WEIGHTS).alias("weights")],
+        fixed.JOB_RECONCILE: [],
+    }
+    notes = {
+        fixed.JOB_ANOMALY_SCAN: F.lit(None).cast("string"),
+        fixed.JOB_CHURN_RISK: F.lit(fixed.CHURN_NOTE),
+        fixed.JOB_RECONCILE: F.concat(F.lit("Events source: "), "reconcile_events_path"),
+    }
+    entries = []
+    for job, (wanted, payload) in _payloads().items():
+        more = F.struct(
+            cost_hooks(F.lit(fixed.STANDALONE_CAPABILITIES[job])).alias("finops_hooks"),
+            F.lit(max_retries).alias("max_retries"),
+            F.lit(fixed.JOB_TIMEOUTS[job]).alias("timeout_seconds"),
+            *extra[job],
+        )
+        basic, added = F.to_json(payload), F.to_json(more)
+        joined = F.concat(F.substring(basic, F.lit(1), F.length(basic) - 1), F.lit(","), F.substr(added, F.lit(2)))
+        entries.append(
+            F.when(
+                wanted,
+                F.struct(
+                    F.lit(job).alias("job_type"),
+                    canonical_json(joined).alias("payload"),
+                    F.to_json(F.struct(notes[job].alias("notes"), F.lit(triggered_by).alias("triggered_by"))).alias(
+                        "metadata"
+                    ),
+                ),
+            )
+        )
+    identity = sha256_hex(F.concat_ws(":", "job_type", *SCOPE, "payload"))
+    return tenants.select(*SCOPE, F.inline(F.array_compact(F.array(*entries)))).select(
+        *SCOPE,
+        "job_type",
+        F.concat(F.lit("job-"), F.substring(identity, 1, 16)).alias("job_id"),
+        F.lit(requested_at).alias("requested_at"),
+        "payload",
+        F.lit(priority).alias("priority"),
+        F.lit(fixed.JOB_MAX_RETRIES).alias("max_retries"),
+        F.lit(300).alias("timeout_seconds"),
+        "metadata",
+    )
+
+
 def request_bundles(requests: DataFrame) -> DataFrame:
     """One bundle per tenant and trace with its canonical hash; at most three requests each."""
     plain = ["idempotency_key", "job_id", "job_type", "max_retries", "priority", "project_id", "requested_at"]

@@ -581,6 +581,11 @@ def job_requests(i: Inputs) -> DataFrame:
     return i.requests
 
 
+@query
+def job_standalone_requests(i: Inputs) -> DataFrame:
+    return requests.standalone_requests(i.tenants, fixed.STABLE_TIMESTAMP, "tallyline")
+
+
 @query
 def job_bundles(i: Inputs) -> DataFrame:
     return requests.request_bundles(i.requests).select(*c.SCOPE, "trace_id", "job_count", "canonical_hash")

@@ -36,12 +36,18 @@ def with_scope(raw: DataFrame, tenant_id: str, project_id: str) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, path: str, tenant_id: str, project_id: str, layout: str = "lines") -> DataFrame:
-    """Raw events: 'lines' is one JSON value per line (splittable), 'array' a JSON array per file."""
+    """Raw events: 'lines' is one JSON value per line (splittable), 'array' a JSON array per file.
+
+    A JSON array is one document and one task; large exports should use lines
+    or many files.
+    """
     if layout == "lines":
         raw = spark.read.text(path).withColumnRenamed("value", "raw")
     elif layout == "array":
-        rows = spark.read.option("multiLine", True).option("singleVariantColumn", "payload").json(path)
-        raw = rows.select(F.to_json("payload").alias("raw"))
+        whole = spark.read.option("multiLine", True).option("singleVariantColumn", "payload").json(path)
+        arrays = whole.where(F.schema_of_variant("payload").startswith("ARRAY"))
+        elements = arrays.lateralJoin(spark.tvf.variant_explode(F.col("payload").outer()))
+        raw = elements.select(F.to_json("value").alias("raw"))
     else:
         raise ValueError(f"unknown layout {layout!r}")
     return with_scope(raw, tenant_id, project_id)
