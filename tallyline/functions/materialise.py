@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +24,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder now and continue from there."""
+def store(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the checkpoint folder now and read them from there.
+
+    The stored table is columnar, so each reader takes only its columns, and a
+    lost executor costs a re-read, not a re-computation.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.functions.materialise import materialise
+from tallyline.functions.materialise import ensure_checkpoint_dir
 
 
 def ranked(df: DataFrame, groups: list[str], order: list[Column | str], out: str) -> DataFrame:
@@ -15,8 +15,10 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column | str], out: str
     table is range-sorted over all tasks and stored; a row's number is its place
     in its chunk plus the rows its group has in earlier chunks.
     """
-    stored = materialise(df.orderBy(*groups, *order)).withColumn("place", F.monotonically_increasing_id())
-    chunked = stored.withColumn("chunk", F.shiftright("place", 33))
+    ensure_checkpoint_dir(df.sparkSession)
+    # a checkpoint keeps the sorted chunks and their order, which the row ids below rely on
+    stored = df.orderBy(*groups, *order).checkpoint(eager=True)
+    chunked = stored.withColumn("place", F.monotonically_increasing_id()).withColumn("chunk", F.shiftright("place", 33))
     earlier = Window.partitionBy(*groups).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         chunked.groupBy(*groups, "chunk")

@@ -26,24 +26,34 @@ def heavy_keys(counts: DataFrame, keys: list[str]) -> DataFrame:
 class HeavyKeys:
     """Heavy keys of one event table, looked up once per key and usually absent.
 
-    `of` counts rows per key (partial aggregation, key columns only) and answers
-    None when no key is heavy, so that ordinary data gets the plain plan.
+    Rows are counted per key (partial aggregation, key columns only). `of`
+    answers None when no key is heavy, so that ordinary data gets the plain plan.
     """
 
     def __init__(self, events: DataFrame):
         self.events = events
         self.known: dict[tuple[str, ...], DataFrame | None] = {}
 
+    def look_up(self, *key_sets: list[str]) -> HeavyKeys:
+        """Count several keys in one pass over the events. All share the leading tenant columns."""
+        new = [k for k in map(tuple, key_sets) if k not in self.known]
+        if not new:
+            return self
+        scope, names = list(new[0][:-1]), [k[-1] for k in new]
+        keys = [*scope, "key_name", "key"]
+        each = F.inline(F.array(*[F.struct(F.lit(n).alias("key_name"), F.col(n).alias("key")) for n in names]))
+        rows = self.events.select(*scope, each).where(F.col("key").isNotNull())
+        heavy = heavy_keys(key_counts(rows, keys), keys).persist()
+        none = heavy.isEmpty()
+        for key_set in new:
+            own = heavy.where(F.col("key_name") == key_set[-1]).select(*scope, F.col("key").alias(key_set[-1]))
+            self.known[key_set] = None if none else own
+        if none:
+            heavy.unpersist()
+        return self
+
     def of(self, keys: list[str]) -> DataFrame | None:
-        name = tuple(keys)
-        if name not in self.known:
-            rows = self.events.select(*keys).dropna(subset=keys)
-            heavy = heavy_keys(key_counts(rows, keys), keys).persist()
-            if heavy.isEmpty():
-                heavy.unpersist()
-                heavy = None
-            self.known[name] = heavy
-        return self.known[name]
+        return self.look_up(keys).known[tuple(keys)]
 
 
 def split_join(
@@ -66,11 +76,13 @@ def split_join(
     return spread.unionByName(local)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: Column) -> DataFrame:
-    """Inner join with a table of a few rows per tenant: every row is copied once per salt.
+def salted_join(
+    big: DataFrame, small: DataFrame, keys: list[str], spread_by: Column, how: str = "inner"
+) -> DataFrame:
+    """Join with a table of a few rows per tenant: every row is copied once per salt.
 
     For joins on the tenant alone, where a single tenant is always heavy.
     """
     salted = big.withColumn("salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "salt"]).drop("salt")
+    return salted.join(copies, [*keys, "salt"], how).drop("salt")

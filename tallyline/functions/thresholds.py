@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyline import fixed
 from tallyline.functions.columns import SCOPE
+from tallyline.functions.skew import salted_join
 
 
 @dataclass(frozen=True)
@@ -47,11 +48,20 @@ def literal(thresholds: Thresholds, name: str) -> Column:
     return F.lit(getattr(thresholds, name)).cast(field_type(name))
 
 
-def attach(df: DataFrame, thresholds: Thresholds | DataFrame, *names: str) -> DataFrame:
-    """Add threshold columns: literals, or joined on the tenant with base values for unlisted tenants."""
+def attach(
+    df: DataFrame, thresholds: Thresholds | DataFrame, *names: str, spread_by: str | None = None
+) -> DataFrame:
+    """Add threshold columns: literals, or joined on the tenant with base values for unlisted tenants.
+
+    `spread_by` names a column that varies within a tenant; a table with many
+    rows per tenant is then joined in slices of each tenant.
+    """
     if isinstance(thresholds, Thresholds):
         return df.withColumns({n: literal(thresholds, n) for n in names})
-    base = Thresholds()
-    return df.join(thresholds.select(*SCOPE, *names), SCOPE, "left").withColumns(
-        {n: F.coalesce(F.col(n), literal(base, n)) for n in names}
+    base, own = Thresholds(), thresholds.select(*SCOPE, *names)
+    joined = (
+        df.join(own, SCOPE, "left")
+        if spread_by is None
+        else salted_join(df, own, SCOPE, F.col(spread_by), "left")
     )
+    return joined.withColumns({n: F.coalesce(F.col(n), literal(base, n)) for n in names})

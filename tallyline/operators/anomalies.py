@@ -22,8 +22,8 @@ from tallyline.functions.columns import (
     present,
     round_half_up,
 )
-from tallyline.functions.hashing import anomaly_id
-from tallyline.functions.materialise import materialise
+from tallyline.functions.hashing import anomaly_id, key_hash
+from tallyline.functions.materialise import store
 from tallyline.functions.ordered import ordered_scan
 from tallyline.functions.skew import HeavyKeys, heavy_keys, key_counts, salted_join, split_join
 from tallyline.functions.thresholds import Thresholds, attach
@@ -31,6 +31,7 @@ from tallyline.functions.thresholds import Thresholds, attach
 EVENT = [*SCOPE, "event_id"]
 SUBSCRIPTION = [*SCOPE, "subscription_id"]
 INVOICE = [*SCOPE, "invoice_id"]
+SPIKE_TYPES = {"refund_spike": fixed.REFUND_TYPES, "dispute_spike": fixed.DISPUTE_TYPES}
 ANOMALY_COLUMNS = [
     *SCOPE,
     "anomaly_id",
@@ -57,7 +58,7 @@ def _anomaly(
     severity: Column | str,
     description: Column,
     confidence: Column | float,
-    action: str | None = None,
+    action: Column | None = None,
     customer: Column | None = None,
     subscription: Column | None = None,
     expected: Column | None = None,
@@ -81,7 +82,7 @@ def _anomaly(
         number(observed).alias("observed_value"),
         number(difference).alias("difference"),
         lit(confidence).cast("double").alias("confidence"),
-        F.lit(action or fixed.ANOMALY_ACTIONS[kind]).alias("recommended_action"),
+        lit(fixed.ANOMALY_ACTIONS[kind] if action is None else action).alias("recommended_action"),
     )
 
 
@@ -93,11 +94,12 @@ def duplicate_events(events: DataFrame, thresholds: Thresholds | DataFrame, refe
     gap 0, so no later copy can matter. That cut runs before the shuffle.
     """
     narrow = events.select(*EVENT, "timestamp", "ingest_seq", "event_type", "customer_id")
-    repeated = materialise(key_counts(narrow, EVENT).where(F.col("n") >= 2))
+    repeated = store(key_counts(narrow, EVENT).where(F.col("n") >= 2))
     heavy = heavy_keys(repeated, EVENT)
+    heavy = None if heavy.isEmpty() else heavy
     same_instant = Window.partitionBy(*EVENT, "timestamp").orderBy("ingest_seq")
     copies = (
-        narrow.join(repeated.select(*EVENT), EVENT, "left_semi")
+        split_join(narrow, repeated.select(*EVENT), EVENT, "left_semi", heavy)
         .withColumn("copy", F.row_number().over(same_instant))
         .where(F.col("copy") <= 2)
     )
@@ -107,11 +109,14 @@ def duplicate_events(events: DataFrame, thresholds: Thresholds | DataFrame, refe
         ["timestamp", "ingest_seq"],
         counts={"position": F.lit(True)},
         previous={"previous_at": "timestamp"},
-        heavy=None if heavy.isEmpty() else heavy,
+        heavy=heavy,
     )
     gap = millis_between(F.col("timestamp"), F.col("previous_at"))
     close = attach(
-        placed.where(F.col("previous_at").isNotNull()).withColumn("gap", gap), thresholds, "duplicate_event_window_seconds"
+        placed.where(F.col("previous_at").isNotNull()).withColumn("gap", gap),
+        thresholds,
+        "duplicate_event_window_seconds",
+        spread_by="event_id",
     ).where(F.col("gap") < F.col("duplicate_event_window_seconds") * 1000)
     first = close.groupBy(*EVENT).agg(
         F.min_by(F.struct("position", "gap", "event_type", "customer_id"), "position").alias("hit")
@@ -227,89 +232,129 @@ def double_charges(events: DataFrame, reference_date: str) -> DataFrame:
     )
 
 
-def _tenant_sums(events: DataFrame, types: list[str], totals: DataFrame) -> DataFrame:
+def _tenant_sums(events: DataFrame, totals: DataFrame) -> DataFrame:
+    """Refunds and disputes per tenant beside its revenue, in one pass."""
+    sums = []
+    for name, types in SPIKE_TYPES.items():
+        own = F.col("event_type").isin(types)
+        sums.append(F.count_if(own).alias(f"{name}_n"))
+        sums.append(F.coalesce(F.sum(F.when(own, F.col("amount_cents"))), F.lit(0)).alias(f"{name}_cents"))
+    any_type = [t for types in SPIKE_TYPES.values() for t in types]
     return (
-        events.where(F.col("event_type").isin(types))
+        events.where(F.col("event_type").isin(any_type))
         .groupBy(*SCOPE)
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("amount_cents"), F.lit(0)).alias("cents"))
+        .agg(*sums)
         .join(totals.select(*SCOPE, F.col("total_paid_cents").alias("revenue")), SCOPE, "left")
         .withColumn("revenue", F.coalesce("revenue", F.lit(0)))
     )
 
 
-def refund_spikes(
+def tenant_spikes(
     events: DataFrame, totals: DataFrame, thresholds: Thresholds | DataFrame, reference_date: str
 ) -> DataFrame:
-    """Tenants whose refunds exceed the limit in cents; critical beyond the share of revenue."""
-    limit_pct = F.col("refund_spike_threshold_pct")
-    pct = F.col("pct")
-    spikes = (
-        attach(
-            _tenant_sums(events, fixed.REFUND_TYPES, totals),
-            thresholds,
-            "refund_spike_threshold_cents",
-            "refund_spike_threshold_pct",
-        )
-        .where(F.col("cents") > F.col("refund_spike_threshold_cents"))
-        .withColumn(
-            "pct",
-            F.when(F.col("revenue") > 0, F.try_divide(F.col("cents"), F.col("revenue")) * 100).otherwise(F.lit(0.0)),
-        )
+    """Refund and dispute spikes of each tenant.
+
+    Refunds: more cents than the limit; critical beyond the given share of
+    revenue. Disputes: at least as many as the limit; critical beyond twice it.
+    """
+    sums = attach(
+        _tenant_sums(events, totals),
+        thresholds,
+        "refund_spike_threshold_cents",
+        "refund_spike_threshold_pct",
+        "dispute_spike_threshold",
     )
-    allowed = F.col("revenue") * limit_pct / 100
-    found = _anomaly(
-        spikes,
+    revenue, limit_pct = F.col("revenue"), F.col("refund_spike_threshold_pct")
+    refunded, disputed = F.col("refund_spike_cents"), F.col("dispute_spike_cents")
+    n, limit = F.col("dispute_spike_n"), F.col("dispute_spike_threshold")
+    pct = F.when(revenue > 0, F.try_divide(refunded, revenue) * 100).otherwise(F.lit(0.0))
+    allowed = revenue * limit_pct / 100
+
+    def spike(kind: str, severity: Column, text: list[Column], expected, observed, difference, confidence) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            severity.alias("severity"),
+            F.concat(*text).alias("description"),
+            expected.cast("double").alias("expected"),
+            observed.cast("double").alias("observed"),
+            difference.cast("double").alias("difference"),
+            confidence.cast("double").alias("confidence"),
+            F.lit(fixed.ANOMALY_ACTIONS[kind]).alias("action"),
+        )
+
+    refund = spike(
         "refund_spike",
-        reference_date,
-        reference=F.lit("total"),
-        severity=F.when(pct > limit_pct, "critical").otherwise("high"),
-        description=F.concat(
+        F.when(pct > limit_pct, "critical").otherwise("high"),
+        [
             F.lit("Refund spike detected: $"),
-            dollars(F.col("cents")),
+            dollars(refunded),
             F.lit(" in refunds ("),
-            percent_text(F.col("cents"), F.col("revenue")),
+            percent_text(refunded, revenue),
             F.lit("% of revenue)"),
-        ),
-        confidence=F.when((limit_pct == 0) & (pct > 0), 1.0).when(
+        ],
+        allowed,
+        refunded,
+        refunded - allowed,
+        F.when((limit_pct == 0) & (pct > 0), 1.0).when(
             limit_pct != 0, F.least(F.try_divide(pct, limit_pct), F.lit(1.0))
         ),
-        expected=allowed,
-        observed=F.col("cents"),
-        difference=F.col("cents") - allowed,
     )
-    # an undefined confidence (limit 0 and no revenue) makes the finding invalid
-    return found.where(F.col("confidence").between(0, 1))
-
-
-def dispute_spikes(
-    events: DataFrame, totals: DataFrame, thresholds: Thresholds | DataFrame, reference_date: str
-) -> DataFrame:
-    """Tenants with at least as many disputes as the limit; critical beyond twice the limit."""
-    limit = F.col("dispute_spike_threshold")
-    n = F.col("n")
-    spikes = attach(_tenant_sums(events, fixed.DISPUTE_TYPES, totals), thresholds, "dispute_spike_threshold").where(
-        n >= limit
-    )
-    return _anomaly(
-        spikes,
+    dispute = spike(
         "dispute_spike",
-        reference_date,
-        reference=F.lit("total"),
-        severity=F.when(n > limit * 2, "critical").otherwise("high"),
-        description=F.concat(
+        F.when(n > limit * 2, "critical").otherwise("high"),
+        [
             F.lit("Dispute spike: "),
             n.cast("string"),
             F.lit(" disputes ($"),
-            dollars(F.col("cents")),
+            dollars(disputed),
             F.lit(", "),
-            percent_text(F.col("cents"), F.col("revenue")),
+            percent_text(disputed, revenue),
             F.lit("% of revenue)"),
-        ),
-        confidence=F.when(limit == 0, 1.0).otherwise(F.least(F.try_divide(n, limit * 2), F.lit(1.0))),
-        expected=limit,
-        observed=n,
-        difference=n - limit,
+        ],
+        limit,
+        n,
+        n - limit,
+        F.when(limit == 0, 1.0).otherwise(F.least(F.try_divide(n, limit * 2), F.lit(1.0))),
+    )
+    has_refunds = (F.col("refund_spike_n") > 0) & (refunded > F.col("refund_spike_threshold_cents"))
+    found = sums.select(
+        *SCOPE,
+        F.inline(F.array_compact(F.array(F.when(has_refunds, refund), F.when((n > 0) & (n >= limit), dispute)))),
     )
+    kind = F.col("kind")
+    return found.select(
+        *SCOPE,
+        F.concat(
+            F.lit("anomaly-"), kind, F.lit("-"), key_hash(kind, F.col("tenant_id"), F.col("project_id"), F.lit("total"))
+        ).alias("anomaly_id"),
+        kind.alias("anomaly_type"),
+        "severity",
+        instant(reference_date).alias("detected_at"),
+        F.lit("total").alias("reference"),
+        F.lit(None).cast("string").alias("customer_id"),
+        F.lit(None).cast("string").alias("subscription_id"),
+        "description",
+        F.col("expected").alias("expected_value"),
+        F.col("observed").alias("observed_value"),
+        "difference",
+        "confidence",
+        F.col("action").alias("recommended_action"),
+        # an undefined confidence (limit 0 and no revenue) makes the finding invalid
+    ).where(F.col("confidence").between(0, 1))
+
+
+def refund_spikes(
+    events: DataFrame, totals: DataFrame, thresholds: Thresholds | DataFrame, reference_date: str
+) -> DataFrame:
+    spikes = tenant_spikes(events, totals, thresholds, reference_date)
+    return spikes.where(F.col("anomaly_type") == "refund_spike")
+
+
+def dispute_spikes(
+    events: DataFrame, totals: DataFrame, thresholds: Thresholds | DataFrame, reference_date: str
+) -> DataFrame:
+    spikes = tenant_spikes(events, totals, thresholds, reference_date)
+    return spikes.where(F.col("anomaly_type") == "dispute_spike")
 
 
 def payment_failure_spikes(customers: DataFrame, thresholds: Thresholds | DataFrame, reference_date: str) -> DataFrame:
@@ -321,6 +366,7 @@ def payment_failure_spikes(customers: DataFrame, thresholds: Thresholds | DataFr
             customers.select(*SCOPE, "customer_id", "payment_failure_count_30d", "last_payment_at"),
             thresholds,
             "payment_failure_spike_threshold",
+            spread_by="customer_id",
         )
         .withColumn("attempts", failures + F.when(F.col("last_payment_at").isNotNull(), 1).otherwise(0))
         .where(F.col("attempts") > 0)
@@ -349,69 +395,67 @@ def payment_failure_spikes(customers: DataFrame, thresholds: Thresholds | DataFr
     )
 
 
-def _sequence(events: DataFrame, heavy: DataFrame | None) -> DataFrame:
-    """Cancellations and payments with the subscription's first creation and first cancellation.
+def out_of_sequence(events: DataFrame, reference_date: str, heavy: DataFrame | None = None) -> DataFrame:
+    """Cancellations before any creation, and payments after any cancellation, of one subscription.
 
-    Being before every creation or after some cancellation only depends on the
-    first one, so an aggregate and a join replace an ordered pass.
+    Both only depend on the subscription's first creation and first
+    cancellation, so an aggregate and a join replace an ordered pass. A later
+    creation does not reset a cancellation.
     """
     rows = events.where(present("subscription_id"))
     place = event_order()
+    kind = F.col("event_type")
+    first_of = lambda t: F.min(F.when(kind == t, F.col("place")))
     firsts = (
         rows.select(*SUBSCRIPTION, "event_type", place.alias("place"))
         .groupBy(*SUBSCRIPTION)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.min(F.when(F.col("event_type") == "subscription_created", F.col("place"))).alias("first_created"),
-            F.min(F.when(F.col("event_type") == "subscription_cancelled", F.col("place"))).alias("first_cancelled"),
+            first_of("subscription_created").alias("first_created"),
+            first_of("subscription_cancelled").alias("first_cancelled"),
         )
         .where((F.col("n") >= 2) & F.col("first_cancelled").isNotNull())
         .drop("n")
     )
-    touched = rows.where(F.col("event_type").isin("subscription_cancelled", *fixed.PAYMENT_TYPES)).select(
+    touched = rows.where(kind.isin("subscription_cancelled", *fixed.PAYMENT_TYPES)).select(
         *SUBSCRIPTION, "customer_id", "event_type", "event_id", place.alias("place")
     )
-    return split_join(touched, firsts, SUBSCRIPTION, "inner", heavy)
-
-
-def cancel_before_create(events: DataFrame, reference_date: str, heavy: DataFrame | None = None) -> DataFrame:
-    """Cancellations with no earlier creation of their subscription."""
-    found = _sequence(events, heavy).where(
-        (F.col("event_type") == "subscription_cancelled")
-        & (F.col("first_created").isNull() | (F.col("place") < F.col("first_created")))
-    )
-    return _out_of_sequence(
-        found, reference_date, "medium", "Cancel event before create for subscription ", 0.9, "cancel_before_create"
+    early_cancel = (kind == "subscription_cancelled") & (
+        F.col("first_created").isNull() | (F.col("place") < F.col("first_created"))
     )
-
-
-def payment_after_cancel(events: DataFrame, reference_date: str, heavy: DataFrame | None = None) -> DataFrame:
-    """Payments after any cancellation of their subscription; a later creation does not reset it."""
-    found = _sequence(events, heavy).where(
-        F.col("event_type").isin(fixed.PAYMENT_TYPES) & (F.col("place") > F.col("first_cancelled"))
-    )
-    return _out_of_sequence(
-        found, reference_date, "low", "Payment event after cancellation for subscription ", 0.6, "payment_after_cancel"
-    )
-
-
-def _out_of_sequence(
-    found: DataFrame, reference_date: str, severity: str, text: str, confidence: float, action: str
-) -> DataFrame:
+    late_payment = kind.isin(fixed.PAYMENT_TYPES) & (F.col("place") > F.col("first_cancelled"))
+    found = split_join(touched, firsts, SUBSCRIPTION, "inner", heavy).where(early_cancel | late_payment)
+    is_cancel = kind == "subscription_cancelled"
+    either = lambda x, y: F.when(is_cancel, F.lit(x)).otherwise(F.lit(y))
     return _anomaly(
         found,
         "out_of_sequence",
         reference_date,
         reference=F.col("event_id"),
-        severity=severity,
-        description=F.concat(F.lit(text), "subscription_id"),
-        confidence=confidence,
-        action=fixed.ANOMALY_ACTIONS[action],
+        severity=either("medium", "low"),
+        description=F.concat(
+            either(
+                "Cancel event before create for subscription ", "Payment event after cancellation for subscription "
+            ),
+            "subscription_id",
+        ),
+        confidence=either(0.9, 0.6),
+        action=either(
+            fixed.ANOMALY_ACTIONS["cancel_before_create"], fixed.ANOMALY_ACTIONS["payment_after_cancel"]
+        ),
         customer=F.col("customer_id"),
         subscription=F.col("subscription_id"),
     )
 
 
+def cancel_before_create(events: DataFrame, reference_date: str, heavy: DataFrame | None = None) -> DataFrame:
+    return out_of_sequence(events, reference_date, heavy).where(F.col("severity") == "medium")
+
+
+def payment_after_cancel(events: DataFrame, reference_date: str, heavy: DataFrame | None = None) -> DataFrame:
+    return out_of_sequence(events, reference_date, heavy).where(F.col("severity") == "low")
+
+
 def detect(
     events: DataFrame,
     subscriptions: DataFrame,
@@ -427,11 +471,9 @@ def detect(
         duplicate_events(events, thresholds, reference_date),
         missing_invoices(events, subscriptions, reference_date, heavy_subscriptions),
         double_charges(events, reference_date),
-        refund_spikes(events, totals, thresholds, reference_date),
-        dispute_spikes(events, totals, thresholds, reference_date),
+        tenant_spikes(events, totals, thresholds, reference_date),
         payment_failure_spikes(customers, thresholds, reference_date),
-        cancel_before_create(events, reference_date, heavy_subscriptions),
-        payment_after_cancel(events, reference_date, heavy_subscriptions),
+        out_of_sequence(events, reference_date, heavy_subscriptions),
     ]
     return reduce(DataFrame.unionByName, found)
 
@@ -457,7 +499,7 @@ def stats_by_severity(anomalies: DataFrame, scopes: DataFrame) -> DataFrame:
 
 def affected_events(anomalies: DataFrame, events: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
     """(anomaly, event) rows: a table instead of lists that grow with the tenant."""
-    heavy = heavy or HeavyKeys(events)
+    heavy = (heavy or HeavyKeys(events)).look_up(SUBSCRIPTION, INVOICE)
     of_type = lambda t: anomalies.where(F.col("anomaly_type") == t)
     about = lambda t, key: of_type(t).select(*SCOPE, "anomaly_id", F.col("reference").alias(key)).distinct()
     out = [*SCOPE, "anomaly_id", "event_id"]
@@ -487,6 +529,6 @@ def affected_events(anomalies: DataFrame, events: DataFrame, heavy: HeavyKeys |
             SCOPE,
             F.col("event_id"),
         ).select(*out)
-        for kind, types in (("refund_spike", fixed.REFUND_TYPES), ("dispute_spike", fixed.DISPUTE_TYPES))
+        for kind, types in SPIKE_TYPES.items()
     ]
     return reduce(DataFrame.unionByName, [pair, single, of_subscription, of_invoice, *of_tenant])

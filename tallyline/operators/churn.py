@@ -94,6 +94,7 @@ def churn_features(
         "risk_score_low_threshold",
         "risk_score_medium_threshold",
         "risk_score_high_threshold",
+        spread_by="customer_id",
     )
     failures = F.col("payment_failure_count_30d")
     tickets_n = F.col("support_tickets_count")

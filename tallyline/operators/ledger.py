@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyline import fixed
 from tallyline.functions.columns import ORDER_FIELDS, SCOPE, event_order, instant, present
-from tallyline.functions.materialise import materialise
+from tallyline.functions.materialise import store
 from tallyline.functions.ordered import ordered_scan
 from tallyline.functions.skew import HeavyKeys
 
@@ -52,28 +52,50 @@ def subscription_events(events: DataFrame, start: str, end: str, heavy: HeavyKey
     )
 
 
-def ledger_subscriptions(numbered: DataFrame) -> DataFrame:
-    """One row per subscription generation, from `subscription_events`."""
+def generation_states(numbered: DataFrame) -> DataFrame:
+    """What the events of each generation and customer leave behind, from `subscription_events`.
+
+    Small beside the events, and all the ledger needs of them: subscriptions
+    and customers are both rolled up from here.
+    """
     created = F.col("event_type") == "subscription_created"
     updated = F.col("event_type") == "subscription_updated"
     cancelled = F.col("event_type") == "subscription_cancelled"
-    place = event_order()
-    sets_field = created | updated
+    place = event_order().alias("place")
     time_or = lambda name: F.when(created, F.coalesce(name, "timestamp")).otherwise(F.col(name))
     amount = F.when(created, F.coalesce("amount_cents", F.lit(0))).otherwise(F.col("amount_cents"))
     start, end = time_or("period_start"), time_or("period_end")
+    # the value of the last event that sets the field, with its place
+    last = lambda value, is_set: F.max(
+        F.when((created | updated) & is_set, F.struct(place, value.alias("value")))
+    )
     return (
         numbered.where(F.col("generation") > 0)
-        .groupBy(*SUBSCRIPTION, "generation")
+        .groupBy(*SUBSCRIPTION, "generation", "customer_id")
         .agg(
-            F.max(F.when(created, F.col("customer_id"))).alias("customer_id"),
-            F.max_by("plan_id", F.when(sets_field & present("plan_id"), place)).alias("plan_id"),
-            F.max(F.when(cancelled, F.col("timestamp"))).alias("canceled_at"),
-            F.max_by(start, F.when(sets_field & start.isNotNull(), place)).alias("current_period_start"),
-            F.max_by(end, F.when(sets_field & end.isNotNull(), place)).alias("current_period_end"),
-            F.max_by(amount, F.when(sets_field & amount.isNotNull(), place)).alias("mrr_cents"),
-            F.max_by("currency", F.when(sets_field & present("currency"), place)).alias("currency"),
+            F.max(F.when(created, F.col("customer_id"))).alias("owner"),
+            last(F.col("plan_id"), present("plan_id")).alias("plan_id"),
+            last(start, start.isNotNull()).alias("current_period_start"),
+            last(end, end.isNotNull()).alias("current_period_end"),
+            last(amount, amount.isNotNull()).alias("mrr_cents"),
+            last(F.col("currency"), present("currency")).alias("currency"),
             F.max(F.when(created, F.col("timestamp"))).alias("created_at"),
+            F.max(F.when(cancelled, F.col("timestamp"))).alias("canceled_at"),
+            F.max("timestamp").alias("touched_at"),
+        )
+    )
+
+
+def ledger_subscriptions(states: DataFrame) -> DataFrame:
+    """One row per subscription generation, from `generation_states`."""
+    fields = ["plan_id", "current_period_start", "current_period_end", "mrr_cents", "currency"]
+    return (
+        states.groupBy(*SUBSCRIPTION, "generation")
+        .agg(
+            F.max("owner").alias("customer_id"),
+            *[F.max(c)["value"].alias(c) for c in fields],
+            F.max("created_at").alias("created_at"),
+            F.max("canceled_at").alias("canceled_at"),
         )
         .select(
             *SUBSCRIPTION,
@@ -92,12 +114,15 @@ def ledger_subscriptions(numbered: DataFrame) -> DataFrame:
     )
 
 
-def ledger_customers(events: DataFrame, numbered: DataFrame, start: str, end: str) -> DataFrame:
+def ledger_customers(events: DataFrame, states: DataFrame, start: str, end: str) -> DataFrame:
     """One row per customer an event of the period touched, without the MRR roll-up."""
     money = period_events(events, start, end).where(F.col("event_type").isin(fixed.MONEY_TYPES))
     touches = money.select(*CUSTOMER, "timestamp", "event_type", "amount_cents").unionByName(
-        numbered.where(F.col("generation") > 0).select(
-            *CUSTOMER, "timestamp", "event_type", F.lit(None).cast("bigint").alias("amount_cents")
+        states.select(
+            *CUSTOMER,
+            F.col("touched_at").alias("timestamp"),
+            F.lit("subscription").alias("event_type"),
+            F.lit(None).cast("bigint").alias("amount_cents"),
         )
     )
     is_type = lambda t: F.col("event_type") == t
@@ -148,8 +173,9 @@ def ledger_totals(events: DataFrame, customers: DataFrame) -> DataFrame:
 class Ledger:
     """The three ledger tables of one event set and period.
 
-    With `stored` the subscription and customer tables are written to the
-    checkpoint folder once, for pipelines that read them many times.
+    The generation states are written to the checkpoint folder once; the tables
+    read them from there. With `stored` the tables themselves are written too,
+    for pipelines that read them many times.
     """
 
     def __init__(
@@ -157,10 +183,10 @@ class Ledger:
     ):
         self.events, self.period_start, self.period_end = events, start, end
         self.heavy = heavy or HeavyKeys(events)
-        keep = materialise if stored else (lambda df: df)
-        numbered = subscription_events(events, start, end, self.heavy)
-        self.subscriptions = keep(ledger_subscriptions(numbered))
+        keep = store if stored else (lambda df: df)
+        states = store(generation_states(subscription_events(events, start, end, self.heavy)))
+        self.subscriptions = keep(ledger_subscriptions(states))
         self.customers = keep(
-            with_customer_mrr(ledger_customers(events, numbered, start, end), self.subscriptions)
+            with_customer_mrr(ledger_customers(events, states, start, end), self.subscriptions)
         )
         self.totals = ledger_totals(events, self.customers)

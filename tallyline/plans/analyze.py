@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tallyline import fixed
 from tallyline.functions.columns import SCOPE
-from tallyline.functions.materialise import materialise
+from tallyline.functions.materialise import store
+from tallyline.functions.skew import HeavyKeys
 from tallyline.functions.thresholds import Thresholds
 from tallyline.operators import anomalies, churn, profiles, reconcile, report
-from tallyline.operators.ledger import CUSTOMER, Ledger
+from tallyline.operators.ledger import CUSTOMER, SUBSCRIPTION, Ledger
 
 
 @dataclass
@@ -64,10 +65,11 @@ def analyze(
     stored: bool = True,
 ) -> Analysis:
     """Run everything over `events`; the ledger and the finding tables are written once and shared."""
-    keep = materialise if stored else (lambda df: df)
+    keep = store if stored else (lambda df: df)
     reference_date = reference_date or end
     thresholds = thresholds or profiles.profile(fixed.DEFAULT_REPORT_PROFILE)
-    ledger = Ledger(events, start, end, stored=stored)
+    heavy = HeavyKeys(events).look_up(SUBSCRIPTION, CUSTOMER)
+    ledger = Ledger(events, start, end, heavy, stored=stored)
     found = keep(reconcile.discrepancies(ledger.subscriptions, ledger.customers, ledger.heavy.of(CUSTOMER)))
     missing = reconcile.missing_payments(ledger.customers, end)
     anomaly_table = keep(

@@ -83,7 +83,8 @@ class Inputs:
 
     @cached_property
     def events(self) -> DataFrame:
-        return self.table("events")
+        """`events` is read whole and given to all cores: the derivation below is costly per row."""
+        return spread(self.table("events"))
 
     @cached_property
     def billing(self) -> DataFrame:
@@ -114,7 +115,7 @@ class Inputs:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return derived.raw_billing(derived.billing_view(spread(self.events)))
+        return derived.raw_billing(self.billing)
 
     @cached_property
     def checked(self) -> DataFrame:
@@ -663,7 +664,7 @@ def redact_conversations(i: Inputs) -> DataFrame:
 
 @query
 def redact_payload_keys(i: Inputs) -> DataFrame:
-    payloads = derived.event_payloads(spread(i.events))
+    payloads = derived.event_payloads(i.events)
     return payloads.withColumn("payload", redact.redact_payloads(F.col("payload")))
 
 
