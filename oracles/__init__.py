@@ -335,7 +335,7 @@ PARTS["canon"] = """
 SELECT event_id, '{"API_KEY":"' || user_id || '","event":' || event_id || ',"nested":{"kind":"' || event_type
   || '","list":["plain","' || who || '"],"userPassword":{"deep":1}},"tokens":[' || user_id || ']}' AS canonical
 FROM mailed"""
-oracle("canonical_hash_payloads", "SELECT event_id, canonical, sha256(canonical) AS canonical_hash FROM canon")
+oracle("canonical_hash", "SELECT event_id, canonical, sha256(canonical) AS canonical_hash FROM canon")
 
 # -- work queue -----------------------------------------------------------------------------------
 PARTS["renter"] = """

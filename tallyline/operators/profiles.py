@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline import fixed
@@ -68,3 +68,13 @@ def profile_rules() -> list[Rule]:
 
 def profile_violations(effective: DataFrame) -> DataFrame:
     return violations(effective, "profiles", F.col("profile_id"), profile_rules())
+
+
+def threshold(chosen: Thresholds | None, name: str, fallback: float = 0) -> float:
+    """One threshold of a profile, or the fallback where the name or the profile is missing."""
+    return getattr(chosen, name, fallback)
+
+
+def exceeds(value: Column, limit: Column) -> Column:
+    """Strictly above the limit."""
+    return value > limit

@@ -108,6 +108,11 @@ class Inputs:
         """The ledger where only rows of the period are needed (not `event_count`)."""
         return ledgers.Ledger(self.period_billing, START, END, HeavyKeys(self.period_billing))
 
+    @cached_property
+    def stored_ledger(self) -> ledgers.Ledger:
+        """The period ledger with its tables written, for queries that read them more than once."""
+        return ledgers.Ledger(self.period_billing, START, END, HeavyKeys(self.period_billing), stored=True)
+
     @cached_property
     def churn_customers(self) -> DataFrame:
         end = derived.CHURN_PERIOD_END
@@ -187,6 +192,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def query_named(name: str) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        CATALOG[name] = fn
+        return fn
+
+    return register
+
+
 def runnable(fn: Query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: shown(fn(Inputs(spark, folder)))
 
@@ -324,14 +337,14 @@ def recon_missing_events(i: Inputs) -> DataFrame:
 
 @query
 def recon_summary(i: Inputs) -> DataFrame:
-    book = i.period_ledger
+    book = i.stored_ledger
     missing = reconcile.missing_payments(book.customers, END)
     return reconcile.recon_summary(book.totals, _discrepancies(book), missing, START, END).drop("version")
 
 
 @query
 def recon_report_hash(i: Inputs) -> DataFrame:
-    book = i.period_ledger
+    book = i.stored_ledger
     return reconcile.report_hashes(book.totals, _discrepancies(book), START, END)
 
 
@@ -566,8 +579,8 @@ def report_markdown_lines(i: Inputs) -> DataFrame:
     return i.analysis().lines(TRACE)
 
 
-@query
-def canonical_hash_payloads(i: Inputs) -> DataFrame:
+@query_named("canonical_hash")
+def canonical_hashes(i: Inputs) -> DataFrame:
     payloads = derived.event_payloads(i.events)
     return payloads.select(
         "event_id",

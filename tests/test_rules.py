@@ -41,6 +41,14 @@ def test_overrides_win_and_are_checked(spark):
     assert broken == [("t1", "refund_spike_threshold_cents: below 0"), ("t1", "usage_drop_weight: outside 0..1")]
 
 
+def test_single_thresholds(spark):
+    assert profiles.threshold(profiles.profile("settler"), "dispute_spike_threshold") == 3
+    assert profiles.threshold(profiles.profile("base"), "no_such_field", 9) == 9
+    assert profiles.threshold(None, "dispute_spike_threshold") == 0
+    row = spark.range(1).select(profiles.exceeds(F.lit(5), F.lit(5)), profiles.exceeds(F.lit(6), F.lit(5))).collect()[0]
+    assert tuple(row) == (False, True)
+
+
 def test_shipped_profiles_are_valid(spark):
     df = tenants(spark, *[("t", "p", name) for name in fixed.PROFILE_CHANGES])
     assert profiles.profile_violations(profiles.effective_profile(df)).count() == 0
