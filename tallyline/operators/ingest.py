@@ -210,4 +210,5 @@ def ingest_stats_by_type(events: DataFrame) -> DataFrame:
 def first_errors(errors: DataFrame, k: int) -> DataFrame:
     """The first k rejected rows of each tenant; each task passes on at most k per tenant."""
     place = Window.partitionBy(*SCOPE).orderBy("ingest_seq", "error")
-    return errors.withColumn("position", F.row_number().over(place)).where(F.col("position") <= k)
+    kept = errors.withColumn("position", F.row_number().over(place)).where(F.col("position") <= k)
+    return kept.withColumn("position", F.col("position").cast("bigint"))

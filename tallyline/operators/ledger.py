@@ -189,4 +189,4 @@ class Ledger:
         self.customers = keep(
             with_customer_mrr(ledger_customers(events, states, start, end), self.subscriptions)
         )
-        self.totals = ledger_totals(events, self.customers)
+        self.totals = keep(ledger_totals(events, self.customers))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,27 +32,54 @@ class ChurnInputs:
 
 @dataclass
 class Analysis:
-    """The tables of one analysis."""
+    """The tables of one analysis. Combined tables are built when first asked for."""
 
     ledger: Ledger
     discrepancies: DataFrame
     missing_payments: DataFrame
-    recon_summary: DataFrame
     anomalies: DataFrame
     risks: DataFrame | None
-    findings: DataFrame
-    recommendations: DataFrame
-    summary: DataFrame
+    requests: DataFrame | None
+    raw_counts: DataFrame | None
+    keep: Callable[[DataFrame], DataFrame]
 
-    def envelopes(self, trace_id: str) -> DataFrame:
-        return report.report_envelopes(
-            self.summary, report.rank_findings(self.findings), self.recommendations, F.lit(trace_id)
+    @cached_property
+    def recon_summary(self) -> DataFrame:
+        book = self.ledger
+        return reconcile.recon_summary(
+            book.totals, self.discrepancies, self.missing_payments, book.period_start, book.period_end
         )
 
+    @cached_property
+    def findings(self) -> DataFrame:
+        return report.findings(self.discrepancies, self.anomalies, self.risks)
+
+    @cached_property
+    def ranked_findings(self) -> DataFrame:
+        return report.rank_findings(self.findings)
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        return self.keep(report.recommendations(self.anomalies, self.risks))
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        book = self.ledger
+        periods = book.totals.select(
+            *SCOPE, F.lit(book.period_start).alias("period_start"), F.lit(book.period_end).alias("period_end")
+        )
+        return self.keep(
+            report.report_summary(
+                periods, book.totals, self.discrepancies, self.anomalies, self.risks, self.requests, self.raw_counts
+            )
+        )
+
+    def envelopes(self, trace_id: str) -> DataFrame:
+        return report.report_envelopes(self.summary, self.ranked_findings, self.recommendations, F.lit(trace_id))
+
     def lines(self, trace_id: str, title: str = "Billing Report") -> DataFrame:
-        ranks = report.rank_findings(self.findings)
-        envelopes = report.report_envelopes(self.summary, ranks, self.recommendations, F.lit(trace_id))
-        return report.report_lines(self.summary, envelopes, ranks, self.recommendations, title)
+        envelopes = self.keep(self.envelopes(trace_id))
+        return report.report_lines(self.summary, envelopes, self.ranked_findings, self.recommendations, title)
 
 
 def analyze(
@@ -63,15 +92,15 @@ def analyze(
     requests: DataFrame | None = None,
     raw_counts: DataFrame | None = None,
     stored: bool = True,
+    heavy: HeavyKeys | None = None,
 ) -> Analysis:
     """Run everything over `events`; the ledger and the finding tables are written once and shared."""
     keep = store if stored else (lambda df: df)
     reference_date = reference_date or end
     thresholds = thresholds or profiles.profile(fixed.DEFAULT_REPORT_PROFILE)
-    heavy = HeavyKeys(events).look_up(SUBSCRIPTION, CUSTOMER)
+    heavy = (heavy or HeavyKeys(events)).look_up(SUBSCRIPTION, CUSTOMER)
     ledger = Ledger(events, start, end, heavy, stored=stored)
     found = keep(reconcile.discrepancies(ledger.subscriptions, ledger.customers, ledger.heavy.of(CUSTOMER)))
-    missing = reconcile.missing_payments(ledger.customers, end)
     anomaly_table = keep(
         anomalies.detect(
             events, ledger.subscriptions, ledger.customers, ledger.totals, thresholds, reference_date, ledger.heavy
@@ -89,15 +118,13 @@ def analyze(
             churn_inputs.as_of or churn_inputs.reference_date,
         )
         risks = keep(churn.churn_risks(features, churn_inputs.reference_date))
-    periods = ledger.totals.select(*SCOPE, F.lit(start).alias("period_start"), F.lit(end).alias("period_end"))
     return Analysis(
         ledger=ledger,
         discrepancies=found,
-        missing_payments=missing,
-        recon_summary=reconcile.recon_summary(ledger.totals, found, missing, start, end),
+        missing_payments=reconcile.missing_payments(ledger.customers, end),
         anomalies=anomaly_table,
         risks=risks,
-        findings=report.findings(found, anomaly_table, risks),
-        recommendations=report.recommendations(anomaly_table, risks),
-        summary=report.report_summary(periods, ledger.totals, found, anomaly_table, risks, requests, raw_counts),
+        requests=requests,
+        raw_counts=raw_counts,
+        keep=keep,
     )

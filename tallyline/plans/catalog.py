@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tallyline import fixed
 from tallyline.functions import columns as c
 from tallyline.functions.hashing import canonical_hash, canonical_json, source_hash
-from tallyline.functions.materialise import ensure_checkpoint_dir, spread
+from tallyline.functions.materialise import ensure_checkpoint_dir, spread, store
 from tallyline.functions.skew import HeavyKeys
 from tallyline.functions.thresholds import Thresholds
 from tallyline.operators import (
@@ -90,10 +90,19 @@ class Inputs:
     def billing(self) -> DataFrame:
         return derived.billing_view(self.events)
 
+    @cached_property
+    def event_table(self) -> DataFrame:
+        """The billing events as ingest leaves them: a written table, for queries that scan it many times."""
+        return store(self.billing)
+
     @cached_property
     def heavy(self) -> HeavyKeys:
         return HeavyKeys(self.billing)
 
+    @cached_property
+    def event_keys(self) -> HeavyKeys:
+        return HeavyKeys(self.event_table)
+
     @cached_property
     def period_billing(self) -> DataFrame:
         """Only rows that can lie in the period; the time range reaches the scan."""
@@ -143,9 +152,10 @@ class Inputs:
 
     @cached_property
     def anomalies(self) -> DataFrame:
-        book = ledgers.Ledger(self.billing, START, END, self.heavy, stored=True)
+        events, heavy = self.event_table, self.event_keys.look_up(ledgers.SUBSCRIPTION, ledgers.CUSTOMER)
+        book = ledgers.Ledger(events, START, END, heavy, stored=True)
         return anomalies.detect(
-            self.billing, book.subscriptions, book.customers, book.totals, Thresholds(), REFERENCE, self.heavy
+            events, book.subscriptions, book.customers, book.totals, Thresholds(), REFERENCE, heavy
         )
 
     @cached_property
@@ -177,10 +187,10 @@ class Inputs:
             self.churn_customers,
             derived.usage_metrics(self.events),
             derived.support_tickets(self.table("orders")),
-            derived.plan_downgrades(self.billing, self.heavy),
+            derived.plan_downgrades(self.event_table, self.event_keys),
             REFERENCE,
         )
-        return analyze(self.billing, START, END, REFERENCE, churn_inputs=inputs)
+        return analyze(self.event_table, START, END, REFERENCE, churn_inputs=inputs, heavy=self.event_keys)
 
 
 Query = Callable[[Inputs], DataFrame]
@@ -417,17 +427,17 @@ def anomalies_by_profile(i: Inputs) -> DataFrame:
 
 @query
 def anomaly_stats_by_type(i: Inputs) -> DataFrame:
-    return anomalies.stats_by_type(i.anomalies, i.billing.select(*c.SCOPE).distinct())
+    return anomalies.stats_by_type(i.anomalies, i.event_table.select(*c.SCOPE).distinct())
 
 
 @query
 def anomaly_stats_by_severity(i: Inputs) -> DataFrame:
-    return anomalies.stats_by_severity(i.anomalies, i.billing.select(*c.SCOPE).distinct())
+    return anomalies.stats_by_severity(i.anomalies, i.event_table.select(*c.SCOPE).distinct())
 
 
 @query
 def anomaly_events(i: Inputs) -> DataFrame:
-    return anomalies.affected_events(i.anomalies, i.billing, i.heavy)
+    return anomalies.affected_events(store(i.anomalies), i.event_table, i.event_keys)
 
 
 # -- churn -------------------------------------------------------------------------
@@ -555,8 +565,7 @@ def findings(i: Inputs) -> DataFrame:
 
 @query
 def findings_ranked(i: Inputs) -> DataFrame:
-    ranks = report.rank_findings(i.analysis().findings)
-    return ranks.select(*c.SCOPE, "finding_id", "severity", "category", "finding_rank")
+    return i.analysis().ranked_findings.select(*c.SCOPE, "finding_id", "severity", "category", "finding_rank")
 
 
 @query
