@@ -190,3 +190,14 @@ class Ledger:
             with_customer_mrr(ledger_customers(events, states, start, end), self.subscriptions)
         )
         self.totals = keep(ledger_totals(events, self.customers))
+
+    @classmethod
+    def of_tables(
+        cls, events: DataFrame, subscriptions: DataFrame, customers: DataFrame, totals: DataFrame, start: str, end: str
+    ) -> Ledger:
+        """A ledger somebody else computed, for example read from ledger documents."""
+        book = cls.__new__(cls)
+        book.events, book.period_start, book.period_end = events, start, end
+        book.heavy = HeavyKeys(events)
+        book.subscriptions, book.customers, book.totals = subscriptions, customers, totals
+        return book

@@ -93,17 +93,21 @@ def analyze(
     raw_counts: DataFrame | None = None,
     stored: bool = True,
     heavy: HeavyKeys | None = None,
+    ledger: Ledger | None = None,
 ) -> Analysis:
-    """Run everything over `events`; the ledger and the finding tables are written once and shared."""
+    """Run everything over `events`; the ledger and the finding tables are written once and shared.
+
+    A `ledger` given is used instead of one built from the events.
+    """
     keep = store if stored else (lambda df: df)
     reference_date = reference_date or end
     thresholds = thresholds or profiles.profile(fixed.DEFAULT_REPORT_PROFILE)
     heavy = (heavy or HeavyKeys(events)).look_up(SUBSCRIPTION, CUSTOMER)
-    ledger = Ledger(events, start, end, heavy, stored=stored)
-    found = keep(reconcile.discrepancies(ledger.subscriptions, ledger.customers, ledger.heavy.of(CUSTOMER)))
+    ledger = ledger or Ledger(events, start, end, heavy, stored=stored)
+    found = keep(reconcile.discrepancies(ledger.subscriptions, ledger.customers, heavy.of(CUSTOMER)))
     anomaly_table = keep(
         anomalies.detect(
-            events, ledger.subscriptions, ledger.customers, ledger.totals, thresholds, reference_date, ledger.heavy
+            events, ledger.subscriptions, ledger.customers, ledger.totals, thresholds, reference_date, heavy
         )
     )
     risks = None

@@ -160,7 +160,7 @@ class Inputs:
 
     @cached_property
     def tenants(self) -> DataFrame:
-        return derived.customer_tenants(self.table("customer"))
+        return derived.customer_tenants(spread(self.table("customer")))
 
     @cached_property
     def requests(self) -> DataFrame:

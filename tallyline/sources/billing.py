@@ -24,6 +24,15 @@ LEDGER_SCHEMA = (
     "total_mrr_cents bigint, total_customers bigint, active_subscriptions bigint, event_count bigint, version string"
 )
 
+CHURN_INPUT_SCHEMA = (
+    f"tenant_id string, project_id string, reference_date string, ledger struct<{LEDGER_SCHEMA}>, "
+    "usage_metrics array<struct<customer_id:string, metric_name:string, current_value:double, "
+    "previous_value:double, period_days:int, measured_at:string>>, "
+    "support_tickets array<struct<ticket_id:string, customer_id:string, created_at:string, severity:string, "
+    "status:string, category:string>>, "
+    "plan_downgrades array<struct<customer_id:string, from_plan:string, to_plan:string, changed_at:string>>"
+)
+
 
 def with_scope(raw: DataFrame, tenant_id: str, project_id: str) -> DataFrame:
     """Raw rows of one tenant. Without a sequence in the export the text's hash breaks ties in time."""
@@ -105,6 +114,40 @@ def flatten_subscriptions(documents: DataFrame) -> DataFrame:
     )
 
 
+def flatten_totals(documents: DataFrame) -> DataFrame:
+    """One row per ledger document; the paid total is summed over its customers."""
+    paid = flatten_customers(documents).groupBy(*SCOPE).agg(F.sum("total_paid_cents").alias("total_paid_cents"))
+    names = ["total_mrr_cents", "total_customers", "active_subscriptions", "event_count"]
+    return (
+        documents.select(*SCOPE, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
+        .join(paid, SCOPE, "left")
+        .withColumn("total_paid_cents", F.coalesce("total_paid_cents", F.lit(0)))
+    )
+
+
+def read_churn_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """Churn input documents: a ledger, three lists and a reference date."""
+    return spark.read.schema(CHURN_INPUT_SCHEMA).option("multiLine", True).json(path)
+
+
+def _list_rows(documents: DataFrame, name: str, times: list[str]) -> DataFrame:
+    rows = documents.select(*SCOPE, F.posexplode(name).alias("seq", "item")).select(*SCOPE, "seq", "item.*")
+    return rows.withColumns({t: F.to_timestamp(t) for t in times})
+
+
+def churn_tables(documents: DataFrame) -> dict[str, DataFrame]:
+    """The tables of churn input documents; `seq` is the place in the document's list."""
+    ledger = documents.select("ledger.*")
+    return {
+        "subscriptions": flatten_subscriptions(ledger),
+        "customers": flatten_customers(ledger),
+        "totals": flatten_totals(ledger),
+        "usage_metrics": _list_rows(documents, "usage_metrics", ["measured_at"]),
+        "support_tickets": _list_rows(documents, "support_tickets", ["created_at"]),
+        "plan_downgrades": _list_rows(documents, "plan_downgrades", ["changed_at"]),
+    }
+
+
 def write_events(events: DataFrame, path: str, layout: str = "parquet", mode: str = "overwrite") -> None:
     """Events by tenant and day, sorted inside each file.
 

@@ -19,6 +19,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(name, spark, con):
     df = QUERIES[name](spark, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name in ORACLES:
         assert difference(df, con, ORACLES[name]) is None
     else:
