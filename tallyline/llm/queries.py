@@ -11,12 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import packing, simhash_dedup
+from tallyline.llm import oracles, packing, quality_rules, simhash_dedup
 from tallyline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality_rules.judged(read(spark, folder, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rows.select("doc_id", *counts, "base_failed", "kept")
+
+
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.tokenized(read(spark, folder, "documents"))
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -29,8 +35,9 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
