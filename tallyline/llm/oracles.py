@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyline.llm import quality_rules as q
+from tallyline.llm import url_filter as u
 
 WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -73,4 +74,35 @@ FROM far
 """
 
 
-ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules()}
+def url_filter_sql() -> str:
+    """All rules on all URLs, without an index. Host rules are compared as strings."""
+    blocked = " OR ".join(
+        "regexp_matches(judged, '" + r.pattern.replace(r"\Z", r"\z").replace("'", "''") + "', 's')" for r in u.PATTERN_RULES
+    )
+    hosts = ", ".join(
+        f"('{r.name}', '{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}', '{r.verdict}')" for r in u.HOST_RULES
+    )
+    return rf"""
+WITH given AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), cut AS (
+  SELECT page_id, regexp_extract(rest, '^([^/?#]*)([^?#]*)(\?[^#]*)?', ['given', 'path', 'query']) AS c FROM given
+), parts AS (
+  SELECT row_number() OVER () AS row_id, page_id, c.path AS path, c.query AS query,
+    translate(c.given, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM cut
+), rules(rule, rule_host, rule_path, verdict) AS (VALUES {hosts}
+), fitting AS (
+  SELECT row_id, rule, verdict FROM parts JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+), best AS (
+  SELECT row_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fitting GROUP BY row_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {blocked} THEN 'block' ELSE 'allow' END) AS verdict
+FROM (SELECT *, host || path || query AS judged FROM parts) LEFT JOIN best USING (row_id)
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules(),
+    "op7_url_filter": url_filter_sql(),
+}

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import oracles, packing, quality_rules, simhash_dedup
+from tallyline.llm import mixing, oracles, packing, quality_rules, simhash_dedup, url_filter
 from tallyline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op3_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read(spark, folder, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.tokenized(read(spark, folder, "documents"))
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -34,10 +38,16 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", simhash_dedup.hex_of().alias("fingerprint"), "component_id")
 
 
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(read(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_temperature_mixing": op3_temperature_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_url_filter": op7_url_filter,
 }
 
 ORACLES = oracles.ORACLES
