@@ -102,7 +102,25 @@ FROM (SELECT *, host || path || query AS judged FROM parts) LEFT JOIN best USING
 """
 
 
+def pivot_search_sql() -> str:
+    """Every query against every vector."""
+    return """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules(),
     "op7_url_filter": url_filter_sql(),
+    "op8_pivot_search": pivot_search_sql(),
 }

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import mixing, oracles, packing, quality_rules, simhash_dedup, url_filter
+from tallyline.llm import mixing, oracles, packing, pivot_search, quality_rules, simhash_dedup, url_filter
 from tallyline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,12 +42,17 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(read(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_search.search(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_temperature_mixing": op3_temperature_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_pivot_search": op8_pivot_search,
 }
 
 ORACLES = oracles.ORACLES
