@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import mixing, oracles, packing, pivot_search, quality_rules, simhash_dedup, url_filter
+from tallyline.llm import html_wrapper, mixing, oracles, packing, pivot_search, quality_rules, simhash_dedup, url_filter
 from tallyline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,11 @@ def op8_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
     return pivot_search.search(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    texts = html_wrapper.main_text(read(spark, folder, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_temperature_mixing": op3_temperature_mixing,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_pivot_search": op8_pivot_search,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 ORACLES = oracles.ORACLES
