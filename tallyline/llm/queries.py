@@ -11,7 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import html_wrapper, mixing, oracles, packing, pivot_search, quality_rules, simhash_dedup, url_filter
+from tallyline.llm import (
+    html_wrapper,
+    mixing,
+    oracles,
+    packing,
+    pivot_search,
+    quality_rules,
+    simhash_dedup,
+    suffix_dedup,
+    url_filter,
+)
 from tallyline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +61,17 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(read(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        suffix_dedup.removed().alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_temperature_mixing": op3_temperature_mixing,
@@ -59,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op7_url_filter": op7_url_filter,
     "op8_pivot_search": op8_pivot_search,
     "op9_html_extraction": op9_html_extraction,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES = oracles.ORACLES
