@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import (
+    cotraining,
     html_wrapper,
     mixing,
     oracles,
@@ -33,6 +34,13 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op2_cotraining_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = cotraining.trained(docs, read(spark, folder, "labels"))
+    chances = [F.round(f"quality.{name}", 6).alias(name) for name in ("words", "page", "good")]
+    return cotraining.scored(docs, model).select("doc_id", *chances, "quality.kept")
+
+
 def op3_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
@@ -74,6 +82,7 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_cotraining_classifier": op2_cotraining_classifier,
     "op3_temperature_mixing": op3_temperature_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
