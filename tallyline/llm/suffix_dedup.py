@@ -19,9 +19,10 @@ of its occurrences are put out. The union of an occurrence's repeats is covered.
 Spread. Documents are dealt to chunks of about CHUNK bytes, and every chunk sends
 each distinct (anchor, context) once, as hashes, to the anchor's bucket. Only
 contexts that a bucket asks for travel as bytes. An anchor with more than CROWD
-contexts in some chunk (a passage that a large share of all documents has) isn't
-sorted: its strings of LENGTH bytes are counted one by one instead, again each
-distinct one once per chunk, so no bucket grows with the passage's occurrences.
+contexts in some chunk, or MOST in all (a passage that a large share of all
+documents has), isn't sorted: its strings of LENGTH bytes are counted one by one
+instead, again each distinct one once per chunk, so a sorted group has a bound
+and no bucket grows with the passage's occurrences.
 The chunks' texts are shuffled once; the three passes read the same shuffle.
 
 Hashes are 128 bits wide where their equality stands for that of strings: anchor
@@ -45,10 +46,11 @@ from pyspark.sql import functions as F
 LENGTH = 200
 GRAM = 64
 CHUNK = 4 << 20
-CROWD = 32
+CROWD = 256
+MOST = 1 << 16
 # Buckets grow with the square root of the text, a bucket's chunks likewise.
 BUCKET = 1 << 16
-# Bytes of one text that are hashed at once.
+# Strings that are hashed at once.
 BLOCK = 1 << 20
 
 RESOLVED, SEND, CROWDED = 1, 2, 4
@@ -61,6 +63,7 @@ class Repeats(NamedTuple):
     length: int = LENGTH
     gram: int = GRAM
     crowd: int = CROWD
+    most: int = MOST
     buckets: int = 1
 
     @property
@@ -111,8 +114,9 @@ def extreme(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 class Marked(NamedTuple):
-    """Anchors of one text: where, the gram's hash, the context's hash and borders, and a string hasher."""
+    """Anchors of a chunk: text number, place, the gram's hash, the context's hash and borders."""
 
+    text: np.ndarray
     at: np.ndarray
     gram: np.ndarray
     context: np.ndarray
@@ -120,6 +124,56 @@ class Marked(NamedTuple):
     end: np.ndarray
 
 
+class Chunk:
+    """The texts of a chunk one after another."""
+
+    def __init__(self, texts, sizes: Repeats):
+        parts = [(t or "").encode() for t in texts]
+        self.bytes, self.sizes = b"".join(parts), sizes
+        lengths = np.array([len(p) for p in parts], np.int64)
+        self.ends = np.cumsum(lengths)
+        self.begins = self.ends - lengths
+
+    def text_at(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, places, "right")
+
+    def anchors(self) -> Marked:
+        """A gram is an anchor if it is the least, or among the least, of some string's. Strings end with their text."""
+        p, sizes, whole = powers(), self.sizes, self.bytes
+        width = sizes.length - sizes.gram + 1
+        places, grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for first in range(0, len(whole) - sizes.length + 1, BLOCK):
+            piece = np.frombuffer(whole, np.uint8, min(BLOCK + sizes.length - 1, len(whole) - first), first)
+            sums = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(p.of_byte[piece] * p.power[: len(piece)], out=sums[1:])
+            n = len(piece) - sizes.gram + 1
+            hashes = mixed((sums[sizes.gram :] - sums[: -sizes.gram]) * p.inverse[:n])
+            least = extreme(hashes, width, np.minimum)
+            starts = np.arange(first, first + len(least))
+            least[starts + sizes.length > self.ends[self.text_at(starts)]] = 0
+            around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
+            found = np.flatnonzero((extreme(around, width, np.maximum) == hashes) & (hashes > 0))
+            places.append(found + first)
+            grams.append(hashes[found])
+        at, one = np.unique(np.concatenate(places), return_index=True)
+        text = self.text_at(at)
+        start = np.maximum(at - sizes.before, self.begins[text])
+        end = np.minimum(at + sizes.length, self.ends[text])
+        shape = ((at - start) << 20 | (end - at)).astype(np.uint64)
+        context = mixed(string_hashes(whole, start, end) + shape)
+        return Marked(text, at, np.concatenate(grams)[one], context, start, end)
+
+    def strings(self, m: Marked, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every string of LENGTH bytes that holds one of the anchors: start, hash, and hash of anchor and place."""
+        back = np.arange(self.sizes.before + 1)
+        at, gram, text = m.at[chosen], m.gram[chosen], m.text[chosen]
+        start = at[:, None] - back[None, :]
+        fits = (start >= self.begins[text][:, None]) & (start + self.sizes.length <= self.ends[text][:, None])
+        place = mixed(gram[:, None] + back[None, :].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        start, place = start[fits], place[fits]
+        return start, string_hashes(self.bytes, start, start + self.sizes.length), place
+
+
 def string_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of parts of a text, in blocks of starts near each other."""
     p, out = powers(), np.empty(len(starts), np.uint64)
@@ -137,31 +191,6 @@ def string_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return out
 
 
-def anchors(text: bytes, sizes: Repeats) -> Marked:
-    """The anchors of a text. A gram is one if it is the least, or among the least, of some string's."""
-    p, width = powers(), sizes.length - sizes.gram + 1
-    places, grams = [], []
-    for first in range(0, len(text) - sizes.length + 1, BLOCK):
-        piece = np.frombuffer(text, np.uint8, min(BLOCK + sizes.length - 1, len(text) - first), first)
-        sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(p.of_byte[piece] * p.power[: len(piece)], out=sums[1:])
-        n = len(piece) - sizes.gram + 1
-        hashes = mixed((sums[sizes.gram :] - sums[: -sizes.gram]) * p.inverse[:n])
-        least = extreme(hashes, width, np.minimum)
-        around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-        found = np.flatnonzero(extreme(around, width, np.maximum) == hashes)
-        places.append(found + first)
-        grams.append(hashes[found])
-    if not places:
-        none = np.empty(0, np.int64)
-        return Marked(none, none.astype(np.uint64), none.astype(np.uint64), none, none)
-    at, one = np.unique(np.concatenate(places), return_index=True)
-    start, end = np.maximum(at - sizes.before, 0), np.minimum(at + sizes.length, len(text))
-    shape = ((at - start) << 20 | (end - at)).astype(np.uint64)
-    context = mixed(string_hashes(text, start, end) + shape)
-    return Marked(at, np.concatenate(grams)[one], context, start, end)
-
-
 def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which values are in the sorted `known`."""
     if not len(known):
@@ -170,10 +199,6 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[place] == values
 
 
-def bytes_of(text: str | None) -> bytes:
-    return (text or "").encode()
-
-
 def once(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows sorted by the columns: their order, where each distinct row begins, how often it is there."""
     order = np.lexsort(columns[::-1])
@@ -208,11 +233,9 @@ def send_hashes(sizes: Repeats):
     """First pass over a chunk: its distinct (anchor, context); CROWDED anchors without contexts."""
 
     def run(texts: pd.DataFrame) -> pd.DataFrame:
-        marks = [anchors(bytes_of(t), sizes) for t in texts["text"]]
-        gram = np.concatenate([m.gram for m in marks])
-        context = np.concatenate([m.context for m in marks])
-        order, first, n = once(gram, context)
-        a, b = gram[order[first]], context[order[first]]
+        m = Chunk(texts["text"], sizes).anchors()
+        order, first, n = once(m.gram, m.context)
+        a, b = m.gram[order[first]], m.context[order[first]]
         flag = (n > 1).astype(np.uint8)
         _, begin, contexts = np.unique(a, return_index=True, return_counts=True)
         crowded = contexts > sizes.crowd
@@ -242,41 +265,54 @@ def gathered(sent: pd.DataFrame, kind: np.dtype) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(parts), np.repeat(sent["chunk"].to_numpy(), [len(p) for p in parts])
 
 
-def tell_chunks(sent: pd.DataFrame) -> pd.DataFrame:
+def tell_chunks(sizes: Repeats):
     """One bucket's anchors: what is repeated as a whole, whose bytes are needed, what is crowded."""
-    rows, chunk = gathered(sent, PAIR)
-    order, first, n = once(rows["a"], rows["b"])
-    rows, chunk = rows[order], chunk[order]
-    twice = (n > 1) | (np.maximum.reduceat(rows["flag"], first) == 1)
-    anchor, begin, contexts = np.unique(rows["a"][first], return_index=True, return_counts=True)
-    crowd = np.maximum.reduceat(rows["flag"][first], begin) == CROWDED
-    answer = np.zeros(len(rows), np.uint8)
-    answer[np.repeat(twice, n)] = RESOLVED
-    several = np.repeat(contexts > 1, contexts)
-    answer[first[several]] |= SEND
-    of_row = np.repeat(np.repeat(crowd, contexts), n)
-    answer[of_row] = CROWDED
-    told = answer > 0
-    return answers(chunk[told], pairs(rows["a"][told], rows["b"][told], answer[told]), VERDICT)
-
-
-def verdicts(told: pd.DataFrame) -> tuple[dict[tuple[int, int], int], np.ndarray, np.ndarray]:
-    """Flags by (anchor, context), all anchors named, and the crowded ones."""
-    parts = [np.frombuffer(d, PAIR) for d in told.loc[told["kind"] == VERDICT, "data"]]
-    rows = np.concatenate(parts) if parts else np.empty(0, PAIR)
-    crowded = rows["flag"] == CROWDED
-    flags = dict(zip(zip(rows["a"][~crowded].tolist(), rows["b"][~crowded].tolist()), rows["flag"][~crowded].tolist()))
-    return flags, np.unique(rows["a"][~crowded]), np.unique(rows["a"][crowded])
 
+    def run(sent: pd.DataFrame) -> pd.DataFrame:
+        rows, chunk = gathered(sent, PAIR)
+        order, first, n = once(rows["a"], rows["b"])
+        rows, chunk = rows[order], chunk[order]
+        twice = (n > 1) | (np.maximum.reduceat(rows["flag"], first) == 1)
+        _, begin, contexts = np.unique(rows["a"][first], return_index=True, return_counts=True)
+        crowd = (np.maximum.reduceat(rows["flag"][first], begin) == CROWDED) | (contexts > sizes.most)
+        answer = np.zeros(len(rows), np.uint8)
+        answer[np.repeat(twice, n)] = RESOLVED
+        several = np.repeat(contexts > 1, contexts)
+        answer[first[several]] |= SEND
+        answer[np.repeat(np.repeat(crowd, contexts), n)] = CROWDED
+        told = answer > 0
+        return answers(chunk[told], pairs(rows["a"][told], rows["b"][told], answer[told]), VERDICT)
+
+    return run
+
+
+class Lookup:
+    """Rows by their fields a and b. Found by both mixed into one number, then compared whole."""
+
+    def __init__(self, rows: np.ndarray):
+        key = rows["a"] ^ mixed(rows["b"].copy())
+        order = np.argsort(key, kind="stable")
+        self.key, self.rows = key[order], rows[order]
 
-def strings_of(text: bytes, at: np.ndarray, gram: np.ndarray, sizes: Repeats):
-    """Every string of LENGTH bytes that holds one of the anchors: start, hash, and hash of anchor and place."""
-    back = np.arange(sizes.before + 1)
-    start = at[:, None] - back[None, :]
-    fits = (start >= 0) & (start + sizes.length <= len(text))
-    place = mixed(gram[:, None] + back[None, :].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    start, place = start[fits], place[fits]
-    return start, string_hashes(text, start, start + sizes.length), place
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pair is there, and the row that has it."""
+        if not len(self.key):
+            return np.zeros(len(a), bool), np.empty(0, self.rows.dtype)
+        place = np.minimum(np.searchsorted(self.key, a ^ mixed(b)), len(self.key) - 1)
+        rows = self.rows[place]
+        return (rows["a"] == a) & (rows["b"] == b), rows
+
+
+def told_rows(told: pd.DataFrame, kind: int, of: np.dtype) -> np.ndarray:
+    parts = [np.frombuffer(d, of) for d in told.loc[told["kind"] == kind, "data"]]
+    return np.concatenate(parts) if parts else np.empty(0, of)
+
+
+def verdicts(told: pd.DataFrame) -> tuple[Lookup, np.ndarray]:
+    """Flags of (anchor, context), and the crowded anchors."""
+    rows = told_rows(told, VERDICT, PAIR)
+    crowded = rows["flag"] == CROWDED
+    return Lookup(rows[~crowded]), np.unique(rows["a"][crowded])
 
 
 def send_contexts(sizes: Repeats):
@@ -285,34 +321,29 @@ def send_contexts(sizes: Repeats):
     def run(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(texts) and len(told):
-            chunk = int(texts["chunk"].iloc[0])
-            flags, known, crowded = verdicts(told)
-            wanted = {k for k, f in flags.items() if f & SEND}
-            contexts: dict[int, list[tuple]] = {}
-            strings = []
-            for t in texts["text"]:
-                text = bytes_of(t)
-                m = anchors(text, sizes)
-                for i in np.flatnonzero(among(m.gram, known)).tolist():
-                    key = (int(m.gram[i]), int(m.context[i]))
-                    if key in wanted:
-                        wanted.discard(key)
-                        whole = text[m.start[i] : m.end[i]]
-                        entry = (*key, flags[key] & RESOLVED, int(m.at[i] - m.start[i]), whole)
-                        contexts.setdefault(key[0] % sizes.buckets, []).append(entry)
-                hot = among(m.gram, crowded)
-                if hot.any():
-                    _, string, place = strings_of(text, m.at[hot], m.gram[hot], sizes)
-                    strings.append((string, place))
-            for bucket, entries in contexts.items():
-                head = np.array([e[:4] + (len(e[4]),) for e in entries], HEAD)
-                data = np.int64(len(entries)).tobytes() + head.tobytes() + b"".join(e[4] for e in entries)
-                out.append((bucket, chunk, CONTEXTS, data))
-            if strings:
-                string, place = (np.concatenate(c) for c in zip(*strings))
+            number = int(texts["chunk"].iloc[0])
+            flags, crowded = verdicts(told)
+            chunk = Chunk(texts["text"], sizes)
+            m = chunk.anchors()
+            known, row = flags.find(m.gram, m.context)
+            asked = np.flatnonzero(known & (row["flag"] & SEND > 0)) if known.any() else np.empty(0, np.int64)
+            _, one = np.unique(pairs(m.gram[asked], m.context[asked], 0), return_index=True)
+            asked = asked[one]
+            head = np.empty(len(asked), HEAD)
+            if len(asked):
+                head["a"], head["b"], head["resolved"] = m.gram[asked], m.context[asked], row["flag"][asked] & RESOLVED
+                head["left"], head["size"] = (m.at - m.start)[asked], (m.end - m.start)[asked]
+            bucket = (head["a"] % np.uint64(sizes.buckets)).astype(np.int64)
+            for b in np.unique(bucket):
+                of = np.flatnonzero(bucket == b)
+                contexts = b"".join(chunk.bytes[x:y] for x, y in zip(m.start[asked[of]], m.end[asked[of]]))
+                out.append((int(b), number, CONTEXTS, np.int64(len(of)).tobytes() + head[of].tobytes() + contexts))
+            hot = among(m.gram, crowded)
+            if hot.any():
+                _, string, place = chunk.strings(m, hot)
                 order, first, n = once(string, place)
                 rows = pairs(string[order[first]], place[order[first]], n > 1)
-                out += by_bucket(chunk, STRINGS, rows, sizes.buckets)
+                out += by_bucket(number, STRINGS, rows, sizes.buckets)
         return pd.DataFrame(out, columns=SENT_COLUMNS)
 
     return run
@@ -437,8 +468,8 @@ def find_repeats(sizes: Repeats):
     return run
 
 
-def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans joined where they touch."""
+def joined_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of one text joined where they overlap or touch."""
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], np.maximum.accumulate(ends[order])
     new = np.ones(len(starts), bool)
@@ -450,43 +481,42 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def cut(sizes: Repeats):
     """Third pass over a chunk: what is covered in each text, and what is left of it."""
 
+    def covered(chunk: Chunk, told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        flags, crowded = verdicts(told)
+        m = chunk.anchors()
+        known, row = flags.find(m.gram, m.context)
+        whole = known & (row["flag"] & RESOLVED > 0) if known.any() else known
+        starts, ends = [m.start[whole]], [m.end[whole]]
+        found, cover = Lookup(told_rows(told, CONTEXTS, COVER)).find(m.gram, m.context)
+        if found.any():
+            starts.append(m.at[found] - cover["left"][found])
+            ends.append(m.at[found] + cover["right"][found])
+        hot = among(m.gram, crowded)
+        if hot.any():
+            start, string, place = chunk.strings(m, hot)
+            twice, _ = Lookup(told_rows(told, STRINGS, PAIR)).find(string, place)
+            starts.append(start[twice])
+            ends.append(start[twice] + sizes.length)
+        return np.concatenate(starts), np.concatenate(ends)
+
     def run(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        chunk = Chunk(texts["text"], sizes)
+        starts = ends = np.empty(0, np.int64)
+        if len(told):
+            starts, ends = covered(chunk, told)
         out = []
-        flags, known, crowded = verdicts(told)
-        covers: dict[tuple[int, int], tuple[int, int]] = {}
-        for data in told.loc[told["kind"] == CONTEXTS, "data"]:
-            rows = np.frombuffer(data, COVER)
-            covers |= zip(zip(rows["a"].tolist(), rows["b"].tolist()), zip(rows["left"].tolist(), rows["right"].tolist()))
-        parts = [np.frombuffer(d, PAIR) for d in told.loc[told["kind"] == STRINGS, "data"]]
-        rows = np.concatenate(parts) if parts else np.empty(0, PAIR)
-        strings = {*zip(rows["a"].tolist(), rows["b"].tolist())}
-        of_string = np.unique(rows["a"])
-        for doc_id, carried, t in zip(texts["doc_id"], texts["carried"], texts["text"]):
-            text = bytes_of(t)
-            m = anchors(text, sizes) if len(told) else None
-            starts, ends = [], []
-            if m is not None and len(m.at):
-                for i in np.flatnonzero(among(m.gram, known)).tolist():
-                    key = (int(m.gram[i]), int(m.context[i]))
-                    if flags.get(key, 0) & RESOLVED and m.end[i] - m.start[i] >= sizes.length:
-                        starts.append(m.start[i])
-                        ends.append(m.end[i])
-                    elif key in covers:
-                        starts.append(m.at[i] - covers[key][0])
-                        ends.append(m.at[i] + covers[key][1])
-                hot = among(m.gram, crowded)
-                if hot.any():
-                    start, string, place = strings_of(text, m.at[hot], m.gram[hot], sizes)
-                    for i in np.flatnonzero(among(string, of_string)).tolist():
-                        if (int(string[i]), int(place[i])) in strings:
-                            starts.append(start[i])
-                            ends.append(start[i] + sizes.length)
-            begin = end = np.empty(0, np.int64)
-            kept = text
-            if starts:
-                begin, end = runs(np.array(starts, np.int64), np.array(ends, np.int64))
-                kept = b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(text)]))
-            out.append((doc_id, carried, len(text), begin.tolist(), end.tolist(), kept))
+        text = chunk.text_at(starts)
+        order = np.argsort(text, kind="stable")
+        borders = np.searchsorted(text[order], np.arange(len(texts) + 1))
+        for n, (doc_id, carried) in enumerate(zip(texts["doc_id"], texts["carried"])):
+            first, last = int(chunk.begins[n]), int(chunk.ends[n])
+            of = order[borders[n] : borders[n + 1]]
+            kept, begin, end = chunk.bytes[first:last], [], []
+            if len(of):
+                a, b = joined_spans(starts[of], ends[of])
+                begin, end = (a - first).tolist(), (b - first).tolist()
+                kept = b"".join(kept[x:y] for x, y in zip([0, *end], [*begin, last - first]))
+            out.append((doc_id, carried, last - first, begin, end, kept))
         return pd.DataFrame(out, columns=["doc_id", "carried", "n_bytes", "starts", "ends", "kept"])
 
     return run
@@ -496,18 +526,18 @@ CUT = "doc_id string, carried string, n_bytes long, starts array<long>, ends arr
 
 
 def without_repeats(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, crowd: int = CROWD,
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, crowd: int = CROWD, most: int = MOST,
     carried: Column | None = None,
 ) -> DataFrame:
     """(doc_id, carried, n_bytes, starts, ends, kept): the removed spans of every text, and its other bytes."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    sizes = Repeats(length, gram, crowd, buckets=1 + int((size / BUCKET) ** 0.5))
+    sizes = Repeats(length, gram, crowd, most, buckets=1 + int((size / BUCKET) ** 0.5))
     dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // chunk)).cast("int").alias("chunk")
     rest = F.lit(None).cast("string") if carried is None else carried
     columns = [dealt, F.col("doc_id").cast("string").alias("doc_id"), "text", rest.alias("carried")]
     texts = docs.select(*columns).repartition("chunk")
     told = texts.groupBy("chunk").applyInPandas(send_hashes(sizes), SENT)
-    told = told.groupBy("bucket").applyInPandas(tell_chunks, TOLD)
+    told = told.groupBy("bucket").applyInPandas(tell_chunks(sizes), TOLD)
     sent = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(send_contexts(sizes), SENT)
     found = sent.groupBy("kind", "bucket").applyInPandas(find_repeats(sizes), TOLD)
     both = told.unionByName(found)

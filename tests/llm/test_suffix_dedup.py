@@ -64,12 +64,12 @@ def corpus(seed, n=60):
 
 
 @pytest.mark.parametrize(
-    ("seed", "length", "gram", "chunk", "crowd"),
-    [(1, 30, 8, 500, 1000), (2, 30, 8, 500, 2), (3, 20, 20, 2000, 3), (4, 33, 1, 300, 5), (5, 24, 12, 10**6, 4)],
+    ("seed", "length", "gram", "chunk", "crowd", "most"),
+    [(1, 30, 8, 500, 99, 999), (2, 30, 8, 500, 2, 999), (3, 20, 20, 2000, 99, 3), (4, 33, 1, 300, 5, 9), (5, 24, 12, 10**6, 4, 9)],
 )
-def test_equals_brute_force(spark, seed, length, gram, chunk, crowd):
+def test_equals_brute_force(spark, seed, length, gram, chunk, crowd, most):
     rows = corpus(seed)
-    assert found(spark, rows, length=length, gram=gram, chunk=chunk, crowd=crowd) == expected(rows, length)
+    assert found(spark, rows, length=length, gram=gram, chunk=chunk, crowd=crowd, most=most) == expected(rows, length)
 
 
 def test_production_length(spark):
@@ -102,14 +102,15 @@ def test_cases(spark):
     assert (whole[2], whole[3]) == ([1000], [1300])
 
 
-def test_blocks_of_a_very_long_text(monkeypatch):
+def test_blocks_of_a_large_chunk(monkeypatch):
     sizes = s.Repeats(40, 16)
     rng = random.Random(3)
-    text = "".join(rng.choice("abc") for _ in range(5000)).encode()
-    whole = s.anchors(text, sizes)
+    texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (0, 5000, 39, 40, 41, 700)]
+    whole = s.Chunk(texts, sizes).anchors()
+    assert set(whole.text.tolist()) == {1, 3, 4, 5}
     monkeypatch.setattr(s, "BLOCK", 333)
     monkeypatch.setattr(s, "_POWERS", [])
-    for a, b in zip(whole, s.anchors(text, sizes)):
+    for a, b in zip(whole, s.Chunk(texts, sizes).anchors()):
         assert np.array_equal(a, b)
 
 
