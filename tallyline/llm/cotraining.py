@@ -133,7 +133,7 @@ class Rows(NamedTuple):
         return np.bincount(self.feature, self.value * errors[self.row], size)
 
     def only(self, chosen: np.ndarray) -> Rows:
-        place = np.full(self.n, -1)
+        place = np.full(self.n, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
         keep = place[self.row] >= 0
         return Rows(len(chosen), place[self.row[keep]], self.feature[keep], self.value[keep])
@@ -145,12 +145,12 @@ def word_rows(features: Iterable[np.ndarray]) -> Rows:
     n = 0
     for f in features:
         ids, counts = np.unique(f, return_counts=True)
-        row.append(np.full(len(ids), n))
+        row.append(np.full(len(ids), n, np.int32))
         feature.append(ids)
-        value.append(np.sqrt(4 * counts / (len(f) + 5 * MORE_WORDS)))
+        value.append(np.sqrt(4 * counts / (len(f) + 5 * MORE_WORDS)).astype(np.float32))
         n += 1
-    whole = [np.concatenate(x) if x else np.empty(0, k) for x, k in ((row, int), (feature, int), (value, float))]
-    return Rows(n, *whole)
+    kinds = (row, np.int32), (feature, np.int32), (value, np.float32)
+    return Rows(n, *[np.concatenate(x).astype(k) if x else np.empty(0, k) for x, k in kinds])
 
 
 def page_rows(features: np.ndarray, edges: np.ndarray) -> Rows:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyline.llm import (
     cotraining,
     html_wrapper,
+    licences,
     mixing,
     oracles,
     packing,
@@ -51,6 +52,11 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(digests)
 
 
+def op5_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan(read(spark, folder, "documents"))
+    return found.select("doc_id", "line", "family", F.round("chance", 6).alias("chance"), F.round("overlap", 6).alias("overlap"), "confirmed")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash_dedup.near_duplicates(read(spark, folder, "documents"))
     return groups.select("doc_id", simhash_dedup.hex_of().alias("fingerprint"), "component_id")
@@ -85,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op2_cotraining_classifier": op2_cotraining_classifier,
     "op3_temperature_mixing": op3_temperature_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_licence_scan": op5_licence_scan,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_pivot_search": op8_pivot_search,

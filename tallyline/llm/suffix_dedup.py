@@ -478,7 +478,7 @@ def joined_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[new], ends[last]
 
 
-def cut(sizes: Repeats):
+def cut(sizes: Repeats, as_text: bool):
     """Third pass over a chunk: what is covered in each text, and what is left of it."""
 
     def covered(chunk: Chunk, told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -516,20 +516,24 @@ def cut(sizes: Repeats):
                 a, b = joined_spans(starts[of], ends[of])
                 begin, end = (a - first).tolist(), (b - first).tolist()
                 kept = b"".join(kept[x:y] for x, y in zip([0, *end], [*begin, last - first]))
-            out.append((doc_id, carried, last - first, begin, end, kept))
+            left = kept.decode("utf-8", "ignore") if as_text else kept
+            out.append((doc_id, carried, last - first, begin, end, left))
         return pd.DataFrame(out, columns=["doc_id", "carried", "n_bytes", "starts", "ends", "kept"])
 
     return run
 
 
-CUT = "doc_id string, carried string, n_bytes long, starts array<long>, ends array<long>, kept binary"
+CUT = "doc_id string, carried string, n_bytes long, starts array<long>, ends array<long>, kept"
 
 
 def without_repeats(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, crowd: int = CROWD, most: int = MOST,
-    carried: Column | None = None,
+    carried: Column | None = None, as_text: bool = False,
 ) -> DataFrame:
-    """(doc_id, carried, n_bytes, starts, ends, kept): the removed spans of every text, and its other bytes."""
+    """(doc_id, carried, n_bytes, starts, ends, kept): the removed spans of every text, and its other bytes.
+
+    `as_text` gives them as a string, without the parts of characters that a cut leaves over.
+    """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     sizes = Repeats(length, gram, crowd, most, buckets=1 + int((size / BUCKET) ** 0.5))
     dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // chunk)).cast("int").alias("chunk")
@@ -541,7 +545,9 @@ def without_repeats(
     sent = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(send_contexts(sizes), SENT)
     found = sent.groupBy("kind", "bucket").applyInPandas(find_repeats(sizes), TOLD)
     both = told.unionByName(found)
-    done = texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(cut(sizes), CUT)
+    done = texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(
+        cut(sizes, as_text), f"{CUT} {'string' if as_text else 'binary'}"
+    )
     return done.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
