@@ -240,4 +240,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    return one.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
