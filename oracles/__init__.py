@@ -105,6 +105,10 @@ oracle("ledger_customer_mrr", f"""
 SELECT {SCOPE}, customer_id, total_mrr_cents, active_subscriptions, subscription_count FROM cust""")
 oracle("ledger_totals", "SELECT * FROM totals")
 
+DIGEST = """sha256(CAST(count(*) AS VARCHAR) || ':' || concat_ws(':', {parts}))""".format(parts=", ".join(
+    f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)))
+NO_DIGEST = "sha256('0:0:0:0:0:0:0:0:0')"
+
 # -- reconciliation -----------------------------------------------------------------------
 REPORT_NAME = f"'recon-' || t.tenant_id || '-' || t.project_id || '-{PERIOD_A}-{PERIOD_B}'"
 oracle("recon_discrepancies", "SELECT * FROM disc")
@@ -124,15 +128,14 @@ SELECT {SCOPE}, {REPORT_NAME} AS report_id, '{PERIOD_A}' AS period_start, '{PERI
   (SELECT count(*) FROM unpaid u WHERE u.tenant_id = t.tenant_id) AS missing_event_count,
   mrr = paid AND NOT EXISTS (SELECT 1 FROM disc d WHERE d.tenant_id = t.tenant_id) AS is_balanced
 FROM period_totals t""")
+PARTS["disc_hashes"] = """
+SELECT *, sha256('{"subscription_id":"' || subscription_id || '","difference_cents":' || difference_cents
+  || ',"reason":"' || reason || '"}') AS h FROM disc"""
 oracle("recon_report_hash", f"""
-SELECT {SCOPE}, {REPORT_NAME} AS report_id,
-  (SELECT count(*) FROM disc d WHERE d.tenant_id = t.tenant_id) AS discrepancy_count, 'listed' AS hash_kind,
-  sha256('{{"tenant_id":"' || tenant_id || '","project_id":"' || project_id
-    || '","period_start":"{PERIOD_A}","period_end":"{PERIOD_B}","discrepancies":['
-    || coalesce((SELECT string_agg('{{"subscription_id":"' || subscription_id || '","difference_cents":' || difference_cents
-         || ',"reason":"' || reason || '"}}', ',' ORDER BY customer_id, subscription_id, generation)
-       FROM disc d WHERE d.tenant_id = t.tenant_id), '') || ']}}') AS report_hash
-FROM period_totals t""")
+SELECT {SCOPE}, {REPORT_NAME} AS report_id, discrepancy_count,
+  sha256(concat_ws('|', tenant_id, project_id, '{PERIOD_A}', '{PERIOD_B}', coalesce(digest, {NO_DIGEST}))) AS report_hash
+FROM (SELECT t.*, coalesce(n, 0) AS discrepancy_count, digest FROM period_totals t LEFT JOIN (
+  SELECT {SCOPE}, count(*) AS n, {DIGEST} AS digest FROM disc_hashes GROUP BY ALL) d USING (tenant_id, project_id)) t""")
 
 # -- anomalies --------------------------------------------------------------------------
 oracle("anomaly_duplicate_event", fd.ANOMALY["duplicate_event"])
@@ -273,8 +276,6 @@ SELECT a.tenant_id, a.project_id, a.period_start, a.period_end,
   count(DISTINCT b.subscription_id) AS subscription_count, true AS cached
 FROM answered a JOIN billing b USING (tenant_id, project_id) WHERE a.refusal IS NULL GROUP BY ALL""")
 oracle("cost_refusals", "SELECT * FROM answered WHERE refusal IS NOT NULL")
-DIGEST = """sha256(CAST(count(*) AS VARCHAR) || ':' || concat_ws(':', {parts}))""".format(parts=", ".join(
-    f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)))
 PARTS["row_hashes"] = f"SELECT {SCOPE}, {HASHED} AS h FROM billing"
 oracle("cost_cache_key", f"""
 SELECT a.tenant_id, a.project_id, a.period_start, a.period_end,
@@ -288,6 +289,13 @@ SELECT DISTINCT {SCOPE}, strftime("timestamp", '%Y-%m-%d') || 'T00:00:00.000Z' A
   strftime("timestamp", '%Y-%m-%d') || 'T23:59:59.999Z' AS period_end
 FROM billing WHERE "timestamp" >= TIMESTAMP '2024-01-20'""")
 
+PARTS["finding_hashes"] = """
+SELECT *, sha256('{"category":"' || category || '","description":' || to_json(description) || ',"evidence":' || to_json(evidence)
+  || ',"finding_id":"' || finding_id || '","metadata":{},"severity":"' || severity || '","title":"' || title || '"}') AS h FROM found"""
+PARTS["hashed_reports"] = f"""
+SELECT j.*, sha256(head || '|' || coalesce(digest, {NO_DIGEST})) AS canonical_hash
+FROM documents_json j LEFT JOIN (SELECT {SCOPE}, {DIGEST} AS digest FROM finding_hashes GROUP BY ALL) USING (tenant_id, project_id)"""
+
 # -- findings and report ------------------------------------------------------------------------
 oracle("report_period", f"""
 SELECT t.tenant_id, t.project_id,
@@ -300,8 +308,7 @@ oracle("findings_ranked", f"SELECT {SCOPE}, finding_id, severity, category, find
 oracle("recommendations", "SELECT * FROM advice")
 oracle("report_summary", "SELECT * FROM summed")
 oracle("report_envelope", f"""
-SELECT {SCOPE}, trace_id, report_id, '1970-01-01T00:00:00.000Z' AS generated_at, finding_count, 'document' AS hash_kind,
-  sha256(document) AS canonical_hash FROM documents_json""")
+SELECT {SCOPE}, trace_id, report_id, '1970-01-01T00:00:00.000Z' AS generated_at, finding_count, canonical_hash FROM hashed_reports""")
 _HEAD = [
     "'# Billing Report'", "''", "'- Tenant: ' || tenant_id", "'- Project: ' || project_id", "'- Trace: ' || trace_id",
     "'- Generated: 1970-01-01T00:00:00.000Z'", "''", "'## Summary'", "''",
@@ -313,22 +320,22 @@ _HEAD = [
 _FINDING = ["'- [' || upper(p.severity) || '] ' || p.title", "'  - ' || p.description",
             "'  - Evidence: ' || array_to_string(p.evidence, '; ')"]
 _TAIL = ["''", "'## Canonicalization'", "''", "'- Algorithm: sha256'", "'- Format: json-stable'",
-         "'- Hash: ' || sha256(document)"]
+         "'- Hash: ' || canonical_hash"]
 oracle("report_markdown_lines", f"""
 SELECT {SCOPE}, row_number() OVER (PARTITION BY tenant_id ORDER BY a, b, c) AS line_no, line FROM (
   SELECT {SCOPE}, 1 AS a, 0 AS b, generate_subscripts(lines, 1) AS c, unnest(lines) AS line
-  FROM (SELECT *, [{', '.join(_HEAD)}] AS lines FROM documents_json)
+  FROM (SELECT *, [{', '.join(_HEAD)}] AS lines FROM hashed_reports)
   UNION ALL
   SELECT {SCOPE}, 2, finding_rank, generate_subscripts(lines, 1), unnest(lines)
   FROM (SELECT *, [{', '.join(_FINDING)}] AS lines FROM placed p)
   UNION ALL
   SELECT {SCOPE}, 3, 0, generate_subscripts(lines, 1), unnest(lines)
-  FROM (SELECT *, ['', '## Recommendations', ''] AS lines FROM documents_json)
+  FROM (SELECT *, ['', '## Recommendations', ''] AS lines FROM hashed_reports)
   UNION ALL
   SELECT {SCOPE}, 4, row_number() OVER (PARTITION BY tenant_id ORDER BY recommendation), 0, '- ' || recommendation FROM advice
   UNION ALL
   SELECT {SCOPE}, 5, 0, generate_subscripts(lines, 1), unnest(lines)
-  FROM (SELECT *, [{', '.join(_TAIL)}] AS lines FROM documents_json))""")
+  FROM (SELECT *, [{', '.join(_TAIL)}] AS lines FROM hashed_reports))""")
 PARTS["mailed"] = """
 SELECT *, CASE WHEN event_id % 3 = 0 THEN 'user' || user_id || '@example.com' ELSE 'nobody' END AS who FROM events"""
 PARTS["canon"] = """

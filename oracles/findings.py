@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.parts import PARTS, REFERENCE, iso, ts
+from oracles.parts import CHURN_REFERENCE, PARTS, REFERENCE, iso, ts
 
 ID16 = "substr(sha256('{kind}' || ':' || tenant_id || ':' || project_id || ':' || {ref}), 1, 16)"
 BASE = dict(refund_cents=100000, refund_pct=10.0, disputes=5, failure=0.25, window=300,
@@ -139,13 +139,13 @@ SELECT 'cus_' || user_id AS customer_id, event_type AS metric_name, prev, cur, (
   row_number() OVER (PARTITION BY user_id ORDER BY (prev - cur) / prev * 100 DESC, event_type) AS nth
 FROM usage WHERE prev > 0 AND (prev - cur) / prev * 100 > 30"""
 PARTS["tickets"] = """
-SELECT 'cus_' || o_custkey AS customer_id, substr(o_orderpriority, 1, 1) AS p, o_orderstatus AS s
-FROM orders WHERE o_orderkey % 17 = 0"""
+SELECT 'cus_' || (o_orderkey * 2) AS customer_id, substr(o_orderpriority, 1, 1) AS p, o_orderstatus AS s
+FROM orders"""
 PARTS["plans"] = """
 SELECT *, lag(plan_id) OVER (PARTITION BY tenant_id, subscription_id ORDER BY "timestamp", event_id, ingest_seq) AS was
 FROM billing WHERE plan_id IS NOT NULL"""
 PARTS["downs"] = """
-SELECT * FROM plans WHERE plan_id < was AND "timestamp" >= TIMESTAMP '2024-01-17' AND ingest_seq % 5 = 0"""
+SELECT * FROM plans WHERE plan_id < was"""
 PARTS["facts"] = f"""
 SELECT c.tenant_id, c.project_id, c.customer_id, c.total_mrr_cents, c.subscription_count,
   c.payment_failure_count_30d AS f,
@@ -157,8 +157,8 @@ SELECT c.tenant_id, c.project_id, c.customer_id, c.total_mrr_cents, c.subscripti
   (SELECT count(*) FROM tickets t WHERE t.customer_id = c.customer_id AND p = '2') AS n_high,
   (SELECT count(*) FROM downs x WHERE x.customer_id = c.customer_id) AS n_down,
   (SELECT count(*) FROM downs x WHERE x.customer_id = c.customer_id
-     AND (floor(epoch_us({ts(REFERENCE)}) / 1000) - floor(epoch_us(x."timestamp") / 1000)) / 86400000.0 <= 30) AS n_recent,
-  CAST(floor(epoch_us({ts(REFERENCE)}) / 1000) - floor(epoch_us(c.last_payment_at) / 1000) AS DOUBLE) / 86400000.0 AS idle
+     AND (floor(epoch_us({ts(CHURN_REFERENCE)}) / 1000) - floor(epoch_us(x."timestamp") / 1000)) / 86400000.0 <= 30) AS n_recent,
+  CAST(floor(epoch_us({ts(CHURN_REFERENCE)}) / 1000) - floor(epoch_us(c.last_payment_at) / 1000) AS DOUBLE) / 86400000.0 AS idle
 FROM ch_cust c LEFT JOIN (SELECT * FROM drops WHERE nth = 1) d USING (customer_id)"""
 
 
@@ -199,8 +199,8 @@ SELECT tenant_id, customer_id,
 FROM {p}signals GROUP BY 1, 2"""
     PARTS[f"{p}risks"] = f"""
 SELECT s.tenant_id, s.project_id, s.customer_id,
-  'churn-' || substr(sha256(s.tenant_id || ':' || s.project_id || ':' || s.customer_id || ':{REFERENCE}'), 1, 16) AS risk_id,
-  '{REFERENCE}' AS calculated_at, s.risk_score,
+  'churn-' || substr(sha256(s.tenant_id || ':' || s.project_id || ':' || s.customer_id || ':{CHURN_REFERENCE}'), 1, 16) AS risk_id,
+  '{CHURN_REFERENCE}' AS calculated_at, s.risk_score,
   CASE WHEN s.risk_score >= {t['high']} THEN 'critical' WHEN s.risk_score >= {t['medium']} THEN 'high'
        WHEN s.risk_score >= {t['low']} THEN 'medium' ELSE 'low' END AS risk_level,
   s.n AS signal_count, s.total_mrr_cents AS mrr_cents, s.subscription_count, s.f AS payment_failures_30d,
@@ -218,7 +218,7 @@ SELECT *, concat_ws(' | ', CASE risk_level
 FROM {p}risks"""
 
 
-churn_parts("", BASE)
+churn_parts("", BASE | dict(w_pay=0.1, w_tick=0.1, w_down=0.1))
 churn_parts("r_", REPORT)
 
 # -- findings (report thresholds) --------------------------------------------------
@@ -261,11 +261,7 @@ SELECT s.*, 'trace-main' AS trace_id,
   'finops-report-' || substr(sha256('{"project_id":"' || s.project_id || '","tenant_id":"' || s.tenant_id
      || '","trace_id":"trace-main"}'), 1, 12) AS report_id,
   (SELECT count(*) FROM found f WHERE f.tenant_id = s.tenant_id) AS finding_count,
-  '{"findings":[' || (SELECT string_agg('{"category":"' || category || '","description":' || to_json(description)
-      || ',"evidence":' || to_json(evidence) || ',"finding_id":"' || finding_id || '","metadata":{},"severity":"'
-      || severity || '","title":"' || title || '"}', ',' ORDER BY finding_rank)
-      FROM placed p WHERE p.tenant_id = s.tenant_id)
-  || '],"generated_at":"1970-01-01T00:00:00.000Z","metadata":{"event_envelope_count":0,"run_manifest_count":0},'
+  '{"generated_at":"1970-01-01T00:00:00.000Z","metadata":{"event_envelope_count":0,"run_manifest_count":0},'
   || '"module_id":"finops","project_id":"' || s.project_id || '","recommendations":'
   || (SELECT to_json(list(recommendation ORDER BY recommendation)) FROM advice a WHERE a.tenant_id = s.tenant_id)
   || ',"report_id":"finops-report-' || substr(sha256('{"project_id":"' || s.project_id || '","tenant_id":"' || s.tenant_id
@@ -275,5 +271,5 @@ SELECT s.*, 'trace-main' AS trace_id,
   || s.job_request_count || ',"ledger_customer_count":' || s.ledger_customer_count || ',"ledger_mrr_cents":'
   || s.ledger_mrr_cents || ',"normalized_event_count":' || s.normalized_event_count || ',"period_end":"' || s.period_end
   || '","period_start":"' || s.period_start || '","reconciliation_discrepancies":' || s.reconciliation_discrepancies
-  || '},"tenant_id":"' || s.tenant_id || '","trace_id":"trace-main"}' AS document
+  || '},"tenant_id":"' || s.tenant_id || '","trace_id":"trace-main"}' AS head
 FROM summed s"""

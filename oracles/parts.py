@@ -10,8 +10,7 @@ from __future__ import annotations
 import re
 
 PERIOD_A, PERIOD_B = "2024-01-03T00:00:00Z", "2024-01-28T23:59:59.999Z"
-CHURN_B = "2024-01-07T23:59:59.999Z"
-REFERENCE = "2024-02-20T00:00:00Z"
+REFERENCE, CHURN_REFERENCE = "2024-02-20T00:00:00Z", "2024-02-28T00:00:00Z"
 
 
 def ts(text: str) -> str:
@@ -127,7 +126,7 @@ GROUP BY b.tenant_id, b.project_id"""
 
 
 ledger_parts("", PERIOD_A, PERIOD_B)
-ledger_parts("ch_", PERIOD_A, CHURN_B)
+ledger_parts("ch_", PERIOD_A, PERIOD_B)
 
 PARTS["disc"] = """
 SELECT tenant_id, project_id, customer_id, subscription_id, generation, mrr_cents AS expected_mrr_cents,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline import fixed
@@ -11,10 +11,6 @@ from tallyline.functions.skew import split_join
 from tallyline.functions.hashing import digest_sums, digest_text, sha256_hex
 
 TOLERANCE_CENTS = 100
-# Up to this many discrepancies a tenant's report hash is the SHA-256 of the
-# ordered JSON list. Longer lists get the order-free digest: a list that long
-# would have to pass through one task to be written as one text.
-MAX_LISTED = 10_000
 
 
 def discrepancies(subscriptions: DataFrame, customers: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
@@ -80,26 +76,42 @@ def recon_summary(totals: DataFrame, found: DataFrame, missing: DataFrame, start
     )
 
 
-def report_hashes(
-    totals: DataFrame, found: DataFrame, start: str, end: str, max_listed: int | None = None
-) -> DataFrame:
-    """SHA-256 per tenant over the period and the discrepancies.
+def report_hashes(totals: DataFrame, found: DataFrame, start: str, end: str) -> DataFrame:
+    """Per tenant a SHA-256 over the period and the order-free digest of its discrepancies.
 
-    `hash_kind` is 'listed' where the hash is that of the ordered list and
-    'digest' where the list is longer than `max_listed`.
+    The same at every size: hashes of the entries add up before the shuffle, so no
+    tenant's entries have to meet. `document_hashes` gives the hash of the ordered list.
     """
-    max_listed = MAX_LISTED if max_listed is None else max_listed
     entry = F.struct("subscription_id", "difference_cents", "reason")
-    rows = found.select(*SCOPE, "customer_id", "subscription_id", "generation", "difference_cents", "reason")
-    summed = rows.groupBy(*SCOPE).agg(
+    summed = found.groupBy(*SCOPE).agg(
         F.count(F.lit(1)).alias("discrepancy_count"),
         *digest_sums(sha256_hex(F.to_json(entry))),
     )
-    short = summed.where(F.col("discrepancy_count") <= max_listed).select(*SCOPE)
+    n = F.coalesce("discrepancy_count", F.lit(0))
+    return (
+        totals.select(*SCOPE)
+        .join(summed, SCOPE, "left")
+        .select(
+            *SCOPE,
+            _report_id(start, end),
+            n.alias("discrepancy_count"),
+            sha256_hex(F.concat_ws("|", *SCOPE, F.lit(start), F.lit(end), digest_text(n))).alias("report_hash"),
+        )
+    )
+
+
+def _report_id(start: str, end: str) -> Column:
+    return F.concat_ws("-", F.lit("recon"), *SCOPE, F.lit(start), F.lit(end)).alias("report_id")
+
+
+def document_hashes(totals: DataFrame, found: DataFrame, start: str, end: str) -> DataFrame:
+    """Export: the SHA-256 of each tenant's report as one JSON document with all discrepancies in order.
+
+    A document is one value, so a tenant's discrepancies meet in one group.
+    """
     place = F.struct("customer_id", "subscription_id", "generation", "difference_cents", "reason")
     listed = (
-        rows.join(short, SCOPE, "left_semi")
-        .groupBy(*SCOPE)
+        found.groupBy(*SCOPE)
         .agg(F.array_sort(F.collect_list(place)).alias("items"))
         .select(
             *SCOPE,
@@ -115,21 +127,9 @@ def report_hashes(
     )
     header = [F.lit(start).alias("period_start"), F.lit(end).alias("period_end")]
     no_items = F.array().cast("array<struct<subscription_id:string,difference_cents:bigint,reason:string>>")
-    listed_hash = sha256_hex(
-        F.to_json(F.struct(*SCOPE, *header, F.coalesce("items", no_items).alias("discrepancies")))
-    )
-    n = F.coalesce("discrepancy_count", F.lit(0))
+    document = F.to_json(F.struct(*SCOPE, *header, F.coalesce("items", no_items).alias("discrepancies")))
     return (
         totals.select(*SCOPE)
-        .join(summed, SCOPE, "left")
         .join(listed, SCOPE, "left")
-        .select(
-            *SCOPE,
-            F.concat_ws("-", F.lit("recon"), *SCOPE, F.lit(start), F.lit(end)).alias("report_id"),
-            n.alias("discrepancy_count"),
-            F.when(n <= max_listed, "listed").otherwise("digest").alias("hash_kind"),
-            F.when(n <= max_listed, listed_hash)
-            .otherwise(sha256_hex(F.concat_ws("|", *SCOPE, F.lit(start), F.lit(end), digest_text(n))))
-            .alias("report_hash"),
-        )
+        .select(*SCOPE, _report_id(start, end), sha256_hex(document).alias("document_hash"))
     )

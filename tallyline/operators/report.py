@@ -13,9 +13,6 @@ from tallyline.functions.hashing import digest_sums, digest_text, sha256_hex
 from tallyline.functions.ranking import ranked
 
 HIGH_DIFFERENCE_CENTS = 1000
-# Reports with more findings get an order-free digest instead of the hash of
-# the whole canonical document, which would have to be one row.
-MAX_LISTED = 10_000
 SEVERITY_RANK = {name: i for i, name in enumerate(fixed.FINDING_SEVERITY_ORDER)}
 
 
@@ -179,7 +176,8 @@ SUMMARY_FIELDS = [
 ]
 
 
-def _listed_findings(ranked_findings: DataFrame, short: DataFrame) -> DataFrame:
+def _finding_json() -> Column:
+    """A finding as the report's document has it."""
     entry = F.struct(
         "category",
         "description",
@@ -189,36 +187,12 @@ def _listed_findings(ranked_findings: DataFrame, short: DataFrame) -> DataFrame:
         "severity",
         "title",
     )
-    text = F.to_json(entry)
-    return (
-        ranked_findings.join(short, SCOPE, "left_semi")
-        .groupBy(*SCOPE)
-        .agg(F.array_sort(F.collect_list(F.struct("finding_rank", text.alias("json")))).alias("items"))
-        .select(*SCOPE, F.array_join(F.transform("items", lambda i: i["json"]), ",").alias("findings_json"))
-    )
+    return F.to_json(entry)
 
 
-def report_envelopes(
-    summary: DataFrame,
-    ranked_findings: DataFrame,
-    advice: DataFrame,
-    trace_id: Column,
-    generated_at: str = fixed.STABLE_TIMESTAMP,
-    max_listed: int | None = None,
-) -> DataFrame:
-    """Report id and canonical hash per tenant.
-
-    `hash_kind` is 'document' where the hash covers the canonical JSON of the
-    whole report and 'digest' beyond `max_listed` findings.
-    """
-    max_listed = MAX_LISTED if max_listed is None else max_listed
-    sized = ranked_findings.groupBy(*SCOPE).agg(
-        F.count(F.lit(1)).alias("finding_count"),
-        *digest_sums(sha256_hex(F.to_json(F.struct("finding_id", "severity", "title", "description")))),
-    )
-    short = sized.where(F.col("finding_count") <= max_listed).select(*SCOPE)
+def _headed(summary: DataFrame, advice: DataFrame, trace_id: Column, generated_at: str) -> DataFrame:
+    """The summary with trace, report id, and `head`: the document without its findings."""
     texts = advice.groupBy(*SCOPE).agg(F.array_sort(F.collect_list("recommendation")).alias("recommendations"))
-    n = F.coalesce("finding_count", F.lit(0))
     head = F.to_json(
         F.struct(
             F.lit(generated_at).alias("generated_at"),
@@ -234,35 +208,75 @@ def report_envelopes(
             "trace_id",
         )
     )
-    # "findings" sorts before every other key of the document
-    document = F.concat(
-        F.lit('{"findings":['),
-        F.coalesce("findings_json", F.lit("")),
-        F.lit("],"),
-        F.substring(F.col("head"), F.lit(2), F.length("head")),
-    )
     return (
         summary.withColumn("trace_id", trace_id)
         .withColumn("report_id", report_id())
-        .join(sized, SCOPE, "left")
-        .join(_listed_findings(ranked_findings, short), SCOPE, "left")
         .join(texts, SCOPE, "left")
         .withColumn("recommendations", F.coalesce("recommendations", F.array().cast("array<string>")))
         .withColumn("head", head)
+    )
+
+
+def report_envelopes(
+    summary: DataFrame,
+    findings: DataFrame,
+    advice: DataFrame,
+    trace_id: Column,
+    generated_at: str = fixed.STABLE_TIMESTAMP,
+) -> DataFrame:
+    """Report id and canonical hash per tenant.
+
+    The hash covers the document's head and the order-free digest of the findings,
+    at every size alike; `document_hashes` gives the hash of the whole document.
+    """
+    sized = findings.groupBy(*SCOPE).agg(
+        F.count(F.lit(1)).alias("finding_count"), *digest_sums(sha256_hex(_finding_json()))
+    )
+    n = F.coalesce("finding_count", F.lit(0))
+    return (
+        _headed(summary, advice, trace_id, generated_at)
+        .join(sized, SCOPE, "left")
         .select(
             *SCOPE,
             "trace_id",
             "report_id",
             F.lit(generated_at).alias("generated_at"),
             n.alias("finding_count"),
-            F.when(n <= max_listed, "document").otherwise("digest").alias("hash_kind"),
-            F.when(n <= max_listed, sha256_hex(document))
-            .otherwise(sha256_hex(F.concat_ws("|", "head", digest_text(n))))
-            .alias("canonical_hash"),
+            sha256_hex(F.concat_ws("|", "head", digest_text(n))).alias("canonical_hash"),
         )
     )
 
 
+def document_hashes(
+    summary: DataFrame,
+    ranked_findings: DataFrame,
+    advice: DataFrame,
+    trace_id: Column,
+    generated_at: str = fixed.STABLE_TIMESTAMP,
+) -> DataFrame:
+    """Export: the SHA-256 of each tenant's whole report as one canonical JSON document.
+
+    A document is one value, so a tenant's findings meet in one group.
+    """
+    listed = (
+        ranked_findings.groupBy(*SCOPE)
+        .agg(F.array_sort(F.collect_list(F.struct("finding_rank", _finding_json().alias("json")))).alias("items"))
+        .select(*SCOPE, F.array_join(F.transform("items", lambda i: i["json"]), ",").alias("findings_json"))
+    )
+    # "findings" sorts before every other key of the document
+    document = F.concat(
+        F.lit('{"findings":['),
+        F.coalesce("findings_json", F.lit("")),
+        F.lit("],"),
+        F.substring(F.col("head"), F.lit(2), F.length("head")),
+    )
+    return (
+        _headed(summary, advice, trace_id, generated_at)
+        .join(listed, SCOPE, "left")
+        .select(*SCOPE, "trace_id", "report_id", sha256_hex(document).alias("document_hash"))
+    )
+
+
 def report_lines(
     summary: DataFrame,
     envelopes: DataFrame,

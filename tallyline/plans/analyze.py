@@ -75,7 +75,11 @@ class Analysis:
         )
 
     def envelopes(self, trace_id: str) -> DataFrame:
-        return report.report_envelopes(self.summary, self.ranked_findings, self.recommendations, F.lit(trace_id))
+        return report.report_envelopes(self.summary, self.findings, self.recommendations, F.lit(trace_id))
+
+    def documents(self, trace_id: str) -> DataFrame:
+        """Export: hashes of the tenants' reports as whole documents."""
+        return report.document_hashes(self.summary, self.ranked_findings, self.recommendations, F.lit(trace_id))
 
     def lines(self, trace_id: str, title: str = "Billing Report") -> DataFrame:
         envelopes = self.keep(self.envelopes(trace_id))

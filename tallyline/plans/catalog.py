@@ -42,6 +42,9 @@ from tallyline.sources import derived
 
 START, END = derived.PERIOD_START, derived.PERIOD_END
 REFERENCE = derived.REFERENCE_DATE
+CHURN_REFERENCE = derived.CHURN_REFERENCE_DATE
+# The test events have many failed payments; lower weights spread the scores over all levels.
+CHURN_THRESHOLDS = Thresholds(payment_failure_weight=0.1, support_ticket_weight=0.1, plan_downgrade_weight=0.1)
 TRACE = "trace-main"
 NORMALIZED_AT = "2024-02-20T00:00:00Z"
 METRIC_LIMITS = {
@@ -124,8 +127,7 @@ class Inputs:
 
     @cached_property
     def churn_customers(self) -> DataFrame:
-        end = derived.CHURN_PERIOD_END
-        return ledgers.Ledger(derived.billing_view(self.events, START, end), START, end).customers
+        return self.period_ledger.customers
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -142,13 +144,13 @@ class Inputs:
             derived.support_tickets(self.table("orders")),
             derived.plan_downgrades(self.billing, self.heavy),
             thresholds,
-            REFERENCE,
-            REFERENCE,
+            CHURN_REFERENCE,
+            CHURN_REFERENCE,
         )
 
     @cached_property
     def risks(self) -> DataFrame:
-        return churn.churn_risks(self.churn_features(Thresholds()), REFERENCE)
+        return churn.churn_risks(self.churn_features(CHURN_THRESHOLDS), CHURN_REFERENCE)
 
     @cached_property
     def anomalies(self) -> DataFrame:
@@ -188,7 +190,7 @@ class Inputs:
             derived.usage_metrics(self.events),
             derived.support_tickets(self.table("orders")),
             derived.plan_downgrades(self.event_table, self.event_keys),
-            REFERENCE,
+            CHURN_REFERENCE,
         )
         return analyze(self.event_table, START, END, REFERENCE, churn_inputs=inputs, heavy=self.event_keys)
 
@@ -443,27 +445,27 @@ def anomaly_events(i: Inputs) -> DataFrame:
 # -- churn -------------------------------------------------------------------------
 @query
 def churn_signal_payment(i: Inputs) -> DataFrame:
-    return churn.signal(i.churn_features(Thresholds()), "payment_failures")
+    return churn.signal(i.churn_features(CHURN_THRESHOLDS), "payment_failures")
 
 
 @query
 def churn_signal_usage(i: Inputs) -> DataFrame:
-    return churn.signal(i.churn_features(Thresholds()), "usage_drop")
+    return churn.signal(i.churn_features(CHURN_THRESHOLDS), "usage_drop")
 
 
 @query
 def churn_signal_tickets(i: Inputs) -> DataFrame:
-    return churn.signal(i.churn_features(Thresholds()), "support_tickets")
+    return churn.signal(i.churn_features(CHURN_THRESHOLDS), "support_tickets")
 
 
 @query
 def churn_signal_downgrade(i: Inputs) -> DataFrame:
-    return churn.signal(i.churn_features(Thresholds()), "plan_downgrade")
+    return churn.signal(i.churn_features(CHURN_THRESHOLDS), "plan_downgrade")
 
 
 @query
 def churn_signal_inactivity(i: Inputs) -> DataFrame:
-    return churn.signal(i.churn_features(Thresholds()), "no_recent_login")
+    return churn.signal(i.churn_features(CHURN_THRESHOLDS), "no_recent_login")
 
 
 @query

@@ -16,8 +16,8 @@ from tallyline.functions.skew import HeavyKeys
 
 PERIOD_START = "2024-01-03T00:00:00Z"
 PERIOD_END = "2024-01-28T23:59:59.999Z"
-CHURN_PERIOD_END = "2024-01-07T23:59:59.999Z"
 REFERENCE_DATE = "2024-02-20T00:00:00Z"
+CHURN_REFERENCE_DATE = "2024-02-28T00:00:00Z"
 REDELIVERY_SEQ = 1_000_000_000
 DOUBLE_CHARGE_SEQ = 2_000_000_000
 MAX_SHIFT_SECONDS = 600
@@ -163,13 +163,13 @@ def usage_metrics(events: DataFrame) -> DataFrame:
 
 
 def support_tickets(orders: DataFrame) -> DataFrame:
-    """Every seventeenth order as a support ticket; most belong to unknown customers."""
+    """Every order as a support ticket; most belong to unknown customers."""
     first = F.substring("o_orderpriority", 1, 1)
-    return orders.where(F.col("o_orderkey") % 17 == 0).select(
+    return orders.select(
         F.concat(F.lit("tick_"), F.col("o_orderkey").cast("string")).alias("ticket_id"),
-        F.concat(F.lit("tenant-"), (F.col("o_custkey") % 3).cast("string")).alias("tenant_id"),
+        F.concat(F.lit("tenant-"), (F.col("o_orderkey") * 2 % 3).cast("string")).alias("tenant_id"),
         F.lit("project-main").alias("project_id"),
-        F.concat(F.lit("cus_"), F.col("o_custkey").cast("string")).alias("customer_id"),
+        F.concat(F.lit("cus_"), (F.col("o_orderkey") * 2).cast("string")).alias("customer_id"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
         F.when(first == "1", "critical").when(first == "2", "high").when(first == "3", "medium").otherwise("low").alias(
             "severity"
@@ -183,7 +183,7 @@ def support_tickets(orders: DataFrame) -> DataFrame:
 
 
 def plan_downgrades(billing: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
-    """Plan changes to a smaller plan id after 17 January."""
+    """Every plan change to a smaller plan id."""
     key = ["tenant_id", "project_id", "subscription_id"]
     planned = billing.where(F.col("plan_id").isNotNull() & F.col("subscription_id").isNotNull())
     planned = planned.select(*key, "customer_id", "plan_id", "timestamp", "event_id", "ingest_seq")
@@ -192,11 +192,7 @@ def plan_downgrades(billing: DataFrame, heavy: HeavyKeys | None = None) -> DataF
         ordered_scan(
             planned, key, ["timestamp", "event_id", "ingest_seq"], previous={"from_plan": "plan_id"}, heavy=heavy
         )
-        .where(
-            (F.col("plan_id") < F.col("from_plan"))
-            & (F.col("timestamp") >= F.to_timestamp(F.lit("2024-01-17T00:00:00Z")))
-            & (F.col("ingest_seq") % 5 == 0)
-        )
+        .where(F.col("plan_id") < F.col("from_plan"))
         .select(
             "tenant_id",
             "project_id",

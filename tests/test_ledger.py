@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from conftest import DATA, END, START, Book, at
 
 from pyspark.sql import functions as F
@@ -152,16 +155,28 @@ def test_balanced_tenant(spark, book):
     assert row.report_id == f"recon-t1-p1-{START}-{END}"
 
 
-def test_report_hash_switches_to_digest_for_long_lists(spark, book):
+def test_report_hash_is_the_same_digest_at_every_size(spark, book):
     for n in range(4):
         book.add("subscription_created", n, f"s{n}", amount_cents=500)
     ledger = Ledger(book.df(spark), START, END)
     rows = reconcile.discrepancies(ledger.subscriptions, ledger.customers)
-    listed = reconcile.report_hashes(ledger.totals, rows, START, END).collect()[0]
-    digest = reconcile.report_hashes(ledger.totals, rows, START, END, max_listed=3).collect()[0]
-    again = reconcile.report_hashes(ledger.totals, rows.repartition(3), START, END, max_listed=3).collect()[0]
-    assert (listed.hash_kind, digest.hash_kind) == ("listed", "digest")
-    assert digest.report_hash == again.report_hash != listed.report_hash
+    one = reconcile.report_hashes(ledger.totals, rows, START, END).collect()[0]
+    again = reconcile.report_hashes(ledger.totals, rows.repartition(3), START, END).collect()[0]
+    many = spark.range(20_000).select(
+        F.lit("t1").alias("tenant_id"), F.lit("p1").alias("project_id"), F.col("id").cast("string").alias("subscription_id"),
+        F.lit(1).cast("long").alias("difference_cents"), F.lit("r").alias("reason"),
+    )
+    long = reconcile.report_hashes(ledger.totals, many, START, END)
+    assert one == again and one.discrepancy_count == 4
+    assert "collect_list" not in long._jdf.queryExecution().optimizedPlan().toString()
+    assert long.columns == [*one.asDict()] and long.first().discrepancy_count == 20_000
+    listed = [(r.subscription_id, r.difference_cents, r.reason) for r in rows.orderBy("customer_id", "subscription_id").collect()]
+    document = {
+        "tenant_id": "t1", "project_id": "p1", "period_start": START, "period_end": END,
+        "discrepancies": [dict(zip(("subscription_id", "difference_cents", "reason"), x)) for x in listed],
+    }
+    whole = reconcile.document_hashes(ledger.totals, rows, START, END).collect()[0]
+    assert whole.document_hash == hashlib.sha256(json.dumps(document, separators=(",", ":")).encode()).hexdigest()
 
 
 def fold(events, start, end):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pytest
+
 from conftest import END, REF, START, Book, T0
 
 from pyspark.sql import functions as F
@@ -72,8 +74,8 @@ def test_golden_report(spark):
     assert (summary.anomaly_count, summary.reconciliation_discrepancies, summary.job_request_count) == (0, 0, 3)
     envelope = result.envelopes("trace-demo").collect()[0]
     assert envelope.report_id == "finops-report-001fcc70100e"
-    assert envelope.canonical_hash == "19099764fc45c8c26c1f33848137909904d1290ff5f9aa6d566c42ec6039936f"
-    assert envelope.hash_kind == "document"
+    whole = result.documents("trace-demo").collect()[0]
+    assert whole.document_hash == "19099764fc45c8c26c1f33848137909904d1290ff5f9aa6d566c42ec6039936f"
     lines = [r.line for r in result.lines("trace-demo", title="T").orderBy("line_no").collect()]
     assert lines == [
         "# T", "", "- Tenant: tenant-demo", "- Project: project-demo", "- Trace: trace-demo",
@@ -82,7 +84,7 @@ def test_golden_report(spark):
         "- MRR (cents): 5000", "- Reconciliation discrepancies: 0", "- Anomalies: 0", "- Churn risks: 0",
         "- Job requests: 3", "", "## Findings", "", "- No findings produced.", "", "## Recommendations", "",
         "- No recommendations generated.", "", "## Canonicalization", "", "- Algorithm: sha256",
-        "- Format: json-stable", "- Hash: 19099764fc45c8c26c1f33848137909904d1290ff5f9aa6d566c42ec6039936f",
+        "- Format: json-stable", f"- Hash: {envelope.canonical_hash}",
     ]
 
 
@@ -139,16 +141,34 @@ def test_document_hash_is_the_hash_of_the_canonical_report(spark):
         "metadata": {"event_envelope_count": 0, "run_manifest_count": 0},
     }
     text = json.dumps(document, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    assert envelope.canonical_hash == hashlib.sha256(text.encode()).hexdigest()
+    assert result.documents("trace-1").collect()[0].document_hash == hashlib.sha256(text.encode()).hexdigest()
+
+
+def digest_of(texts: list[str]) -> str:
+    hashes = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    sums = [str(sum(int(h[8 * i : 8 * i + 8], 16) for h in hashes)) for i in range(8)]
+    return hashlib.sha256(":".join([str(len(texts)), *sums]).encode()).hexdigest()
 
 
-def test_long_reports_get_a_digest(spark):
+@pytest.mark.parametrize("n", [0, 3, 20_000])
+def test_one_kind_of_hash_at_every_size(spark, n):
     result = analysis(spark)
-    ranks = report.rank_findings(result.findings)
-    make = lambda n: report.report_envelopes(result.summary, ranks, result.recommendations, F.lit("t"), max_listed=n)
-    short, long = make(100).collect()[0], make(2).collect()[0]
-    assert (short.hash_kind, long.hash_kind) == ("document", "digest")
-    assert short.finding_count == long.finding_count > 2 and short.canonical_hash != long.canonical_hash
+    made = spark.range(n).select(
+        F.lit("t1").alias("tenant_id"), F.lit("p1").alias("project_id"), F.concat(F.lit("f"), "id").alias("finding_id"),
+        F.lit("T").alias("title"), F.lit("D").alias("description"), F.lit("low").alias("severity"),
+        F.lit("churn").alias("category"), F.array(F.lit("e")).alias("evidence"),
+    )
+    make = lambda df: report.report_envelopes(result.summary, df, result.recommendations, F.lit("t")).collect()[0]
+    row = make(made.repartition(5))
+    plan = report.report_envelopes(result.summary, made, result.recommendations, F.lit("t"))
+    assert "finding_rank" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert row.finding_count == n and row == make(made.orderBy(F.desc("finding_id")))
+    head = report._headed(result.summary, result.recommendations, F.lit("t"), fixed.STABLE_TIMESTAMP).first().head
+    texts = [
+        f'{{"category":"churn","description":"D","evidence":["e"],"finding_id":"f{i}","metadata":{{}},"severity":"low","title":"T"}}'
+        for i in range(n)
+    ]
+    assert row.canonical_hash == hashlib.sha256(f"{head}|{digest_of(texts)}".encode()).hexdigest()
 
 
 def test_default_period(spark):
