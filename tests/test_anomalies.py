@@ -188,20 +188,20 @@ def test_ledger_only_scan(spark, book):
     assert sorted(r.anomaly_type for r in rows) == ["missing_invoice", "payment_failure_spike"]
 
 
-def test_sample_scenario(spark, book):
-    """A double charge with two event ids, two failures, one full refund below the limit."""
-    book.add("subscription_created", 0, "acme", amount_cents=29000, customer_id="acme")
-    book.add("invoice_paid", 10, "acme", invoice_id="inv_001", amount_cents=29000, customer_id="acme")
-    book.add("invoice_paid", 20, "agency", invoice_id="inv_003", amount_cents=9900, customer_id="agency")
-    book.add("invoice_paid", 120, "agency", invoice_id="inv_003", amount_cents=9900, customer_id="agency")
-    book.add("payment_failed", 30, customer_id="xyz").add("payment_failed", 40, customer_id="xyz")
-    book.add("invoice_refunded", 50, "acme", invoice_id="inv_001", amount_cents=29000, customer_id="acme")
+def test_detectors_side_by_side(spark, book):
+    """A bill paid twice under two event ids, a customer whose cards fail, and a refund too small to matter."""
+    book.add("subscription_created", 3, "loom", amount_cents=1_750, customer_id="atelier")
+    book.add("invoice_paid", 90, "loom", invoice_id="R-77", amount_cents=1_750, customer_id="atelier")
+    book.add("invoice_paid", 4_000, "loom", invoice_id="R-77", amount_cents=1_750, customer_id="atelier")
+    for second in (7, 800, 90_000):
+        book.add("payment_failed", second, customer_id="kiosk")
+    book.add("invoice_refunded", 95_000, "loom", invoice_id="R-60", amount_cents=120, customer_id="atelier")
     df = book.df(spark)
     ledger = Ledger(df, START, END)
     rows = a.detect(df, ledger.subscriptions, ledger.customers, ledger.totals, BASE, REF).collect()
     assert sorted((r.anomaly_type, r.reference) for r in rows) == [
-        ("double_charge", "inv_003"),
-        ("payment_failure_spike", "xyz"),
+        ("double_charge", "R-77"),
+        ("payment_failure_spike", "kiosk"),
     ]
 
 
