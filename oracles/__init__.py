@@ -44,6 +44,12 @@ SELECT *, CASE fault
 FROM faulty"""
 PARTS["accepted"] = """
 SELECT * REPLACE (CASE WHEN fault = 8 THEN 5000 ELSE amount_cents END AS amount_cents) FROM judged WHERE error IS NULL"""
+_RAW_BACK = """
+SELECT event_id, event_type, customer_id, currency, amount_cents, CAST(NULL AS VARCHAR) AS error FROM accepted
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, error FROM judged WHERE error IS NOT NULL"""
+oracle("src_raw_lines", _RAW_BACK)
+oracle("src_raw_array", _RAW_BACK + """
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, unnest(['Input file must be valid JSON', 'Input file must be an array'])""")
 HASHED = """sha256('{' || concat_ws(',',
   '"tenant_id":"' || tenant_id || '"', '"project_id":"' || project_id || '"', '"event_id":"' || event_id || '"',
   '"event_type":"' || event_type || '"', '"timestamp":"' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%fZ') || '"',
@@ -539,6 +545,14 @@ SELECT event_id, '{"event":' || event_id || ',"API_KEY":"[REDACTED]","nested":{"
   || '"]},"tokens":"[REDACTED]"}' AS payload
 FROM events""")
 
+oracle("redact_typed_rows", """
+SELECT event_id, '{"auth_token":"[REDACTED]","n":"' || event_id || '"}' AS counts,
+  '{"password":"[REDACTED]","kind":"' || event_type || '"}' AS login, '[{"secret":"[REDACTED]","n":' || event_id || '}]' AS lists,
+  '{"a":{"password":"[REDACTED]"},"n":' || event_id || '}' AS free, '[REDACTED]' AS api_key,
+  CASE event_id % 5 WHEN 0 THEN '[REDACTED]' WHEN 1 THEN '{"n": ' || event_id || '}'
+    ELSE '{"n":' || event_id || ',"token":"[REDACTED]"}' END AS payload
+FROM events""")
+
 # -- runner metrics ---------------------------------------------------------------------------------------
 PARTS["runs"] = """
 SELECT 'runner-' || (u % 4) AS runner_id, ['autopilot.finops.reconcile', 'autopilot.finops.anomaly_scan',

@@ -103,11 +103,13 @@ def event_rules() -> list[Rule]:
 def check(raw: DataFrame) -> DataFrame:
     """Raw rows with their parsed fields and `messages`, the rules they break.
 
-    `raw_kind` is 'object', 'array', 'scalar' or 'malformed'.
+    `raw_kind` is 'object', 'array', 'scalar', 'malformed', or 'file' for a file the reader rejects.
     """
+    file_error = F.col("file_error") if "file_error" in raw.columns else F.lit(None).cast("string")
     opening = F.substring(F.ltrim(F.col("raw")), 1, 1)
     kind = (
-        F.when(F.col("payload").isNull(), "malformed")
+        F.when(F.col("file_error").isNotNull(), "file")
+        .when(F.col("payload").isNull(), "malformed")
         .when(opening == "{", "object")
         .when(opening == "[", "array")
         .otherwise("scalar")
@@ -115,7 +117,7 @@ def check(raw: DataFrame) -> DataFrame:
     names = [*TEXT_FIELDS, *OPTIONAL_TEXT_FIELDS, "amount_cents", "metadata"]
     texts = [*TEXT_FIELDS, *OPTIONAL_TEXT_FIELDS]
     parsed = (
-        raw.select(*SCOPE, "ingest_seq", "raw")
+        raw.select(*SCOPE, "ingest_seq", "raw", file_error.alias("file_error"))
         .withColumn("payload", F.try_parse_json("raw"))
         .withColumn("raw_kind", kind)
         .withColumns({f"v_{n}": _raw_field(n) for n in names})
@@ -128,7 +130,8 @@ def check(raw: DataFrame) -> DataFrame:
     # most rows are valid: one flag settles that before any message is built
     suspect = parsed.withColumn("suspect", reduce(lambda x, y: x | y, [F.coalesce(r.broken, F.lit(False)) for r in rules]))
     messages = (
-        F.when(F.col("raw_kind") == "malformed", F.array(F.lit("Event must be valid JSON")))
+        F.when(F.col("raw_kind") == "file", F.array("file_error"))
+        .when(F.col("raw_kind") == "malformed", F.array(F.lit("Event must be valid JSON")))
         .when(F.col("raw_kind") == "scalar", F.array(F.lit("Event must be an object")))
         .when(F.col("suspect"), broken_rules(rules))
         .otherwise(F.array().cast("array<string>"))

@@ -48,9 +48,14 @@ def redact_whole(text: Column) -> Column:
     return F.when(is_sensitive(text), fixed.REDACTED).otherwise(text)
 
 
-def redact_columns(df: DataFrame, columns: list[str], style: str) -> DataFrame:
-    """`df` with the text columns redacted; `style` is typed, inline, list or whole."""
-    one = redact_whole if style == "whole" else (lambda c: redact_text(c, style))
+def redact_columns(
+    df: DataFrame, columns: list[str], style: str, extra: list[tuple[str, str, str]] | None = None
+) -> DataFrame:
+    """`df` with the text columns redacted; `style` is typed, inline, list or whole.
+
+    `extra` patterns (name, pattern, replacement) follow those of the style.
+    """
+    one = redact_whole if style == "whole" else (lambda c: redact_text(c, style, extra))
     return df.withColumns({c: one(F.col(c)) for c in columns})
 
 
@@ -76,7 +81,14 @@ def is_sensitive_key(name: str) -> bool:
 
 
 def redact_typed_column(column: Column, data_type: T.DataType) -> Column:
-    """Redact a typed value by the names in its schema; decided while planning."""
+    """Redact a typed value by the names in its schema; decided while planning.
+
+    Values under a sensitive name are masked whatever their type, so maps of other
+    values than text become maps of text (nested values as JSON). Free JSON goes
+    the way of payloads; a list or map with free JSON inside becomes free JSON.
+    """
+    if _inside_list(data_type):
+        return F.parse_json(redact_payloads(F.to_json(column)))
     if isinstance(data_type, T.StringType):
         return redact_whole(column)
     if isinstance(data_type, T.StructType):
@@ -95,17 +107,40 @@ def redact_typed_column(column: Column, data_type: T.DataType) -> Column:
         )
     if isinstance(data_type, T.ArrayType):
         return F.transform(column, lambda x: redact_typed_column(x, data_type.elementType))
-    if isinstance(data_type, T.MapType) and isinstance(data_type.valueType, T.StringType):
-        words = F.lit(False)
+    if isinstance(data_type, T.VariantType):
+        return F.parse_json(redact_payloads(F.to_json(column)))
+    if isinstance(data_type, T.MapType):
+        value_type = data_type.valueType
+
+        def shown(value: Column) -> Column:
+            redacted = redact_typed_column(value, value_type)
+            if isinstance(value_type, T.StringType):
+                return redacted
+            nested = isinstance(value_type, T.StructType | T.ArrayType | T.MapType)
+            return F.to_json(redacted) if nested else redacted.cast("string")
+
+        masked = F.lit(fixed.REDACTED)
+        if not isinstance(data_type.keyType, T.StringType):
+            return F.transform_values(column, lambda k, v: shown(v))
         return F.transform_values(
-            column,
-            lambda k, v: F.when(
-                _any_word(F.lower(k), words), F.lit(fixed.REDACTED)
-            ).otherwise(redact_whole(v)),
+            column, lambda k, v: F.when(_any_word(F.lower(k), F.lit(False)), masked).otherwise(shown(v))
         )
     return column
 
 
+def _inside_list(data_type: T.DataType, inside: bool = False) -> bool:
+    """Does a list or map hold free JSON? Expressions that walk lists can't call the payload masking."""
+    if isinstance(data_type, T.VariantType):
+        return inside
+    if isinstance(data_type, T.ArrayType):
+        return _inside_list(data_type.elementType, True)
+    if isinstance(data_type, T.MapType):
+        return _inside_list(data_type.valueType, True)
+    if isinstance(data_type, T.StructType):
+        return any(_inside_list(f.dataType, inside) for f in data_type.fields)
+    return False
+
+
 def _any_word(text: Column, hit: Column) -> Column:
     for word in fixed.SENSITIVE_KEY_WORDS:
         hit = hit | F.contains(text, F.lit(word))
@@ -125,7 +160,12 @@ def redact_row(df: DataFrame) -> DataFrame:
 
 
 def redact_payloads(column: Column) -> Column:
-    """Free JSON text with sensitive keys masked at any depth and sensitive strings replaced."""
+    """Free JSON text with sensitive keys masked at any depth and sensitive strings replaced.
+
+    Only texts with a sensitive word, the literal of a pattern, or an escape that
+    could hide one are parsed; others are left as they are. Such a text that isn't
+    JSON is masked as a whole.
+    """
     import re
 
     whole = [re.compile(p) for p in fixed.WHOLE_VALUE_PATTERNS]
@@ -139,10 +179,18 @@ def redact_payloads(column: Column) -> Column:
             return {k: fixed.REDACTED if is_sensitive_key(k) else mask(v) for k, v in value.items()}
         return value
 
+    def redacted(text: str) -> str:
+        try:
+            return json.dumps(mask(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return fixed.REDACTED
+
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: json.dumps(mask(json.loads(t)), separators=(",", ":"), ensure_ascii=False), na_action="ignore"
-        )
+        return texts.map(redacted, na_action="ignore")
 
-    return masked(column)
+    needles = [NEEDLES[p] for p in fixed.WHOLE_VALUE_PATTERNS] + ["\\u"]
+    suspect = _any_word(F.lower(column), F.lit(False))
+    for needle in needles:
+        suspect = suspect | F.contains(F.lower(column), F.lit(needle))
+    return F.coalesce(masked(F.when(suspect, column)), column)

@@ -243,6 +243,34 @@ def sink_events_json(i: Inputs) -> DataFrame:
     return back.select("tenant_id", "event_id", "event_type", "timestamp", "customer_id", "amount_cents", "ingest_seq")
 
 
+def _read_back(i: Inputs, layout: str, files_table: DataFrame) -> DataFrame:
+    """Events and errors of raw files, written one row to a line (or one to a file) and read with the raw reader."""
+    ensure_checkpoint_dir(i.spark)
+    path = f"{i.spark.sparkContext.getCheckpointDir()}/raw-{uuid.uuid4().hex}"
+    writer = files_table.write.option("maxRecordsPerFile", 1) if layout == "array" else files_table.write
+    writer.text(path)
+    checked = store(ingest.check(files.read_raw(i.spark, path, "tenant-all", "project-all", layout)).drop("payload", "metadata"))
+    fields = ["event_id", "event_type", "customer_id", "currency"]
+    events = checked.where(F.size("messages") == 0)
+    events = events.select(*[F.col(f"s_{n}").alias(n) for n in fields], "amount_cents", F.lit(None).cast("string").alias("error"))
+    none = [F.lit(None).cast("string").alias(n) for n in fields]
+    return events.unionByName(ingest.errors_of(checked).select(*none, F.lit(None).cast("long").alias("amount_cents"), "error"))
+
+
+@query
+def src_raw_lines(i: Inputs) -> DataFrame:
+    return _read_back(i, "lines", i.raw.select("raw"))
+
+
+@query
+def src_raw_array(i: Inputs) -> DataFrame:
+    """Arrays of some hundred events each, beside a cut-off file and one that is an object."""
+    raw = i.raw.select("raw", F.pmod(F.xxhash64("raw"), F.lit(1 + i.raw.count() // 500)).alias("file"))
+    arrays = raw.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("raw"), ","), F.lit("]")).alias("text"))
+    odd = i.spark.createDataFrame([('[{"event_id":"cut',), ('{"event_id":"alone"}',)], "text string")
+    return _read_back(i, "array", arrays.select("text").unionByName(odd))
+
+
 # -- ingest ----------------------------------------------------------------------
 def _plain_events(events: DataFrame) -> DataFrame:
     return events.drop("period_start", "period_end", "metadata", "raw_payload", "normalized_at", "validation_errors")
@@ -692,6 +720,14 @@ def redact_payload_keys(i: Inputs) -> DataFrame:
     return payloads.withColumn("payload", redact.redact_payloads(F.col("payload")))
 
 
+@query
+def redact_typed_rows(i: Inputs) -> DataFrame:
+    """Typed values of every kind by name: maps, structs, lists, free JSON, malformed and clean payloads."""
+    rows = redact.redact_row(derived.typed_secrets(i.events))
+    texts = [F.to_json(c).alias(c) for c in ("counts", "login", "lists", "free")]
+    return rows.select("event_id", *texts, "api_key", redact.redact_payloads(F.col("payload")).alias("payload"))
+
+
 # -- runner metrics ----------------------------------------------------------------
 @query
 def runner_metrics_rollup(i: Inputs) -> DataFrame:

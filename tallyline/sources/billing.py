@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import ORDER_FIELDS, SCOPE
@@ -36,30 +36,71 @@ CHURN_INPUT_SCHEMA = (
 
 def with_scope(raw: DataFrame, tenant_id: str, project_id: str) -> DataFrame:
     """Raw rows of one tenant. Without a sequence in the export the text's hash breaks ties in time."""
+    sequence = "ingest_seq" if "ingest_seq" in raw.columns else F.xxhash64("raw").alias("ingest_seq")
+    error = ["file_error"] if "file_error" in raw.columns else []
     return raw.where(F.trim("raw") != "").select(
-        F.lit(tenant_id).alias("tenant_id"),
-        F.lit(project_id).alias("project_id"),
-        F.xxhash64("raw").alias("ingest_seq"),
-        "raw",
+        F.lit(tenant_id).alias("tenant_id"), F.lit(project_id).alias("project_id"), sequence, "raw", *error
     )
 
 
+# Places in a file below this number; files are numbered above it.
+FILE_PLACES = 40
+
+
+def _file_numbers(spark: SparkSession, table: DataFrame) -> DataFrame:
+    """The files of a table in the order of their names: as many rows as the driver has listed files."""
+    paths = sorted(table.inputFiles())
+    named = spark.createDataFrame(list(enumerate(paths)), "file_number long, file_path string")
+    return named.withColumn("file_path", _path(F.col("file_path")))
+
+
+def _path(uri: Column) -> Column:
+    """Spark writes a file's address with one slash or three; here it is one."""
+    return F.regexp_replace(uri, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
 def read_raw(spark: SparkSession, path: str, tenant_id: str, project_id: str, layout: str = "lines") -> DataFrame:
     """Raw events: 'lines' is one JSON value per line (splittable), 'array' a JSON array per file.
 
-    A JSON array is one document and one task; large exports should use lines
-    or many files.
+    `ingest_seq` follows the input: files by name, rows by their place in the file.
+    A file that holds no array, or no JSON, becomes one row with a `file_error`,
+    which ingest rejects. An array is one document and one task; large exports
+    should use lines or many files.
     """
     if layout == "lines":
-        raw = spark.read.text(path).withColumnRenamed("value", "raw")
+        text = spark.read.text(path)
+        # a row takes a byte at least, so block start and row number together rise within a file
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        rows = text.select(
+            F.col("value").alias("raw"),
+            F.col("_metadata.file_path").alias("file_path"),
+            (F.col("_metadata.file_block_start") + row).alias("place"),
+            F.lit(None).cast("string").alias("file_error"),
+        )
     elif layout == "array":
-        whole = spark.read.option("multiLine", True).option("singleVariantColumn", "payload").json(path)
-        arrays = whole.where(F.schema_of_variant("payload").startswith("ARRAY"))
-        elements = arrays.lateralJoin(spark.tvf.variant_explode(F.col("payload").outer()))
-        raw = elements.select(F.to_json("value").alias("raw"))
+        text = spark.read.text(path, wholetext=True)
+        whole = text.select(F.try_parse_json("value").alias("payload"), F.col("_metadata.file_path").alias("file_path"))
+        is_array = F.coalesce(F.schema_of_variant("payload").startswith("ARRAY"), F.lit(False))
+        elements = whole.where(is_array).lateralJoin(spark.tvf.variant_explode(F.col("payload").outer()))
+        rejected = whole.where(~is_array).select(
+            F.concat(F.lit("file "), "file_path").alias("raw"),
+            "file_path",
+            F.lit(0).cast("long").alias("place"),
+            F.when(F.col("payload").isNull(), "Input file must be valid JSON")
+            .otherwise("Input file must be an array")
+            .alias("file_error"),
+        )
+        rows = elements.select(
+            F.to_json("value").alias("raw"),
+            "file_path",
+            F.col("pos").cast("long").alias("place"),
+            F.lit(None).cast("string").alias("file_error"),
+        ).unionByName(rejected)
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    return with_scope(raw, tenant_id, project_id)
+    numbered = rows.withColumn("file_path", _path(F.col("file_path"))).join(_file_numbers(spark, text), "file_path")
+    sequence = F.shiftleft("file_number", FILE_PLACES) + F.col("place")
+    return with_scope(numbered.select("raw", sequence.alias("ingest_seq"), "file_error"), tenant_id, project_id)
 
 
 # JSON carries times in full precision; ignored by the other layouts

@@ -383,3 +383,22 @@ def event_payloads(events: DataFrame) -> DataFrame:
         F.lit("]}"),
     )
     return events.select("event_id", text.alias("payload"))
+
+
+def typed_secrets(events: DataFrame) -> DataFrame:
+    """Events as typed rows with values under sensitive names; every fifth payload is cut off."""
+    user, number = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    login = F.struct(user.alias("password"), F.col("event_type").alias("kind"))
+    payload = F.concat(F.lit('{"n":'), number, F.lit(',"token":"'), user, F.lit('"}'))
+    return events.select(
+        "event_id",
+        F.create_map(F.lit("auth_token"), "user_id", F.lit("n"), "event_id").alias("counts"),
+        login.alias("login"),
+        F.array(F.struct(user.alias("secret"), F.col("event_id").alias("n"))).alias("lists"),
+        F.parse_json(F.concat(F.lit('{"a":{"password":'), user, F.lit('},"n":'), number, F.lit("}"))).alias("free"),
+        user.alias("api_key"),
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"token":"'), user))
+        .when(F.col("event_id") % 5 == 1, F.concat(F.lit('{"n": '), number, F.lit("}")))
+        .otherwise(payload)
+        .alias("payload"),
+    )

@@ -155,6 +155,36 @@ def test_array_and_line_files_give_the_same_events(spark, tmp_path):
     assert results[0] == results[1] and len(results[0][0]) == 2 and results[0][1] == ["Event must be an object"]
 
 
+def test_files_that_are_no_array_are_rejected_with_their_path(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([GOOD, GOOD | {"event_id": "evt_2"}]))
+    (tmp_path / "b.json").write_text('[{"event_id": "evt_3"')
+    (tmp_path / "c.json").write_text('{"event_id": "evt_4"}')
+    checked = ing.check(files.read_raw(spark, str(tmp_path), "t-1", "p_1", "array"))
+    assert sorted(r.event_id for r in ing.events_of(checked, NOW).collect()) == sorted(["evt_2", GOOD["event_id"]])
+    errors = {r.raw.rsplit("/", 1)[1]: r.error for r in ing.errors_of(checked).collect()}
+    assert errors == {"b.json": "Input file must be valid JSON", "c.json": "Input file must be an array"}
+
+
+@pytest.mark.parametrize("layout", ["lines", "array"])
+def test_sequence_follows_the_files(spark, tmp_path, layout):
+    """Files by name, events of equal time and id by their place, also where a file is read in several blocks."""
+    expected = []
+    for name in ("x 1", "x 2", "y"):
+        records = [GOOD | {"plan_id": f"{name}-{n}"} for n in range(400)]
+        expected += [r["plan_id"] for r in records]
+        text = json.dumps(records) if layout == "array" else "\n".join(map(json.dumps, records))
+        (tmp_path / f"{name}.json").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        raw = files.read_raw(spark, str(tmp_path), "t-1", "p_1", layout)
+        rows = ing.events_of(ing.check(raw), NOW).select("ingest_seq", "plan_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.plan_id for r in sorted(rows, key=lambda r: r.ingest_seq)] == expected
+    assert len({r.ingest_seq for r in rows}) == len(expected)
+
+
 @pytest.mark.parametrize("layout", ["parquet", "json", "orc"])
 def test_event_sink_round_trip(spark, tmp_path, layout):
     events = ing.ingest(raw_df(spark, GOOD, GOOD | {"event_id": "evt_2", "timestamp": "2024-01-06T00:00:00.123456Z"}), NOW)[0]

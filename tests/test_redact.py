@@ -95,3 +95,30 @@ def test_payload_keys_at_any_depth(spark):
         "plain": "é",
     }
     assert out[1] is None and out[2] == '"[REDACTED]"'
+
+
+def test_values_of_any_type_under_sensitive_names(spark):
+    rows = spark.range(1).selectExpr(
+        "map('token', 5, 'n', 7) AS a", "map('k', named_struct('password', 'x', 'n', 1)) AS b", "map('password', array('x')) AS c",
+        "parse_json('{\"password\":{\"x\":1},\"n\":2}') AS d", "array(parse_json('{\"secret\":1}')) AS e", "map(1, 'no') AS f",
+    )
+    out = redact.redact_row(rows)
+    row = out.selectExpr("a", "b", "c", "to_json(d) AS d", "to_json(e) AS e", "f").collect()[0]
+    assert row.a == {"token": "[REDACTED]", "n": "7"}
+    assert row.b == {"k": '{"password":"[REDACTED]","n":1}'}
+    assert row.c == {"password": "[REDACTED]"}
+    assert json.loads(row.d) == {"password": "[REDACTED]", "n": 2}
+    assert json.loads(row.e) == [{"secret": "[REDACTED]"}] and row.f == {1: "no"}
+
+
+def test_payloads_that_are_not_json(spark):
+    texts = ['{"token": "x"', "plain text", '{"a": 1}', None, '{"p\\u0061ssword":"x"}', f"broken {SK}", "[" * 100_000 + "token"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    out = [r.t for r in df.select("n", redact.redact_payloads(F.col("t")).alias("t")).orderBy("n").collect()]
+    assert out == ["[REDACTED]", "plain text", '{"a": 1}', None, '{"password":"[REDACTED]"}', "[REDACTED]", "[REDACTED]"]
+
+
+def test_extra_patterns(spark):
+    df = spark.createDataFrame([(f"{MAIL} order 77-88",)], "text string")
+    out = redact.redact_columns(df, ["text"], "typed", [("order", r"\d{2}-\d{2}", "[ORDER]")])
+    assert out.collect()[0].text == "[REDACTED_EMAIL] order [ORDER]"
