@@ -3,7 +3,7 @@
 Every query runs over whole tables and is written to the no-op sink, once to
 warm up and then BENCH_RUNS times; its time is the median. Environment:
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (default 2), BENCH_QUERIES (comma separated names, 'all' for all).
+BENCH_RUNS (default 3), BENCH_QUERIES (comma separated names, 'all' for all).
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     chosen = os.environ.get("BENCH_QUERIES")
     spark = local_session(cpus, shuffle_partitions=cpus)
     queries = all_queries()

@@ -77,17 +77,6 @@ DISCREPANCY_REASONS = [
     "period_mismatch",
     "other",
 ]
-SIGNAL_TYPES = [
-    "payment_failures",
-    "usage_drop",
-    "support_tickets",
-    "plan_downgrade",
-    "no_recent_login",
-    "dispute_filed",
-    "refund_requested",
-]
-TICKET_SEVERITIES = ["low", "medium", "high", "critical"]
-TICKET_STATUSES = ["open", "in_progress", "resolved", "closed"]
 COST_CATEGORIES = ["subscription", "usage", "refund", "dispute", "other"]
 
 # -- fixed values: formats ---------------------------------------------------
@@ -115,7 +104,6 @@ JOB_ANOMALY_SCAN = "autopilot.finops.anomaly_scan"
 JOB_CHURN_RISK = "autopilot.finops.churn_risk_report"
 JOB_RECONCILE = "autopilot.finops.reconcile"
 JOB_TYPES = [JOB_ANOMALY_SCAN, JOB_CHURN_RISK, JOB_RECONCILE]
-JOB_PRIORITIES = ["low", "normal", "high", "critical"]
 
 # -- fixed values: texts of the anomaly detectors ----------------------------
 ANOMALY_ACTIONS = {

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder from `spark.checkpoint.dir`.
-
-    Only a local master may fall back to a folder of its own.
-    """
+    """Use the cluster's shared folder from `spark.checkpoint.dir`; the session has to name one."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="tallyline-checkpoint-")
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(folder)
 
 
