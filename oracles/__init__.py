@@ -246,10 +246,11 @@ SELECT tenant_id, project_id, event_id, CASE
     ELSE 'Event ' || event_type END AS description
 FROM billing"""
 PARTS["asked"] = f"""
-SELECT DISTINCT 'tenant-' || (user_id % 4) AS tenant_id, 'project-main' AS project_id, p.a AS period_start, p.b AS period_end
+SELECT DISTINCT 'tenant-' || (user_id % 5) AS tenant_id, 'project-main' AS project_id, p.a AS period_start, p.b AS period_end
 FROM events, (VALUES ('{PERIOD_A}', '{PERIOD_B}'), ('{PERIOD_B}', '{PERIOD_A}')) p(a, b)"""
 PARTS["answered"] = """
 SELECT a.*, CASE
+  WHEN tenant_id = 'tenant-4' THEN 'INSUFFICIENT_EVENTS: At least one billing event required'
   WHEN NOT EXISTS (SELECT 1 FROM billing b WHERE b.tenant_id = a.tenant_id)
     THEN 'INSUFFICIENT_DATA: No billing events or ledger provided'
   WHEN (SELECT count(DISTINCT currency) FROM billing b WHERE b.tenant_id = a.tenant_id) > 1

@@ -13,14 +13,17 @@ from tallyline.functions.skew import salted_join
 REQUEST = [*SCOPE, "period_start", "period_end"]
 
 
-def cost_events(events: DataFrame | None, subscriptions: DataFrame | None = None) -> DataFrame:
-    """The given events, or one creation per ledger subscription where none were given.
+def cost_events(
+    events: DataFrame | None, subscriptions: DataFrame | None = None, given: DataFrame | None = None
+) -> DataFrame:
+    """Per tenant the given events, or one creation per ledger subscription where none were given.
 
-    Canceled subscriptions are included. An empty event table counts as given.
+    `given` names the tenants whose events were given, be they none; without it
+    these are the tenants in `events`. Canceled subscriptions are included.
     """
-    if events is not None:
+    if subscriptions is None:
         return events
-    return subscriptions.select(
+    derived = subscriptions.select(
         *SCOPE,
         F.concat(F.lit("derived_"), "subscription_id").alias("event_id"),
         F.lit("subscription_created").alias("event_type"),
@@ -32,6 +35,10 @@ def cost_events(events: DataFrame | None, subscriptions: DataFrame | None = None
         "currency",
         "plan_id",
     )
+    if events is None:
+        return derived
+    named = (events if given is None else given).select(*SCOPE).distinct()
+    return events.select(*derived.columns).unionByName(derived.join(named, SCOPE, "left_anti"))
 
 
 def _category() -> Column:

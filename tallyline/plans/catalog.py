@@ -170,13 +170,16 @@ class Inputs:
 
     @cached_property
     def cost_requests(self) -> DataFrame:
-        """Two requests per tenant number, one with its period turned round; tenant-3 has no events."""
-        numbers = self.events.select((F.col("user_id") % 4).alias("n")).distinct()
+        """Two requests per tenant number, one with its period turned round.
+
+        tenant-3 and tenant-4 have no events, tenant-4 has a ledger.
+        """
+        numbers = self.events.select((F.col("user_id") % 5).alias("n")).distinct()
         period = lambda a, b: F.struct(F.lit(a).alias("period_start"), F.lit(b).alias("period_end"))
         return numbers.select(
             F.concat(F.lit("tenant-"), F.col("n").cast("string")).alias("tenant_id"),
             F.lit("project-main").alias("project_id"),
-            F.lit(False).alias("has_ledger"),
+            (F.col("n") == 4).alias("has_ledger"),
             F.inline(F.array(period(START, END), period(END, START))),
         )
 

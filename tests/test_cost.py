@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-
+from conftest import END, START, Book
 
 from pyspark.sql import functions as F
 
@@ -84,7 +84,8 @@ def test_ledger_source_includes_canceled(spark, book):
     rows = cost.line_items(cost.cost_events(None, ledger.subscriptions)).collect()
     assert [(r.event_id, r.amount_cents, r.description) for r in rows] == [("derived_s1", 100, "Subscription s1 - a")]
     given = book.df(spark).limit(0)
-    assert cost.cost_events(given, ledger.subscriptions).count() == 0
+    tenants = ledger.subscriptions.select("tenant_id", "project_id")
+    assert cost.cost_events(given, ledger.subscriptions, tenants).count() == 0
 
 
 def test_digest_ignores_order_and_sees_every_change(spark, golden):
@@ -119,3 +120,16 @@ def test_snapshot_line_items_only_for_accepted(spark, golden):
     assessed = cost.assess_requests(both, df)
     items = cost.snapshot_line_items(cost.line_items(df), assessed.where(F.col("refusal").isNull()))
     assert items.count() == 3
+
+
+def test_each_tenant_has_events_or_its_ledger(spark):
+    one, two, three = Book("t1"), Book("t2"), Book("t3")
+    for b in (one, two, three):
+        b.add("subscription_created", 0, "s1", amount_cents=700, plan_id="p")
+    everything = one.df(spark).unionByName(two.df(spark)).unionByName(three.df(spark))
+    subscriptions = Ledger(everything, START, END).subscriptions
+    given = spark.createDataFrame([("t1", "p1"), ("t3", "p1")], "tenant_id string, project_id string")
+    rows = cost.cost_events(one.df(spark), subscriptions, given).select("tenant_id", "event_id").collect()
+    assert sorted(map(tuple, rows)) == [("t1", "e000"), ("t2", "derived_s1")]
+    without = cost.cost_events(one.df(spark), subscriptions).select("tenant_id").collect()
+    assert sorted(r.tenant_id for r in without) == ["t1", "t2", "t3"]
