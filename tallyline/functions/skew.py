@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.functions.materialise import store
+
 # A key is heavy above this share of all rows. At most 1/HEAVY_SHARE keys can
 # be heavy whatever the data, so the set of heavy keys is safe to broadcast.
 HEAVY_SHARE = 1e-4
@@ -43,13 +45,11 @@ class HeavyKeys:
         keys = [*scope, "key_name", "key"]
         each = F.inline(F.array(*[F.struct(F.lit(n).alias("key_name"), F.col(n).alias("key")) for n in names]))
         rows = self.events.select(*scope, each).where(F.col("key").isNotNull())
-        heavy = heavy_keys(key_counts(rows, keys), keys).persist()
+        heavy = store(heavy_keys(key_counts(rows, keys), keys))
         none = heavy.isEmpty()
         for key_set in new:
             own = heavy.where(F.col("key_name") == key_set[-1]).select(*scope, F.col("key").alias(key_set[-1]))
             self.known[key_set] = None if none else own
-        if none:
-            heavy.unpersist()
         return self
 
     def of(self, keys: list[str]) -> DataFrame | None:

@@ -29,11 +29,12 @@ def ingest_new_files(
     raw = with_scope(spark.readStream.text(exports).withColumnRenamed("value", "raw"), tenant_id, project_id)
 
     def write(batch: DataFrame, number: int) -> None:
-        checked = check(batch)
+        checked = check(batch).persist()  # read twice; each row is checked once
         events = events_of(checked, normalized_at, lenient)
         events = events.withColumns({c: F.to_json(c) for c in ("metadata", "raw_payload")})
         events.write.mode("overwrite").parquet(f"{out}/events/batch={number}")
         errors_of(checked).write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
+        checked.unpersist()
 
     return (
         raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
