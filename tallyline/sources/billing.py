@@ -156,11 +156,12 @@ def flatten_subscriptions(documents: DataFrame) -> DataFrame:
 
 
 def flatten_totals(documents: DataFrame) -> DataFrame:
-    """One row per ledger document; the paid total is summed over its customers."""
+    """One row per tenant, summed over its ledger documents; the paid total is that of its customers."""
     paid = flatten_customers(documents).groupBy(*SCOPE).agg(F.sum("total_paid_cents").alias("total_paid_cents"))
     names = ["total_mrr_cents", "total_customers", "active_subscriptions", "event_count"]
     return (
-        documents.select(*SCOPE, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
+        documents.groupBy(*SCOPE)
+        .agg(*[F.sum(F.coalesce(F.col(n), F.lit(0))).alias(n) for n in names])
         .join(paid, SCOPE, "left")
         .withColumn("total_paid_cents", F.coalesce("total_paid_cents", F.lit(0)))
     )

@@ -58,6 +58,14 @@ def tables(spark, tmp_path):
     return files.churn_tables(files.read_churn_inputs(spark, str(tmp_path)))
 
 
+def test_totals_of_a_tenant_with_two_documents(spark, tmp_path):
+    second = DOCUMENT["ledger"] | {"customers": {"mill": WHERE | {"customer_id": "mill", "total_paid_cents": 90}}, "total_customers": 1}
+    for n, ledger in enumerate([DOCUMENT["ledger"], second]):
+        (tmp_path / f"{n}.json").write_text(json.dumps(ledger))
+    rows = files.flatten_totals(files.read_ledger(spark, str(tmp_path))).collect()
+    assert [(r.total_customers, r.total_paid_cents, r.total_mrr_cents) for r in rows] == [(4, 6_700, 29_000)]
+
+
 def test_churn_from_a_document(spark, tmp_path):
     t = tables(spark, tmp_path)
     features = churn.churn_features(
