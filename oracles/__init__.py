@@ -215,6 +215,7 @@ oracle("churn_signal_inactivity", SIGNAL.format(
       ELSE 'No payment in ' || CAST(floor(idle + 0.5) AS BIGINT) || ' days' END
       || ' | Inactivity indicates potential disengagement'"""))
 oracle("churn_risk_score", "SELECT * EXCLUDE (explanation, acts) FROM risks")
+oracle("churn_by_tenant_date", "SELECT * EXCLUDE (explanation, acts) FROM d_risks")
 oracle("churn_explanations", f"SELECT {SCOPE}, customer_id, explanation FROM risks")
 oracle("churn_recommendations", f"SELECT {SCOPE}, customer_id, recommended_actions FROM advised")
 oracle("churn_ranked", f"""

@@ -146,7 +146,11 @@ SELECT *, lag(plan_id) OVER (PARTITION BY tenant_id, subscription_id ORDER BY "t
 FROM billing WHERE plan_id IS NOT NULL"""
 PARTS["downs"] = """
 SELECT * FROM plans WHERE plan_id < was"""
-PARTS["facts"] = f"""
+
+
+def facts_part(p: str, dates: str) -> None:
+    """Facts per customer; `dates` gives tenant_id and ref, the reference date as text."""
+    PARTS[f"{p}facts"] = f"""
 SELECT c.tenant_id, c.project_id, c.customer_id, c.total_mrr_cents, c.subscription_count,
   c.payment_failure_count_30d AS f,
   (SELECT count(*) FROM usage u WHERE 'cus_' || u.user_id = c.customer_id) AS n_usage,
@@ -157,12 +161,17 @@ SELECT c.tenant_id, c.project_id, c.customer_id, c.total_mrr_cents, c.subscripti
   (SELECT count(*) FROM tickets t WHERE t.customer_id = c.customer_id AND p = '2') AS n_high,
   (SELECT count(*) FROM downs x WHERE x.customer_id = c.customer_id) AS n_down,
   (SELECT count(*) FROM downs x WHERE x.customer_id = c.customer_id
-     AND (floor(epoch_us({ts(CHURN_REFERENCE)}) / 1000) - floor(epoch_us(x."timestamp") / 1000)) / 86400000.0 <= 30) AS n_recent,
-  CAST(floor(epoch_us({ts(CHURN_REFERENCE)}) / 1000) - floor(epoch_us(c.last_payment_at) / 1000) AS DOUBLE) / 86400000.0 AS idle
-FROM ch_cust c LEFT JOIN (SELECT * FROM drops WHERE nth = 1) d USING (customer_id)"""
+     AND (floor(epoch_us(CAST(rtrim(r.ref, 'Z') AS TIMESTAMP)) / 1000) - floor(epoch_us(x."timestamp") / 1000)) / 86400000.0 <= 30) AS n_recent,
+  CAST(floor(epoch_us(CAST(rtrim(r.ref, 'Z') AS TIMESTAMP)) / 1000) - floor(epoch_us(c.last_payment_at) / 1000) AS DOUBLE) / 86400000.0 AS idle, r.ref
+FROM ch_cust c JOIN ({dates}) r USING (tenant_id) LEFT JOIN (SELECT * FROM drops WHERE nth = 1) d USING (customer_id)"""
+
+
+facts_part("", f"SELECT DISTINCT tenant_id, '{CHURN_REFERENCE}' AS ref FROM billing")
+facts_part("d_", f"""SELECT tenant_id, {iso("date_trunc('day', max(\"timestamp\")) + to_days(CAST(substr(tenant_id, 8) AS INT) * 9 + 21)")} AS ref
+FROM billing GROUP BY 1""")
 
 
-def churn_parts(p: str, t: dict) -> None:
+def churn_parts(p: str, t: dict, facts: str = "facts") -> None:
     PARTS[f"{p}weights"] = f"""
 SELECT *,
   CASE WHEN f > 0 THEN least({t['w_pay']}::DOUBLE * least(f * 0.2::DOUBLE, 2.0::DOUBLE), 0.9::DOUBLE) END AS w1,
@@ -172,7 +181,7 @@ SELECT *,
   CASE WHEN n_down > 0 THEN least({t['w_down']}::DOUBLE * (1.0::DOUBLE + n_recent * 0.5::DOUBLE), 0.8::DOUBLE) END AS w4,
   CASE WHEN total_mrr_cents <> 0 AND (idle IS NULL OR idle >= 35)
        THEN {t['w_idle']}::DOUBLE * coalesce(least(idle / 90, 1.0::DOUBLE), 1.0::DOUBLE) END AS w5
-FROM facts"""
+FROM {facts}"""
     PARTS[f"{p}scored"] = f"""
 SELECT *, CASE WHEN n = 0 THEN 0 ELSE CAST(floor(least(weighted * (1.0::DOUBLE + (n - 1) * 0.1::DOUBLE), 100.0::DOUBLE)
        + 0.5) AS BIGINT) END AS risk_score
@@ -199,8 +208,8 @@ SELECT tenant_id, customer_id,
 FROM {p}signals GROUP BY 1, 2"""
     PARTS[f"{p}risks"] = f"""
 SELECT s.tenant_id, s.project_id, s.customer_id,
-  'churn-' || substr(sha256(s.tenant_id || ':' || s.project_id || ':' || s.customer_id || ':{CHURN_REFERENCE}'), 1, 16) AS risk_id,
-  '{CHURN_REFERENCE}' AS calculated_at, s.risk_score,
+  'churn-' || substr(sha256(s.tenant_id || ':' || s.project_id || ':' || s.customer_id || ':' || s.ref), 1, 16) AS risk_id,
+  s.ref AS calculated_at, s.risk_score,
   CASE WHEN s.risk_score >= {t['high']} THEN 'critical' WHEN s.risk_score >= {t['medium']} THEN 'high'
        WHEN s.risk_score >= {t['low']} THEN 'medium' ELSE 'low' END AS risk_level,
   s.n AS signal_count, s.total_mrr_cents AS mrr_cents, s.subscription_count, s.f AS payment_failures_30d,
@@ -220,6 +229,7 @@ FROM {p}risks"""
 
 churn_parts("", BASE | dict(w_pay=0.1, w_tick=0.1, w_down=0.1))
 churn_parts("r_", REPORT)
+churn_parts("d_", BASE | dict(w_pay=0.1, w_tick=0.1, w_down=0.1), "d_facts")
 
 # -- findings (report thresholds) --------------------------------------------------
 PARTS["found"] = """

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline import fixed
-from tallyline.functions.columns import SCOPE, days_between, instant, round_half_up
+from tallyline.functions.columns import SCOPE, days_between, round_half_up
 from tallyline.functions.hashing import key_hash
 from tallyline.functions.ranking import ranked
+from tallyline.functions.skew import salted_join
 from tallyline.functions.thresholds import Thresholds, attach
 
 CUSTOMER = [*SCOPE, "customer_id"]
@@ -47,9 +48,19 @@ def tickets_by_customer(tickets: DataFrame) -> DataFrame:
     )
 
 
-def downgrades_by_customer(downgrades: DataFrame, as_of: str) -> DataFrame:
-    recent = days_between(instant(as_of), F.col("changed_at")) <= RECENT_DAYS
-    return downgrades.groupBy(*CUSTOMER).agg(
+def dated(df: DataFrame, name: str, dates: str | DataFrame) -> DataFrame:
+    """`df` with a date as ISO text: one for all, or that of each row's tenant (scope and `name`).
+
+    Customers of a tenant without a date are left out.
+    """
+    if isinstance(dates, str):
+        return df.withColumn(name, F.lit(dates))
+    return salted_join(df, dates.select(*SCOPE, name), SCOPE, F.col("customer_id"))
+
+
+def downgrades_by_customer(downgrades: DataFrame, as_of: str | DataFrame) -> DataFrame:
+    recent = days_between(F.to_timestamp("as_of"), F.col("changed_at")) <= RECENT_DAYS
+    return dated(downgrades, "as_of", as_of).groupBy(*CUSTOMER).agg(
         F.count(F.lit(1)).alias("plan_downgrades_count"),
         F.count_if(recent).alias("recent_downgrades"),
         F.max_by("changed_at", "seq").alias("last_downgrade_at"),
@@ -62,12 +73,13 @@ def churn_features(
     tickets: DataFrame,
     downgrades: DataFrame,
     thresholds: Thresholds | DataFrame,
-    reference_date: str,
-    as_of: str,
+    reference_date: str | DataFrame,
+    as_of: str | DataFrame,
 ) -> DataFrame:
     """One row per ledger customer with the inputs of every signal and its weight (NULL: no signal).
 
-    Each extra table is aggregated to one row per customer before it is joined.
+    The dates are texts, or tables with each tenant's own (scope, `reference_date`;
+    scope, `as_of`). Each extra table is aggregated to one row per customer before it is joined.
     """
     counts = ["usage_metrics_count", "support_tickets_count", "plan_downgrades_count", "recent_downgrades"]
     wide = (
@@ -104,7 +116,8 @@ def churn_features(
         .when(F.col("open_tickets") > MANY_OPEN_TICKETS, 1.3)
         .otherwise(1.0)
     )
-    idle = days_between(instant(reference_date), F.col("last_payment_at"))
+    wide = dated(wide, "reference_date", reference_date)
+    idle = days_between(F.to_timestamp("reference_date"), F.col("last_payment_at"))
     idle_share = F.when(F.col("idle_days").isNull(), 1.0).otherwise(
         F.least(F.col("idle_days") / FULLY_INACTIVE_DAYS, F.lit(1.0))
     )
@@ -198,8 +211,8 @@ def _signal_list() -> Column:
     return F.array_sort(F.array_compact(F.array(*entries)))
 
 
-def churn_risks(features: DataFrame, reference_date: str) -> DataFrame:
-    """Score, level, explanation and recommended actions per customer."""
+def churn_risks(features: DataFrame) -> DataFrame:
+    """Score, level, explanation and recommended actions per customer, as of the features' reference date."""
     weights = [F.col(f"w_{name}") for name in SIGNALS]
     n_signals = sum((w.isNotNull().cast("int") for w in weights), F.lit(0))
     weighted = F.lit(0.0)
@@ -257,9 +270,9 @@ def churn_risks(features: DataFrame, reference_date: str) -> DataFrame:
             *CUSTOMER,
             F.concat(
                 F.lit("churn-"),
-                key_hash(F.col("tenant_id"), F.col("project_id"), F.col("customer_id"), F.lit(reference_date)),
+                key_hash(F.col("tenant_id"), F.col("project_id"), F.col("customer_id"), F.col("reference_date")),
             ).alias("risk_id"),
-            F.lit(reference_date).alias("calculated_at"),
+            F.col("reference_date").alias("calculated_at"),
             "risk_score",
             "risk_level",
             "signal_count",

@@ -26,8 +26,8 @@ class ChurnInputs:
     usage_metrics: DataFrame
     support_tickets: DataFrame
     plan_downgrades: DataFrame
-    reference_date: str
-    as_of: str | None = None
+    reference_date: str | DataFrame
+    as_of: str | DataFrame | None = None
 
 
 @dataclass
@@ -86,6 +86,13 @@ class Analysis:
         return report.report_lines(self.summary, envelopes, self.ranked_findings, self.recommendations, title)
 
 
+def _as_of(inputs: ChurnInputs) -> str | DataFrame:
+    if inputs.as_of is not None:
+        return inputs.as_of
+    dates = inputs.reference_date
+    return dates if isinstance(dates, str) else dates.withColumnRenamed("reference_date", "as_of")
+
+
 def analyze(
     events: DataFrame,
     start: str,
@@ -123,9 +130,9 @@ def analyze(
             churn_inputs.plan_downgrades,
             thresholds,
             churn_inputs.reference_date,
-            churn_inputs.as_of or churn_inputs.reference_date,
+            _as_of(churn_inputs),
         )
-        risks = keep(churn.churn_risks(features, churn_inputs.reference_date))
+        risks = keep(churn.churn_risks(features))
     return Analysis(
         ledger=ledger,
         discrepancies=found,

@@ -137,20 +137,25 @@ class Inputs:
     def checked(self) -> DataFrame:
         return ingest.check(self.raw)
 
-    def churn_features(self, thresholds: Thresholds | DataFrame) -> DataFrame:
+    def churn_features(
+        self,
+        thresholds: Thresholds | DataFrame,
+        reference_date: str | DataFrame = CHURN_REFERENCE,
+        as_of: str | DataFrame = CHURN_REFERENCE,
+    ) -> DataFrame:
         return churn.churn_features(
             self.churn_customers,
             derived.usage_metrics(self.events),
             derived.support_tickets(self.table("orders")),
             derived.plan_downgrades(self.billing, self.heavy),
             thresholds,
-            CHURN_REFERENCE,
-            CHURN_REFERENCE,
+            reference_date,
+            as_of,
         )
 
     @cached_property
     def risks(self) -> DataFrame:
-        return churn.churn_risks(self.churn_features(CHURN_THRESHOLDS), CHURN_REFERENCE)
+        return churn.churn_risks(self.churn_features(CHURN_THRESHOLDS))
 
     @cached_property
     def anomalies(self) -> DataFrame:
@@ -504,6 +509,16 @@ def churn_risk_score(i: Inputs) -> DataFrame:
     return i.risks.drop("contributing_signals", "explanation", "recommended_actions", "version")
 
 
+@query
+def churn_by_tenant_date(i: Inputs) -> DataFrame:
+    """Scores where every tenant has a reference date of its own, some days after its last event."""
+    last = i.billing.groupBy(*c.SCOPE).agg(F.max("timestamp").alias("t"))
+    days = F.substring("tenant_id", 8, 9).cast("int") * 9 + 21
+    dates = last.select(*c.SCOPE, c.iso_micros(F.date_trunc("day", "t") + F.make_dt_interval(days)).alias("reference_date"))
+    features = i.churn_features(CHURN_THRESHOLDS, dates, dates.withColumnRenamed("reference_date", "as_of"))
+    return churn.churn_risks(features).drop("contributing_signals", "explanation", "recommended_actions", "version")
+
+
 @query
 def churn_explanations(i: Inputs) -> DataFrame:
     return i.risks.select(*c.SCOPE, "customer_id", "explanation")

@@ -178,7 +178,10 @@ def _list_rows(documents: DataFrame, name: str, times: list[str]) -> DataFrame:
 
 
 def churn_tables(documents: DataFrame) -> dict[str, DataFrame]:
-    """The tables of churn input documents; `seq` is the place in the document's list."""
+    """The tables of churn input documents; `seq` is the place in the document's list.
+
+    `dates` has each tenant's reference date, the latest of its documents.
+    """
     ledger = documents.select("ledger.*")
     return {
         "subscriptions": flatten_subscriptions(ledger),
@@ -187,6 +190,7 @@ def churn_tables(documents: DataFrame) -> dict[str, DataFrame]:
         "usage_metrics": _list_rows(documents, "usage_metrics", ["measured_at"]),
         "support_tickets": _list_rows(documents, "support_tickets", ["created_at"]),
         "plan_downgrades": _list_rows(documents, "plan_downgrades", ["changed_at"]),
+        "dates": documents.groupBy(*SCOPE).agg(F.max("reference_date").alias("reference_date")),
     }
 
 

@@ -99,7 +99,7 @@ def test_inactivity(spark, mrr, last, expected):
 
 
 def risk(spark, *args, **kwargs):
-    return churn.churn_risks(features(spark, *args, **kwargs), REF).collect()[0]
+    return churn.churn_risks(features(spark, *args, **kwargs)).collect()[0]
 
 
 def test_no_signal(spark):
@@ -141,7 +141,7 @@ def test_levels_at_the_limits(spark, score, level):
 
 def test_ranking_and_stats(spark):
     people = [("b", 0, 1, NOW), ("a", 0, 1, NOW), ("z", 0, 10, NOW), ("q", 0, 0, NOW)]
-    risks = churn.churn_risks(features(spark, people), REF)
+    risks = churn.churn_risks(features(spark, people))
     ranked = churn.rank_risks(risks).collect()
     assert [(r.customer_id, r.risk_rank) for r in sorted(ranked, key=lambda r: r.risk_rank)] == [
         ("z", 1), ("a", 2), ("b", 3), ("q", 4),

@@ -68,10 +68,13 @@ def test_totals_of_a_tenant_with_two_documents(spark, tmp_path):
 
 def test_churn_from_a_document(spark, tmp_path):
     t = tables(spark, tmp_path)
+    dates = t["dates"]  # the document's own
     features = churn.churn_features(
-        t["customers"], t["usage_metrics"], t["support_tickets"], t["plan_downgrades"], Thresholds(), REF, REF
-    )
-    rows = {r.customer_id: r for r in churn.churn_risks(features, REF).collect()}
+        t["customers"], t["usage_metrics"], t["support_tickets"], t["plan_downgrades"], Thresholds(), dates,
+        dates.withColumnRenamed("reference_date", "as_of"),
+    )
+    rows = {r.customer_id: r for r in churn.churn_risks(features).collect()}
+    assert {r.calculated_at for r in rows.values()} == {REF}
     # bakery: failures 24, tickets 20 * 2 * sqrt(2), two signals; harbor: usage 18.75, downgrade 22.5, no payment 10, three
     assert {k: (r.risk_score, r.risk_level) for k, r in rows.items()} == {
         "bakery": (89, "critical"),
@@ -90,7 +93,7 @@ def test_analysis_of_a_given_ledger(spark, tmp_path, book):
     t = tables(spark, tmp_path)
     nothing = book.add("dispute_won", 0).df(spark).limit(0)
     ledger = Ledger.of_tables(nothing, t["subscriptions"], t["customers"], t["totals"], START, END)
-    inputs = ChurnInputs(t["customers"], t["usage_metrics"], t["support_tickets"], t["plan_downgrades"], REF)
+    inputs = ChurnInputs(t["customers"], t["usage_metrics"], t["support_tickets"], t["plan_downgrades"], t["dates"])
     result = analyze(nothing, START, END, ledger=ledger, churn_inputs=inputs)
     # canceled subscriptions are not owed
     assert [(r.subscription_id, r.difference_cents) for r in result.discrepancies.collect()] == [("b-1", 8_500)]
