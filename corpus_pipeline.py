@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tallyline.llm import cotraining, mixing, packing, simhash_dedup, suffix_dedup
 from tallyline.llm.common import Scratch, read
 
+# The stages share their Python workers, and so the executors' memory.
+REMEMBERED = 100_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -50,7 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in the packed sequences."""
-    pieces = packing.tokenized(docs)
+    pieces = packing.tokenized(docs, remembered=REMEMBERED)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 

@@ -16,8 +16,9 @@ rest. The input is read by name (doc_id, text); other columns don't matter.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -25,15 +26,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import Scratch
+from tallyline.llm.common import Scratch, give_back, small_batches
 
 CAPACITY = 4096
 END_TOKEN = 1
 TOKENIZER = "word_bpe_49k.json"
 # Rows that share a rank counter; more rows than that get more counters.
 COUNTED = 20_000
-# Words whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+# Words whose ids a Python worker remembers, twice over.
+REMEMBERED = 500_000
+
+# What the last token of a word ends with.
+WORD_END = "</w>"
+# New words that are encoded in one call.
+AT_ONCE = 4096
+# A word of Latin letters, then perhaps points. The tokenizer lowers letters one by
+# one and splits letters from points, so such words share the ids of their parts.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
 class WordIds(dict):
@@ -43,22 +52,57 @@ class WordIds(dict):
     space, so a text's ids are those of its words one after another.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[str, bytes] = {}
+        self.room = room
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.encoded(word)
+        known = self.older.get(word)
+        if known is not None:
+            self[word] = known
+            return known
+        self.make_room()
+        plain = PLAIN.fullmatch(word)
+        if plain and (plain[2] or plain[1] != plain[1].lower()):
+            ids = self[plain[1].lower()] + (self[plain[2]] if plain[2] else b"")
+        else:
+            ids = self.encoded(word)
         if len(word) < 64:
             self[word] = ids
         return ids
 
+    def make_room(self) -> None:
+        """Words met since the last turn stay for one more, so common ones stay for good."""
+        if len(self) >= self.room:
+            self.older = dict(self)
+            self.clear()
+
+    def learn(self, texts: Iterable[str]) -> None:
+        """Encode the new plain words of some texts together: a call costs more than a word does.
+
+        Each is one piece to the splitter, so its ids end where a word ends.
+        """
+        met = set().union(*map(str.split, texts))
+        plain = (PLAIN.fullmatch(w) for w in met if w not in self and w not in self.older)
+        new = [w for w in {m[1].lower() for m in plain if m} if w not in self and w not in self.older]
+        for at in range(0, len(new), AT_ONCE):
+            self.make_room()
+            words = new[at : at + AT_ONCE]
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            borders = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(borders) == len(words) + 1:
+                raw = ids.tobytes()
+                self.update(zip(words, (raw[a:b] for a, b in zip(borders, borders[1:]))))
+
     def of(self, text: str) -> bytes:
         # these four are white space to str.split but not to the tokenizer
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -69,9 +113,10 @@ class WordIds(dict):
 _WORD_IDS: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, room: int = REMEMBERED) -> WordIds:
     if path not in _WORD_IDS:
         _WORD_IDS[path] = WordIds(path)
+    _WORD_IDS[path].room = room
     return _WORD_IDS[path]
 
 
@@ -81,27 +126,33 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def tokenized(docs: DataFrame, capacity: int = CAPACITY, end: int = END_TOKEN, tokenizer: str | None = None) -> DataFrame:
+def tokenized(
+    docs: DataFrame, capacity: int = CAPACITY, end: int = END_TOKEN, tokenizer: str | None = None,
+    remembered: int = REMEMBERED,
+) -> DataFrame:
     """(doc_id, piece, start, length, ids) of all documents; ids as little-endian 32-bit numbers.
 
     `tokenizer` is the path of a tokenizers file on the executors; without it
-    each executor looks up the public one.
+    each executor looks up the public one. A worker that remembers fewer words needs
+    less memory and more time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = word_ids(tokenizer or tokenizer_path())
+        known = word_ids(tokenizer or tokenizer_path(), remembered)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
+            known.learn(t for t in batch["text"] if t)
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = known.of(text or "") + tail
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, part))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
+        give_back()
 
     # pandas has no whole number for null, so ids travel as text
-    texts = docs.select(F.col("doc_id").cast("string"), "text")
+    texts = small_batches(docs).select(F.col("doc_id").cast("string"), "text")
     pieces = texts.mapInPandas(run, "doc_id string, piece int, start long, length long, ids binary")
     return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 

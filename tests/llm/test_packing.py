@@ -58,6 +58,17 @@ def test_word_ids_are_the_tokenizers(text):
     assert packing.word_ids(PATH).of(text) == packing.WordIds(PATH).encoded(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abcXYZÀéßÿ ,.!'’-é1\n")), max_size=6))
+def test_words_learnt_together_have_the_tokenizers_ids(texts):
+    known = packing.WordIds(PATH)
+    known.learn(texts)
+    for word, ids in known.items():
+        assert ids == known.encoded(word)
+    for text in texts:
+        assert known.of(text) == known.encoded(text)
+
+
 def test_special_token_text_is_encoded_as_by_default():
     for text in ("a <|endoftext|> b", "x<|startoftext|>y", "İstanbul ΣΑΣ ΣΑΣ."):
         assert packing.word_ids(PATH).of(text) == packing.WordIds(PATH).encoded(text)
