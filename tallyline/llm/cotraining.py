@@ -33,10 +33,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import hash_order
+from tallyline.llm.common import Scratch, give_back, least_hashed, small_batches
 
-FIT_ROWS = 4000
-POOL_ROWS = 4000
+FIT_ROWS = 2500
+POOL_ROWS = 2500
 ROUNDS = 5
 # Share of the pool that each view labels for the other in a round, and how sure it has to be.
 SHARE = 0.06
@@ -44,7 +44,7 @@ SURE = 0.95
 HELD_OUT = 4  # every fourth labelled row is for calibration
 MOST_LOST = 0.002
 WORD_BITS = 14
-REMEMBERED = 500_000
+REMEMBERED = 50_000
 WORD_SIZE = (1 << WORD_BITS) + 4
 # Words, and characters of ordinary classes, that every text is taken to have
 # besides its own: so little is concluded from very short texts.
@@ -139,15 +139,21 @@ class Rows(NamedTuple):
         return Rows(len(chosen), place[self.row[keep]], self.feature[keep], self.value[keep])
 
 
-def word_rows(features: Iterable[np.ndarray]) -> Rows:
-    """A row per text: square roots of the features' shares, so that lengths compare."""
+def counted(features: np.ndarray) -> np.ndarray:
+    """The distinct features, then how often each is there."""
+    ids, counts = np.unique(features, return_counts=True)
+    return np.concatenate([ids, counts]).astype(np.int32)
+
+
+def word_rows(texts: Iterable[np.ndarray]) -> Rows:
+    """A row per text (`counted` features): square roots of the features' shares, so that lengths compare."""
     row, feature, value = [], [], []
     n = 0
-    for f in features:
-        ids, counts = np.unique(f, return_counts=True)
+    for both in texts:
+        ids, counts = both[: len(both) // 2], both[len(both) // 2 :]
         row.append(np.full(len(ids), n, np.int32))
         feature.append(ids)
-        value.append(np.sqrt(4 * counts / (len(f) + 5 * MORE_WORDS)).astype(np.float32))
+        value.append(np.sqrt(4 * counts / (counts.sum() + 5 * MORE_WORDS)).astype(np.float32))
         n += 1
     kinds = (row, np.int32), (feature, np.int32), (value, np.float32)
     return Rows(n, *[np.concatenate(x).astype(k) if x else np.empty(0, k) for x, k in kinds])
@@ -283,20 +289,20 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, pool_rows: int) ->
     agreed = labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
     agreed = agreed.agg(F.min("quality").alias("least"), F.max("quality").alias("most"))
     ids = docs.where("doc_id is not null").select("doc_id").distinct()
-    of_ids = ids.join(agreed, "doc_id", "left")
-    order = hash_order("doc_id")
-    fitted = of_ids.where("least = most").orderBy(order, "doc_id").limit(fit_rows)
-    pool = of_ids.where("least is null").orderBy(order, "doc_id").limit(pool_rows)
+    of_ids = Scratch(docs.sparkSession, "cotraining").keep(ids.join(agreed, "doc_id", "left"), "ids")
+    fitted = least_hashed(of_ids.where("least = most"), fit_rows, "doc_id")
+    pool = least_hashed(of_ids.where("least is null"), pool_rows, "doc_id")
     chosen = fitted.select("doc_id", F.col("least").cast("int").alias("label")).unionByName(
         pool.select("doc_id", F.lit(-1).alias("label"))
     )
-    found = docs.select("doc_id", *page_columns()).join(F.broadcast(chosen), "doc_id")
+    found = small_batches(docs).select("doc_id", *page_columns()).join(F.broadcast(chosen), "doc_id")
 
     def run(batches):
         for b in batches:
             pages = [page_features(*x) for x in zip(b["text"], b["source"], b["lang"], b["n_chars"])]
-            words = [word_features(t).tobytes() for t in b["text"]]
+            words = [counted(word_features(t)).tobytes() for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "page": pages, "words": words})
+        give_back()
 
     rows = found.mapInPandas(run, "doc_id long, label int, page array<double>, words binary")
     return rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
@@ -308,7 +314,7 @@ def trained(
     rows = sample(docs, labels, fit_rows, pool_rows)
     if not len(rows):
         return None
-    words = word_rows(np.frombuffer(w, np.int32) for w in rows["words"])
+    words = word_rows(np.frombuffer(w, np.int32) for w in rows.pop("words"))
     return fit(words, np.array(rows["page"].tolist()), rows["label"].to_numpy(), rounds)
 
 
@@ -328,13 +334,13 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
         for at in range(0, len(text), 500):
             few = slice(at, at + 500)
             pages = np.array([page_features(*x) for x in zip(text[few], source[few], lang[few], n_chars[few])])
-            words = word_rows(map(word_features, text[few]))
+            words = word_rows(counted(word_features(t)) for t in text[few])
             parts.append(model.log_odds(words, page_rows(pages, model.edges)))
         a, b, both = (np.concatenate(x) for x in zip(*parts)) if parts else [np.empty(0)] * 3
         found = {"words": sigmoid(a), "page": sigmoid(b), "good": sigmoid(both), "kept": both >= model.limit}
         return pd.DataFrame(found)
 
-    return docs.withColumn("quality", judge(*page_columns()))
+    return small_batches(docs).withColumn("quality", judge(*page_columns()))
 
 
 def kept(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import Scratch
+from tallyline.llm.common import Scratch, small_batches
 from tallyline.llm.url_filter import url_parts
 
 # Template text is known as such from this many pages on.
@@ -440,7 +440,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     scratch = Scratch(pages.sparkSession, "wrappers")
-    url = pages.select("page_id", F.col("url").alias("shown"), F.coalesce("url", F.lit("")).alias("url"), "html")
+    url = small_batches(pages).select("page_id", F.col("url").alias("shown"), F.coalesce("url", F.lit("")).alias("url"), "html")
     host, _ = url_parts(F.col("url"))
     rows = url.select("page_id", F.col("shown").alias("url"), host.alias("host"), "html")
     known = scratch.keep(wrappers(rows), "wrappers")

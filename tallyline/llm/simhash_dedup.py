@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyline.llm.common import Scratch
+from tallyline.llm.common import Scratch, small_batches
 
 BITS = 64
 RADIUS = 3
@@ -218,7 +218,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """(doc_id, fp, component_id) of every row of `docs` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.keep(docs.select("doc_id", simhash(F.col("text")).alias("fp")), "fingerprints")
+    marked = scratch.keep(small_batches(docs).select("doc_id", simhash(F.col("text")).alias("fp")), "fingerprints")
     nodes = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     links = covering_links(nodes.select("fp"), scratch, radius, group)
     roots = components(links, scratch).withColumnRenamed("node", "fp")

@@ -43,6 +43,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.llm.common import give_back, small_batches
+
 LENGTH = 200
 GRAM = 64
 CHUNK = 4 << 20
@@ -51,7 +53,9 @@ MOST = 1 << 16
 # Buckets grow with the square root of the text, a bucket's chunks likewise.
 BUCKET = 1 << 16
 # Strings that are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+# Crowded anchors whose strings are listed at once.
+LISTED = 1 << 12
 
 RESOLVED, SEND, CROWDED = 1, 2, 4
 CONTEXTS, STRINGS, VERDICT = 0, 1, 2
@@ -163,15 +167,17 @@ class Chunk:
         context = mixed(string_hashes(whole, start, end) + shape)
         return Marked(text, at, np.concatenate(grams)[one], context, start, end)
 
-    def strings(self, m: Marked, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def strings(self, m: Marked, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Every string of LENGTH bytes that holds one of the anchors: start, hash, and hash of anchor and place."""
         back = np.arange(self.sizes.before + 1)
-        at, gram, text = m.at[chosen], m.gram[chosen], m.text[chosen]
-        start = at[:, None] - back[None, :]
-        fits = (start >= self.begins[text][:, None]) & (start + self.sizes.length <= self.ends[text][:, None])
-        place = mixed(gram[:, None] + back[None, :].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        start, place = start[fits], place[fits]
-        return start, string_hashes(self.bytes, start, start + self.sizes.length), place
+        for first in range(0, len(chosen), LISTED):
+            few = chosen[first : first + LISTED]
+            at, gram, text = m.at[few], m.gram[few], m.text[few]
+            start = at[:, None] - back[None, :]
+            fits = (start >= self.begins[text][:, None]) & (start + self.sizes.length <= self.ends[text][:, None])
+            place = mixed(gram[:, None] + back[None, :].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            start, place = start[fits], place[fits]
+            yield start, string_hashes(self.bytes, start, start + self.sizes.length), place
 
 
 def string_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -217,6 +223,15 @@ def pairs(a: np.ndarray, b: np.ndarray, flag: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(rows: np.ndarray) -> np.ndarray:
+    """Each pair once, flagged if it was there more than once."""
+    order, first, n = once(rows["a"], rows["b"])
+    if not len(order):
+        return rows
+    flag = np.maximum.reduceat(rows["flag"][order], first) | (n > 1)
+    return pairs(rows["a"][order[first]], rows["b"][order[first]], flag)
+
+
 def by_bucket(chunk: int, kind: int, rows: np.ndarray, buckets: int) -> Iterator[tuple]:
     bucket = (rows["a"] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -338,12 +353,10 @@ def send_contexts(sizes: Repeats):
                 of = np.flatnonzero(bucket == b)
                 contexts = b"".join(chunk.bytes[x:y] for x, y in zip(m.start[asked[of]], m.end[asked[of]]))
                 out.append((int(b), number, CONTEXTS, np.int64(len(of)).tobytes() + head[of].tobytes() + contexts))
-            hot = among(m.gram, crowded)
-            if hot.any():
-                _, string, place = chunk.strings(m, hot)
-                order, first, n = once(string, place)
-                rows = pairs(string[order[first]], place[order[first]], n > 1)
-                out += by_bucket(number, STRINGS, rows, sizes.buckets)
+            rows = np.empty(0, PAIR)
+            for _, string, place in chunk.strings(m, np.flatnonzero(among(m.gram, crowded))):
+                rows = distinct(np.concatenate([rows, pairs(string, place, np.zeros(len(string)))]))
+            out += by_bucket(number, STRINGS, rows, sizes.buckets)
         return pd.DataFrame(out, columns=SENT_COLUMNS)
 
     return run
@@ -491,12 +504,11 @@ def cut(sizes: Repeats, as_text: bool):
         if found.any():
             starts.append(m.at[found] - cover["left"][found])
             ends.append(m.at[found] + cover["right"][found])
-        hot = among(m.gram, crowded)
-        if hot.any():
-            start, string, place = chunk.strings(m, hot)
-            twice, _ = Lookup(told_rows(told, STRINGS, PAIR)).find(string, place)
-            starts.append(start[twice])
-            ends.append(start[twice] + sizes.length)
+        twice = Lookup(told_rows(told, STRINGS, PAIR))
+        for start, string, place in chunk.strings(m, np.flatnonzero(among(m.gram, crowded))):
+            again, _ = twice.find(string, place)
+            starts.append(start[again])
+            ends.append(start[again] + sizes.length)
         return np.concatenate(starts), np.concatenate(ends)
 
     def run(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -523,6 +535,28 @@ def cut(sizes: Repeats, as_text: bool):
     return run
 
 
+def of_one(step):
+    """A step over a group that gives its memory back."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = step(frame)
+        give_back()
+        return out
+
+    return run
+
+
+def of_two(step):
+    """A step over a pair of groups that gives its memory back."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = step(left, right)
+        give_back()
+        return out
+
+    return run
+
+
 CUT = "doc_id string, carried string, n_bytes long, starts array<long>, ends array<long>, kept"
 
 
@@ -539,14 +573,14 @@ def without_repeats(
     dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // chunk)).cast("int").alias("chunk")
     rest = F.lit(None).cast("string") if carried is None else carried
     columns = [dealt, F.col("doc_id").cast("string").alias("doc_id"), "text", rest.alias("carried")]
-    texts = docs.select(*columns).repartition("chunk")
-    told = texts.groupBy("chunk").applyInPandas(send_hashes(sizes), SENT)
-    told = told.groupBy("bucket").applyInPandas(tell_chunks(sizes), TOLD)
-    sent = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(send_contexts(sizes), SENT)
-    found = sent.groupBy("kind", "bucket").applyInPandas(find_repeats(sizes), TOLD)
+    texts = small_batches(docs).select(*columns).repartition("chunk")
+    told = texts.groupBy("chunk").applyInPandas(of_one(send_hashes(sizes)), SENT)
+    told = told.groupBy("bucket").applyInPandas(of_one(tell_chunks(sizes)), TOLD)
+    sent = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(of_two(send_contexts(sizes)), SENT)
+    found = sent.groupBy("kind", "bucket").applyInPandas(of_one(find_repeats(sizes)), TOLD)
     both = told.unionByName(found)
     done = texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(
-        cut(sizes, as_text), f"{CUT} {'string' if as_text else 'binary'}"
+        of_two(cut(sizes, as_text)), f"{CUT} {'string' if as_text else 'binary'}"
     )
     return done.withColumn("doc_id", F.col("doc_id").cast("long"))
 

@@ -69,7 +69,7 @@ def test_pseudo_labels_come_from_the_other_view():
     n = 600
     truth = rng.random(n) < 0.6
     label = np.where(np.arange(n) < 60, truth, -1).astype(int)
-    words = c.word_rows([np.array([10 if t else 11] * 5 + rng.integers(100, 9000, 5).tolist(), np.int32) for t in truth])
+    words = c.word_rows([c.counted(np.array([10 if t else 11] * 5 + rng.integers(100, 9000, 5).tolist())) for t in truth])
     pages = rng.random((n, c.N_NUMBERS + 2))
     pages[:, 0] += 0.4 * truth
     pages[:, -2:] = 0
