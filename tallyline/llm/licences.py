@@ -31,7 +31,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import hash_order
+from tallyline.llm.common import hash_order, least_hashed
 
 UNKNOWN = "unknown"
 SAMPLE_DOCS = 600
@@ -183,8 +183,8 @@ def training_rows(spark: SparkSession, docs: DataFrame, templates: str) -> DataF
     """(family, paragraph, found): templates and their parts, and a bounded sample of the table as unknown."""
     labelled = [(f, p) for f, texts in TEMPLATES.items() for t in texts for p in parts(t)]
     known = spark.createDataFrame(labelled, "family string, paragraph string")
-    chosen = docs.where("text is not null").orderBy(hash_order("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    lines = paragraphs(chosen.select("doc_id", "text")).orderBy(hash_order("paragraph"), "paragraph").limit(SAMPLE_PARAGRAPHS)
+    chosen = least_hashed(docs.where("text is not null").select("doc_id", "text"), SAMPLE_DOCS, "doc_id")
+    lines = paragraphs(chosen).orderBy(hash_order("paragraph"), "paragraph").limit(SAMPLE_PARAGRAPHS)
     ordinary = lines.where(overlap(grams(F.col("found")), templates) < LEAST_OVERLAP / 2)
     rows = known.withColumn("found", tokens(F.col("paragraph")))
     return rows.unionByName(ordinary.select(F.lit(UNKNOWN).alias("family"), "paragraph", "found"))
