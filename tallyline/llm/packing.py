@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict, deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -34,12 +34,8 @@ TOKENIZER = "word_bpe_49k.json"
 # Rows that share a rank counter; more rows than that get more counters.
 COUNTED = 20_000
 # Words whose ids a Python worker remembers, twice over.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
-# What the last token of a word ends with.
-WORD_END = "</w>"
-# New words that are encoded in one call.
-AT_ONCE = 4096
 # A word of Latin letters, then perhaps points. The tokenizer lowers letters one by
 # one and splits letters from points, so such words share the ids of their parts.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
@@ -58,19 +54,16 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.older: dict[str, bytes] = {}
         self.room = room
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[n for token, n in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         known = self.older.get(word)
+        self.make_room()
         if known is not None:
             self[word] = known
             return known
-        self.make_room()
         plain = PLAIN.fullmatch(word)
         if plain and (plain[2] or plain[1] != plain[1].lower()):
             ids = self[plain[1].lower()] + (self[plain[2]] if plain[2] else b"")
@@ -86,23 +79,6 @@ class WordIds(dict):
             self.older = dict(self)
             self.clear()
 
-    def learn(self, texts: Iterable[str]) -> None:
-        """Encode the new plain words of some texts together: a call costs more than a word does.
-
-        Each is one piece to the splitter, so its ids end where a word ends.
-        """
-        met = set().union(*map(str.split, texts))
-        plain = (PLAIN.fullmatch(w) for w in met if w not in self and w not in self.older)
-        new = [w for w in {m[1].lower() for m in plain if m} if w not in self and w not in self.older]
-        for at in range(0, len(new), AT_ONCE):
-            self.make_room()
-            words = new[at : at + AT_ONCE]
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-            borders = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            if len(borders) == len(words) + 1:
-                raw = ids.tobytes()
-                self.update(zip(words, (raw[a:b] for a, b in zip(borders, borders[1:]))))
-
     def of(self, text: str) -> bytes:
         # these four are white space to str.split but not to the tokenizer
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -142,7 +118,6 @@ def tokenized(
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
-            known.learn(t for t in batch["text"] if t)
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = known.of(text or "") + tail
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
