@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyline.llm.common import Scratch, hash_order
+from tallyline.llm.common import Scratch, hash_order, least_hashed
 
 SCALE = 256
 TOP = 5
@@ -218,7 +218,7 @@ def search(
     space = Space(max(1, facts[0]), kind, float(facts[2]))
 
     vectors = packed(found, space)
-    chosen = vectors.orderBy(hash_order("vec_id"), "vec_id").limit(sample).toPandas()
+    chosen = least_hashed(vectors, sample, "vec_id").toPandas()
     index = fitted(chosen, space, pivots, rings)
     vectors = scratch.keep(keyed(vectors, index), "vectors")
     ring = vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("low"), F.max("far").alias("high"))
