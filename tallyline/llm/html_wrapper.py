@@ -8,7 +8,7 @@ neighbours, or equal runs of neighbours, fold into one repeated group; and texts
 that differ make a slot, while equal ones stay template text.
 
 What is read off a wrapper: the article is its `article` or `main` part, or else
-the smallest element that holds most of the text in slots. From that region come
+the smallest element that holds all texts that are neither template nor links. From that region come
 all texts but those of elements whose names say menu, header, footer, sidebar,
 notice, advert, form or comments; without an article element template texts and
 lists of links go too.
@@ -244,13 +244,18 @@ def folded(elements: list[list]) -> list[list]:
 
 
 def joined(a: list, b: list, same_page: bool = False) -> list:
-    """One element for both: texts that differ become a slot, elements are aligned."""
+    """One element for both: texts that differ become a slot, elements are aligned.
+
+    Different texts of one page are template together while all pages have them so.
+    """
     text = a[TEXT] if a[TEXT] == b[TEXT] or b[TEXT] is None else b[TEXT] if a[TEXT] is None else "*"
+    pages, repeated = a[PAGES] + b[PAGES], a[REPEATED] | b[REPEATED]
     if same_page:
-        text, pages, repeated = "*", max(a[PAGES], b[PAGES]), 1
-    else:
-        pages, repeated = a[PAGES] + b[PAGES], a[REPEATED] | b[REPEATED]
-    return [a[KEY], pages, repeated, text, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], aligned(a[CHILDREN], b[CHILDREN])]
+        if text == "*" and a[TEXT] != "*" and b[TEXT] != "*":
+            text = crc32(f"{a[TEXT]} {b[TEXT]}".encode())
+        pages, repeated = max(a[PAGES], b[PAGES]), 1
+    below = aligned(a[CHILDREN], b[CHILDREN], same_page)
+    return [a[KEY], pages, repeated, text, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], below]
 
 
 def matches(a: list[list], b: list[list]) -> list[tuple[int, int]]:
@@ -275,13 +280,13 @@ def matches(a: list[list], b: list[list]) -> list[tuple[int, int]]:
     return found
 
 
-def aligned(a: list[list], b: list[list]) -> list[list]:
+def aligned(a: list[list], b: list[list], same_page: bool = False) -> list[list]:
     """Elements of both sides in order; those of one side only are in fewer pages, so optional."""
     out, i, j = [], 0, 0
     for x, y in [*matches(a, b), (len(a), len(b))]:
         out += a[i:x] + b[j:y]
         if x < len(a) and y < len(b):
-            out.append(joined(a[x], b[y]))
+            out.append(joined(a[x], b[y], same_page))
         i, j = x + 1, y + 1
     return out
 
@@ -301,9 +306,9 @@ def merged(wrapper: list | None, other: list) -> list:
     return both
 
 
-def slot_chars(element: list) -> int:
-    own = element[CHARS] - element[LINKS] if element[TEXT] == "*" or element[PAGES] < LEAST_PAGES else 0
-    return max(0, own) + sum(map(slot_chars, element[CHILDREN]))
+def keeps(element: list) -> bool:
+    """Whether the element, or one below it, has text that is neither template nor mostly links."""
+    return bool(element[CHARS]) and not is_template(element) or any(map(keeps, element[CHILDREN]))
 
 
 def is_article(key: str) -> int:
@@ -315,19 +320,18 @@ def is_article(key: str) -> int:
 def article_kind(wrapper: list) -> int:
     """The strongest kind of article element in the wrapper that holds slots."""
     own = is_article(wrapper[KEY])
-    return max([own if own and slot_chars(wrapper) else 0, *map(article_kind, wrapper[CHILDREN])])
+    return max([own if own and keeps(wrapper) else 0, *map(article_kind, wrapper[CHILDREN])])
 
 
 def region_of(wrapper: list) -> tuple[int, ...]:
-    """Places, from the root, of the smallest element that holds most of the slots' text."""
+    """Places, from the root, of the smallest element that holds all text that is not template or links."""
     path: list[int] = []
-    while wrapper[CHILDREN]:
-        total = slot_chars(wrapper)
-        place, largest = max(enumerate(wrapper[CHILDREN]), key=lambda e: slot_chars(e[1]))
-        if not total or not largest[CHILDREN] or 10 * slot_chars(largest) < 8 * total:
+    while not wrapper[CHARS] or is_template(wrapper):
+        holding = [place for place, e in enumerate(wrapper[CHILDREN]) if keeps(e)]
+        if len(holding) != 1 or not wrapper[CHILDREN][holding[0]][CHILDREN]:
             break
-        path.append(place)
-        wrapper = largest
+        path += holding
+        wrapper = wrapper[CHILDREN][holding[0]]
     return tuple(path)
 
 

@@ -124,3 +124,26 @@ def test_test_table(spark):
     expected = Counter((p.page_id, p.url, cut(p.html)) for p in pages)
     assert Counter((r.page_id, r.url, r.text) for r in found) == expected
     assert all(r.n_chars == len(r.text) for r in found)
+
+
+def read_together(pages: list[str]) -> list[str]:
+    """The main texts of one host's pages."""
+    wrapper = None
+    for page in pages:
+        wrapper = h.merged(wrapper, h.wrapped(h.parsed(page)))
+    reader = h.Reader(wrapper)
+    return [reader.article(page) for page in pages]
+
+
+def test_region_holds_all_main_text():
+    pages, expected = [], []
+    for n in range(8):
+        story = [LOREM.format(n=n * 9 + i) for i in range(6)]
+        pages.append(
+            "<body><div><a href=1>News</a></div>"
+            f"<div class=post><h1>Title {n}</h1><div class=intro><p>In short {n}</p></div>"
+            f"<div class=text>{''.join(f'<p>{x}</p>' for x in story)}</div><div class=more><p>Second part {n}</p></div></div>"
+            "<div><p>All rights are kept.</p></div></body>"
+        )
+        expected.append("\n".join([f"Title {n}", f"In short {n}", *story, f"Second part {n}"]))
+    assert read_together(pages) == expected
