@@ -15,8 +15,9 @@ lists of links go too.
 
 Every page of a host takes part. Each task aligns its own pages to one wrapper
 per host; these are aligned with each other in two more steps, so a host with
-very many pages is spread. A page is read again with its host's wrapper; what
-the wrapper doesn't know is judged by its names alone.
+very many pages is spread. A wrapper that grows too large folds its rarest
+elements into rests. A page is read again with its host's wrapper; what the
+wrapper doesn't know is judged by its names and links alone.
 
 Cases: null, empty or text-less html gives an empty text; pages without a host
 form one group; equal rows are treated alike; rows without id as well; an empty
@@ -40,7 +41,7 @@ from tallyline.llm.url_filter import url_parts
 
 # Template text is known as such from this many pages on.
 LEAST_PAGES = 5
-# Elements of a wrapper; further optional ones are not taken in.
+# A wrapper of more elements than this folds its rarest ones into rests.
 MOST_NODES = 4096
 # Hosts whose wrappers a task holds before handing them on.
 HOSTS_HELD = 1000
@@ -185,6 +186,9 @@ def parsed(html: str) -> Node:
 # (its checksum; None before any text; "*" for a slot), characters in slots, of
 # these in links, and its elements.
 KEY, PAGES, REPEATED, TEXT, CHARS, LINKS, CHILDREN = range(7)
+# Keys of rests, by the kind of article in them: the last elements of their parent,
+# each a slot that stands for rare elements. No element of a page has such a key.
+RESTS = ("*", "main.*", "article.*")
 
 
 def text_of(node: Node) -> str:
@@ -204,6 +208,8 @@ def paths(element: list, depth: int = 3) -> set[str]:
     """Keys on the ways down from an element."""
     found = set()
     for e in element[CHILDREN]:
+        if e[KEY] in RESTS:
+            continue
         found.add(e[KEY])
         if depth > 1 and e[CHILDREN]:
             found |= {f"{e[KEY]}>{p}" for p in paths(e, depth - 1)}
@@ -214,9 +220,9 @@ def likeness(a: list, b: list) -> float:
     """0 for elements of different keys, else 1 and the share of common paths inside."""
     if a[KEY] != b[KEY]:
         return 0.0
-    if not a[CHILDREN] and not b[CHILDREN]:
-        return 2.0
     x, y = paths(a), paths(b)
+    if not x and not y:
+        return 2.0
     return 1 + len(x & y) / len(x | y)
 
 
@@ -281,7 +287,14 @@ def matches(a: list[list], b: list[list]) -> list[tuple[int, int]]:
 
 
 def aligned(a: list[list], b: list[list], same_page: bool = False) -> list[list]:
-    """Elements of both sides in order; those of one side only are in fewer pages, so optional."""
+    """Elements of both sides in order; those of one side only are in fewer pages, so optional. Rests stay last."""
+    if any(side and side[-1][KEY] in RESTS for side in (a, b)):
+        rests: dict[str, list] = {}
+        for e in a + b:
+            if e[KEY] in RESTS:
+                rests[e[KEY]] = joined(rests[e[KEY]], e) if e[KEY] in rests else e
+        a, b = ([e for e in side if e[KEY] not in RESTS] for side in (a, b))
+        return aligned(a, b, same_page) + [rests[key] for key in RESTS if key in rests]
     out, i, j = [], 0, 0
     for x, y in [*matches(a, b), (len(a), len(b))]:
         out += a[i:x] + b[j:y]
@@ -292,18 +305,52 @@ def aligned(a: list[list], b: list[list], same_page: bool = False) -> list[list]
 
 
 def size_of(wrapper: list) -> int:
-    return 1 + sum(map(size_of, wrapper[CHILDREN]))
+    """Elements of a wrapper, without rests."""
+    return (wrapper[KEY] not in RESTS) + sum(map(size_of, wrapper[CHILDREN]))
 
 
 def merged(wrapper: list | None, other: list) -> list:
-    if wrapper is None:
-        return other
-    both = joined(wrapper, other)
-    if size_of(both) > MOST_NODES >= size_of(wrapper):
-        # counts and slots go on, new elements are left out
-        wrapper[PAGES] += other[PAGES]
-        return wrapper
-    return both
+    both = other if wrapper is None else joined(wrapper, other)
+    return compacted(both) if size_of(both) > MOST_NODES else both
+
+
+def compacted(wrapper: list) -> list:
+    """The wrapper with its rarest elements, the deepest of them first, folded into rests.
+
+    All pages go on counting: what is on many pages stays whatever page it came
+    with, and a rest still says that its parent has text of its own there, and
+    the strongest kind of article. So texts of rare elements are never taken for
+    template or left out of the region.
+    """
+    ranks: list[tuple[int, int]] = []
+
+    def rank(element: list, depth: int) -> None:
+        ranks.append((element[PAGES], -depth))
+        for e in element[CHILDREN]:
+            if e[KEY] not in RESTS:
+                rank(e, depth + 1)
+
+    def fold(element: list, depth: int) -> list:
+        kept, rests = [], {}
+        for e in element[CHILDREN]:
+            if e[KEY] not in RESTS and (e[PAGES], -depth - 1) > rarest:
+                kept.append(fold(e, depth + 1))
+                continue
+            key = RESTS[article_kind(e)]
+            pages, chars = rests.get(key, (0, 0))
+            rests[key] = max(pages, e[PAGES]), chars + kept_chars(e)
+        kept += [[key, *rests[key][:1], 1, "*", rests[key][1], 0, []] for key in RESTS if key in rests]
+        return [*element[:CHILDREN], kept]
+
+    rank(wrapper, 0)
+    rarest = sorted(ranks, reverse=True)[MOST_NODES // 2]
+    return fold(wrapper, 0)
+
+
+def kept_chars(element: list) -> int:
+    """Characters of an element's texts that are not mostly links."""
+    own = element[CHARS] if element[LINKS] * 2 <= element[CHARS] else 0
+    return own + sum(map(kept_chars, element[CHILDREN]))
 
 
 def keeps(element: list) -> bool:
@@ -390,7 +437,7 @@ class Reader:
                 if text and not template:
                     blocks.append(text)
             elif not c.dropped:
-                self.collect(c, of.get(id(c)), blocks)
+                self.collect(c, of.get(id(c)) or (wrapped(c) if known is not None else None), blocks)
 
 
 def placed(node: Node, known: list) -> list[tuple[Node, list]]:

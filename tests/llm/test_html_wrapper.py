@@ -147,3 +147,47 @@ def test_region_holds_all_main_text():
         )
         expected.append("\n".join([f"Title {n}", f"In short {n}", *story, f"Second part {n}"]))
     assert read_together(pages) == expected
+
+
+def tagged_page(n: int) -> str:
+    """A page whose elements have names of their own, and a template that begins to be one after the first pages."""
+    own = "".join(f"<div class='tag-{a}{b}'><p>{LOREM.format(n=n)} {a}{b}</p></div>" for a in names(n) for b in "abcde")
+    late = "<div class=late><p>This page is best seen with open eyes.</p></div>" if n > 20 else ""
+    return f"<body><div class=post><h2>Story {n}</h2>{own}</div>{late}<div class=end><p>All rights are kept.</p></div></body>"
+
+
+def names(n: int) -> list[str]:
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return [letters[n % 26] + letters[n // 26] + letters[i] for i in range(6)]
+
+
+def tagged_text(n: int) -> str:
+    return "\n".join([f"Story {n}", *(f"{LOREM.format(n=n)} {a}{b}" for a in names(n) for b in "abcde")])
+
+
+def test_all_pages_take_part_in_a_full_wrapper(monkeypatch):
+    monkeypatch.setattr(h, "MOST_NODES", 200)
+    pages = [tagged_page(n) for n in range(60)]
+    expected = [tagged_text(n) for n in range(60)]
+    assert read_together(pages) == expected
+    assert read_together(pages[::-1]) == expected[::-1]
+    wrapper = None
+    for page in pages:
+        wrapper = h.merged(wrapper, h.wrapped(h.parsed(page)))
+    assert h.size_of(wrapper) <= 200 and wrapper[h.CHILDREN][0][h.PAGES] == 60
+
+
+def test_full_wrapper_is_the_same_from_any_split(monkeypatch):
+    monkeypatch.setattr(h, "MOST_NODES", 200)
+    parts = [None] * 3
+    for n in range(60):
+        parts[n % 3] = h.merged(parts[n % 3], h.wrapped(h.parsed(tagged_page(n))))
+    whole = h.merged(h.merged(parts[2], parts[0]), parts[1])
+    assert [h.Reader(whole).article(tagged_page(n)) for n in range(60)] == [tagged_text(n) for n in range(60)]
+
+
+def test_one_page_larger_than_a_wrapper(monkeypatch):
+    monkeypatch.setattr(h, "MOST_NODES", 20)
+    page = tagged_page(1)
+    assert h.size_of(h.merged(None, h.wrapped(h.parsed(page)))) <= 20
+    assert read_together([page])[0].startswith(tagged_text(1))
