@@ -67,6 +67,8 @@ NEVER_TEXT = "script|style|noscript|template|textarea|title|iframe"
 DROPPED_TAGS = frozenset(
     "nav header footer aside form menu button dialog fieldset select svg math object canvas audio video".split()
 )
+# Names tell nothing of these; an article element needs the word itself as its name.
+WHOLE_PAGE = frozenset(("html", "body", "main"))
 # Some sites put the whole page into one of these.
 AROUND_ALL = frozenset(("form", "fieldset"))
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -76,6 +78,13 @@ DROPPED_WORDS = frozenset(
     "subscription share sharing social comment comments commentlist disqus respond replies related recommended "
     "breadcrumb breadcrumbs pagination pager popup modal overlay login signup search widget toolbar copyright skip".split()
 )
+# Names with one of these say what a page has or does, not what the element is.
+STATES = frozenset("no not non with without has have is hide hides show shows".split())
+# Last words of names that leave it to the word before.
+HOLDERS = frozenset("slot box bar list item unit inner section area".split())
+# What an element of these names holds is no main article, even in article elements.
+REPLIES = frozenset("comment comments commentlist disqus respond replies related recommended".split())
+ASIDES = frozenset("sidebar aside footer".split())
 ARTICLE_NAMES = frozenset(
     "article-body article-content article-text post-content post-body entry-content story-body main-content".split()
 )
@@ -94,7 +103,7 @@ class Node:
 
     __slots__ = ("children", "dropped", "key", "links", "own", "tag")
 
-    def __init__(self, tag: str, key: str, dropped: bool):
+    def __init__(self, tag: str, key: str, dropped: int):
         self.tag, self.key, self.dropped = tag, key, dropped
         self.children: list[Node | str] = []
         self.links = 0
@@ -104,17 +113,33 @@ class Node:
         return [c for c in self.children if isinstance(c, Node) and not c.dropped]
 
 
-def described(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's key, from its tag and names, and whether its names put it outside the article."""
+# Why an element is outside the article: for what it is, or for its name or as
+# something around the whole page, which an article element inside it outweighs.
+BY_NAME, FIRMLY = 1, 2
+
+
+def role_of(name: str) -> str:
+    """What a class or id says the element is: its last word."""
+    words = [w for w in re.split(r"[-_\d]+", name) if len(w) > 1]
+    while len(words) > 1 and words[-1] in HOLDERS:
+        words.pop()
+    return words[-1] if words and not STATES.intersection(words) else ""
+
+
+def described(tag: str, attributes: str) -> tuple[str, int]:
+    """An element's key, from its tag and names, and whether these put it outside the article."""
+    by_tag = (BY_NAME if tag in AROUND_ALL else FIRMLY) if tag in DROPPED_TAGS else 0
     if not attributes.strip(" /\n\t"):
-        return tag, tag in DROPPED_TAGS
+        return tag, by_tag
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
-    parts = {w for n in names for w in re.split(r"[-_\d]+", n)}
+    said = set(names) if tag == "article" else set() if tag in WHOLE_PAGE else set(map(role_of, names))
+    said &= DROPPED_WORDS
     role = found.get("role", "").lower()
     hidden = found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     hidden = hidden or bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "", attributes)))
-    dropped = tag in DROPPED_TAGS or role in DROPPED_ROLES or hidden or bool(parts & DROPPED_WORDS)
+    firmly = role in DROPPED_ROLES or hidden or bool(said & REPLIES or said & ASIDES & set(names))
+    dropped = FIRMLY if firmly else by_tag or (BY_NAME if said else 0)
     kept = sorted({n for n in names if NAME.fullmatch(n)})
     article = role == "main" or found.get("itemprop") == "articleBody" or any(n in ARTICLE_NAMES for n in names)
     return ".".join([tag, *kept]) + ("!" if article else ""), dropped
@@ -122,7 +147,7 @@ def described(tag: str, attributes: str) -> tuple[str, bool]:
 
 def parsed(html: str) -> Node:
     """The tree of block elements; inline elements melt into the text around them."""
-    root = Node("", "", False)
+    root = Node("", "", 0)
     stack = [root]
     link = 0
 
@@ -174,9 +199,9 @@ def parsed(html: str) -> Node:
             close(CLOSES_SAME[tag])
         node = Node(tag, key, dropped)
         stack[-1].children.append(node)
-        if is_article(key):
+        if is_article(key) and not dropped and all(around.dropped != FIRMLY for around in stack):
             for around in stack:
-                around.dropped = around.dropped and around.tag not in AROUND_ALL
+                around.dropped = 0
         if tag != "hr" and not m[4].endswith("/"):
             stack.append(node)
     return root

@@ -191,3 +191,21 @@ def test_one_page_larger_than_a_wrapper(monkeypatch):
     page = tagged_page(1)
     assert h.size_of(h.merged(None, h.wrapped(h.parsed(page)))) <= 20
     assert read_together([page])[0].startswith(tagged_text(1))
+
+
+def test_names_drop_only_what_they_say():
+    inner = "<p>one</p><p>two</p>"
+    for page in (
+        f"<html class=has-menu><body class='no-sidebar'><article>{inner}</article></body></html>",
+        f"<body id=header><div class='content with-sidebar'><article>{inner}</article></div></body>",
+        f"<article class='post has-comments'>{inner}</article>",
+        f"<main class='skip-target'>{inner}</main>",
+        f"<body><div class='content with-sidebar'>{inner}</div></body>",
+        f"<div class=page-with-sidebar><div class=post>{inner}</div></div>",
+        f"<div class=menu-open>{inner}</div>",
+        f"<div class=overlay><div class=content-sidebar><article>{inner}</article></div></div>",
+        f"<article>{inner}<div class='comments-area'>x</div><div id=ad-300x250>x</div><div class=sidebar>x</div></article>",
+        f"<article>{inner}</article><div class=comments><article><p>Nice</p></article><article class=comment>x</article></div>",
+        f"<article>{inner}</article><div class=sidebar><article>See also</article></div><article class=comment>x</article>",
+    ):
+        assert read_together([page]) == ["one\ntwo"], page
