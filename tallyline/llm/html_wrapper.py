@@ -8,10 +8,11 @@ neighbours, or equal runs of neighbours, fold into one repeated group; and texts
 that differ make a slot, while equal ones stay template text.
 
 What is read off a wrapper: the article is its `article` or `main` part, or else
-the smallest element that holds all texts that are neither template nor links. From that region come
-all texts but those of elements whose names say menu, header, footer, sidebar,
-notice, advert, form or comments; without an article element template texts and
-lists of links go too.
+the smallest element that holds all texts that are neither template nor links.
+From that region come all texts but those of elements whose names say menu,
+header, footer, sidebar, notice, advert, form or comments; without an article
+element template texts and lists of links go too. Copies of a page make no
+template: pages of different texts are counted.
 
 Every page of a host takes part. Each task aligns its own pages to one wrapper
 per host; these are aligned with each other in two more steps, so a host with
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from tallyline.llm.common import Scratch, small_batches
 from tallyline.llm.url_filter import url_parts
 
-# Template text is known as such from this many pages on.
+# Template text is known as such from this many pages on; copies of a page count once.
 LEAST_PAGES = 5
 # A wrapper of more elements than this folds its rarest ones into rests.
 MOST_NODES = 4096
@@ -209,8 +210,9 @@ def parsed(html: str) -> Node:
 
 # A wrapper element is a list: key, pages it is in, repeated or not, template text
 # (its checksum; None before any text; "*" for a slot), characters in slots, of
-# these in links, and its elements.
-KEY, PAGES, REPEATED, TEXT, CHARS, LINKS, CHILDREN = range(7)
+# these in links, its elements, and checksums of the different pages it is in (none
+# before a page is counted, None from LEAST_PAGES pages on).
+KEY, PAGES, REPEATED, TEXT, CHARS, LINKS, CHILDREN, SEEN = range(8)
 # Keys of rests, by the kind of article in them: the last elements of their parent,
 # each a slot that stands for rare elements. No element of a page has such a key.
 RESTS = ("*", "main.*", "article.*")
@@ -221,14 +223,39 @@ def text_of(node: Node) -> str:
 
 
 def wrapped(node: Node) -> list:
-    """The wrapper of one page's element."""
+    """The wrapper of one page's element; that of the whole page is counted as one page."""
     if node.own is None:
         text = text_of(node)
         below = folded([wrapped(c) for c in node.inner()])
-        node.own = [node.key, 1, 0, crc32(text.encode()) if text else None, len(text), node.links, below]
+        node.own = [node.key, 1, 0, crc32(text.encode()) if text else None, len(text), node.links, below, []]
+        if not node.tag:
+            counted(node.own, [checksum(node)])
     return node.own
 
 
+def checksum(node: Node, start: int = 0) -> int:
+    """Of an element's texts, but for those in dropped elements."""
+    start = crc32(f"{text_of(node)}\n".encode(errors="replace"), start)
+    for c in node.inner():
+        start = checksum(c, start)
+    return start
+
+
+def counted(element: list, seen: list[int]) -> None:
+    element[SEEN] = seen
+    for e in element[CHILDREN]:
+        counted(e, seen)
+
+
+def all_seen(a: list | None, b: list | None) -> list | None:
+    if a is None or b is None:
+        return None
+    if a == b:
+        return a
+    both = sorted({*a, *b})
+    return both if len(both) < LEAST_PAGES else None
+
+
 def paths(element: list, depth: int = 3) -> set[str]:
     """Keys on the ways down from an element."""
     found = set()
@@ -286,7 +313,7 @@ def joined(a: list, b: list, same_page: bool = False) -> list:
             text = crc32(f"{a[TEXT]} {b[TEXT]}".encode())
         pages, repeated = max(a[PAGES], b[PAGES]), 1
     below = aligned(a[CHILDREN], b[CHILDREN], same_page)
-    return [a[KEY], pages, repeated, text, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], below]
+    return [a[KEY], pages, repeated, text, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], below, all_seen(a[SEEN], b[SEEN])]
 
 
 def matches(a: list[list], b: list[list]) -> list[tuple[int, int]]:
@@ -364,8 +391,8 @@ def compacted(wrapper: list) -> list:
             key = RESTS[article_kind(e)]
             pages, chars = rests.get(key, (0, 0))
             rests[key] = max(pages, e[PAGES]), chars + kept_chars(e)
-        kept += [[key, *rests[key][:1], 1, "*", rests[key][1], 0, []] for key in RESTS if key in rests]
-        return [*element[:CHILDREN], kept]
+        kept += [[key, rests[key][0], 1, "*", rests[key][1], 0, [], []] for key in RESTS if key in rests]
+        return [*element[:CHILDREN], kept, element[SEEN]]
 
     rank(wrapper, 0)
     rarest = sorted(ranks, reverse=True)[MOST_NODES // 2]
@@ -389,10 +416,14 @@ def is_article(key: str) -> int:
     return 2 if tag == "article" or (key.endswith("!") and tag != "main") else 1 if tag == "main" or key.endswith("!") else 0
 
 
+def has_text(element: list) -> bool:
+    return bool(element[CHARS]) or element[KEY] in RESTS or any(map(has_text, element[CHILDREN]))
+
+
 def article_kind(wrapper: list) -> int:
-    """The strongest kind of article element in the wrapper that holds slots."""
+    """The strongest kind of article element in the wrapper that holds text."""
     own = is_article(wrapper[KEY])
-    return max([own if own and keeps(wrapper) else 0, *map(article_kind, wrapper[CHILDREN])])
+    return max([own if own and has_text(wrapper) else 0, *map(article_kind, wrapper[CHILDREN])])
 
 
 def region_of(wrapper: list) -> tuple[int, ...]:
@@ -408,10 +439,10 @@ def region_of(wrapper: list) -> tuple[int, ...]:
 
 
 def is_template(element: list) -> bool:
-    """The same text on all pages, or mostly links."""
+    """The same text on all of several different pages, or mostly links."""
     if element[CHARS] and element[LINKS] * 2 > element[CHARS]:
         return True
-    return element[PAGES] >= LEAST_PAGES and element[TEXT] not in (None, "*")
+    return element[SEEN] is None and element[TEXT] not in (None, "*")
 
 
 class Reader:

@@ -209,3 +209,24 @@ def test_names_drop_only_what_they_say():
         f"<article>{inner}</article><div class=sidebar><article>See also</article></div><article class=comment>x</article>",
     ):
         assert read_together([page]) == ["one\ntwo"], page
+
+
+def test_copies_of_one_page_make_no_template():
+    for inner in ("<h1>T</h1><p>one paragraph</p>", "<p>one paragraph</p>"):
+        expected = "\n".join(re.findall(r">([^<]+)<", inner))
+        for page in (f"<article>{inner}</article>", f"<body><div class=post>{inner}</div></body>"):
+            for copies in (1, 4, 5, 30):
+                assert read_together([page] * copies) == [expected] * copies
+    pages = [plain_page(n) for n in range(6) for _ in range(3)]
+    assert read_together(pages) == [plain_text(n) for n in range(6) for _ in range(3)]
+    empty = [f"<body><article></article><div><p>Story {n}</p><p>End {n}</p></div></body>" for n in range(6)]
+    assert read_together(empty) == [f"Story {n}\nEnd {n}" for n in range(6)]
+
+
+def test_copies_in_several_tasks_make_no_template():
+    page = "<body><div class=post><h1>T</h1><p>one paragraph</p></div></body>"
+    parts = [h.json.loads(h.json.dumps(h.wrapped(h.parsed(page)))) for _ in range(8)]
+    wrapper = None
+    for part in parts:
+        wrapper = h.merged(wrapper, part)
+    assert wrapper[h.PAGES] == 8 and h.Reader(wrapper).article(page) == "T\none paragraph"
