@@ -7,7 +7,7 @@ whole and in parts, and on a bounded sample of the table's own paragraphs as
 fitted on held-out rows, calibrates the chances. A paragraph (a line of a text)
 is given to a family only when that is likelier than not, and the finding is
 confirmed only when enough of its n-grams are those of one of the family's
-templates.
+templates. A paragraph with several notices has a row for each of the families.
 
 DataFrame functions and the DataFrame-based regression only. The model is a small
 constant; texts stay where they are, nothing is shuffled. A paragraph without any
@@ -44,6 +44,12 @@ STEPS = 80
 LEAST_CHANCE = 0.5
 LEAST_OVERLAP = 0.6
 HELD_OUT = 4
+# Families whose notices share their wording, and the n-grams that tell which is meant.
+RELATED = {
+    "gpl": ["gpl", "gnu general"], "lgpl": ["lgpl", "lesser general"], "agpl": ["agpl", "affero"],
+    "cc-by": ["cc by", "commons attribution"], "cc-by-sa": ["by sa", "attribution sharealike", "share alike"],
+    "cc-by-nc": ["by nc", "attribution noncommercial", "non commercial"],
+}
 
 # Notices and key passages of well-known licences, in their published wording.
 TEMPLATES: dict[str, list[str]] = {
@@ -273,39 +279,107 @@ def fitted_temperature(held: list) -> float:
     return float(min(np.geomspace(0.25, 4.0, 33), key=loss))
 
 
-def scored(found: DataFrame, model: Model) -> DataFrame:
-    """`found` (paragraphs) with the likeliest family and its calibrated chance."""
-    table = [{"g": g, "w": w} for g, w in zip(model.grams, model.weights, strict=True)]
-    constant = F.from_json(F.lit(json.dumps(table)), "array<struct<g:string,w:array<double>>>")
+def bound(value: Column, use) -> Column:
+    """What `use` makes of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def notices(found: Column, model: Model) -> Column:
+    """(family, chance, overlap) of every family that a paragraph names, the likeliest first.
+
+    The likeliest family counts by its calibrated chance. What its templates
+    explain is taken away; the family for which most of the rest speaks is next,
+    and so on until the rest speaks for none. Further families count by their
+    calibrated odds against unknown alone, given the whole paragraph; they must be
+    confirmed, and named if their notices share the wording of one found before.
+    """
+    weights = [{"g": g, "w": w} for g, w in zip(model.grams, model.weights, strict=True)]
+    constant = F.from_json(F.lit(json.dumps(weights)), "array<struct<g:string,w:array<double>>>")
     names = F.from_json(F.lit(json.dumps(model.grams)), "array<string>")
     families = F.from_json(F.lit(json.dumps(model.families)), "array<string>")
-    hits = F.array_intersect(grams(F.col("found")), names)
-    start = F.array(*map(F.lit, model.intercepts))
-    logits = F.aggregate(
-        F.transform(hits, lambda g: F.get(constant, (F.array_position(names, g) - 1).cast("int"))["w"]),
-        start,
-        lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b),
-    )
+    table = F.from_json(F.lit(model.templates), "array<struct<family:string,g:array<string>>>")
+    results = "array<struct<family:string,chance:double,overlap:double>>"
+    n_families = len(model.families) - 1
+
+    def summed(own: Column, start: list[float]) -> Column:
+        hits = F.array_intersect(own, names)
+        rows = F.transform(hits, lambda g: F.get(constant, (F.array_position(names, g) - 1).cast("int"))["w"])
+        return F.aggregate(rows, F.array(*map(F.lit, start)), lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))
+
+    def place_of(values: Column, value: Column) -> Column:
+        return (F.array_position(values, value) - 1).cast("int")
+
+    def without(rest: Column, family: Column) -> Column:
+        return F.array_except(rest, F.flatten(F.transform(F.filter(table, lambda t: t["family"] == family), lambda t: t["g"])))
+
+    def may_follow(family: Column, rest: Column, before: Column) -> Column:
+        allowed = ~F.array_contains(before, family)
+        for name, telling in RELATED.items():
+            kin = [k for k in RELATED if k != name and ("gpl" in k) == ("gpl" in name)]
+            named = F.arrays_overlap(rest, F.array(*map(F.lit, telling)))
+            allowed = allowed & ((family != name) | named | ~F.arrays_overlap(before, F.array(*map(F.lit, kin))))
+        return allowed
+
+    def state(rest: Column, out: Column, go: Column) -> Column:
+        return F.struct(rest.alias("rest"), out.alias("out"), go.alias("go"))
+
+    def row(family: Column, chance: Column, share: Column) -> Column:
+        return F.struct(family.alias("family"), chance.alias("chance"), share.alias("overlap"))
+
+    def of_grams(own: Column) -> Column:
+        def share_of(family: Column) -> Column:
+            return overlap(own, model.templates, family)
+
+        def of_logits(z: Column) -> Column:
+            def next_one(acc: Column, gains: Column) -> Column:
+                def of_gain(gain: Column) -> Column:
+                    def of_place(k: Column) -> Column:
+                        family = F.get(families, k)
+                        odds = 1 / (1 + F.exp((F.get(z, F.lit(n_families)) - F.get(z, k)) / F.lit(model.temperature)))
+                        before = F.transform(acc["out"], lambda o: o["family"])
+
+                        def of_share(share: Column) -> Column:
+                            added = F.concat(acc["out"], F.array(row(family, odds, share)))
+                            return F.when(share >= LEAST_OVERLAP, added).otherwise(acc["out"])
+
+                        may = (odds >= LEAST_CHANCE) & may_follow(family, acc["rest"], before)
+                        out = F.when(may, bound(share_of(family), of_share)).otherwise(acc["out"])
+                        return state(without(acc["rest"], family), out, F.lit(True))
+
+                    ended = state(acc["rest"], acc["out"], F.lit(False))
+                    return F.when(gain > 0, bound(place_of(gains, gain), of_place)).otherwise(ended)
+
+                return bound(F.array_max(gains), of_gain)
+
+            def further(acc: Column, _: Column) -> Column:
+                gains = F.slice(summed(acc["rest"], [0.0] * len(model.families)), 1, n_families)
+                return F.when(acc["go"], bound(gains, lambda g: next_one(acc, g))).otherwise(acc)
+
+            def begun(best: Column) -> Column:
+                family = F.get(families, place_of(z, best))
+                total = F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp((x - best) / F.lit(model.temperature)))
+                likely = state(without(own, family), F.array(row(family, 1 / total, share_of(family))), F.lit(True))
+                unsure = state(own, F.array().cast(results), F.lit(True))
+                return F.when(1 / total >= LEAST_CHANCE, likely).otherwise(unsure)
+
+            def of_best(best: Column) -> Column:
+                rounds = F.sequence(F.lit(1), F.lit(n_families))
+                every = F.aggregate(rounds, begun(best), further, lambda acc: acc["out"])
+                return F.when(best > F.get(z, F.lit(n_families)), every).otherwise(F.array().cast(results))
 
-    def likeliest(z: Column) -> Column:
-        def against(best: Column) -> Column:
-            total = F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp((x - best) / F.lit(model.temperature)))
-            family = F.get(families, (F.array_position(z, best) - 1).cast("int"))
-            return F.struct(family.alias("family"), (1 / total).alias("chance"))
+            return bound(F.array_max(z), of_best)
 
-        return F.transform(F.array(F.array_max(z)), against)[0]
+        return bound(summed(own, model.intercepts), of_logits)
 
-    # bound step by step, and as a generator: else filters above would compute the logits many times over
-    result = F.transform(F.array(logits), likeliest)
-    return found.select(*found.columns, F.inline(result))
+    return bound(grams(found), of_grams)
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, line, family, chance, overlap, confirmed) of every paragraph that is likelier a licence than not."""
+    """(doc_id, line, family, chance, overlap, confirmed) of every family that a paragraph is likelier to name than not."""
     model = model or train(docs.sparkSession, docs)
     keywords = F.from_json(F.lit(json.dumps(model.keywords)), "array<string>")
     has_any = docs.select("doc_id", "text").where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), keywords))
     rows = paragraphs(has_any).where(F.arrays_overlap("found", keywords))
-    likely = scored(rows, model).where((F.col("family") != UNKNOWN) & (F.col("chance") >= LEAST_CHANCE))
-    likely = likely.withColumn("overlap", overlap(grams(F.col("found")), model.templates, F.col("family")))
+    # as a generator: else filters above would compute the logits many times over
+    likely = rows.select("doc_id", "line", F.inline(notices(F.col("found"), model)))
     return likely.select("doc_id", "line", "family", "chance", "overlap", (F.col("overlap") >= LEAST_OVERLAP).alias("confirmed"))

@@ -105,3 +105,28 @@ def test_test_table(spark, model):
     confirmed = found.where("confirmed").select("doc_id", "line", F.col("family")).collect()
     assert expected.items() <= {(r.doc_id, r.line): r.family for r in confirmed}.items()
     assert all(re.search("licen|copyright|rights", lines[r.doc_id, r.line], re.I) for r in confirmed)
+
+
+def test_every_family_of_a_line_is_found(spark, model):
+    long = " ".join(
+        [*ORDINARY * 5, c.TEMPLATES["mit"][2], *ORDINARY * 5, c.TEMPLATES["apache-2.0"][2], *ORDINARY, c.TEMPLATES["mpl-2.0"][0], *ORDINARY]
+    )
+    lgpl = (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+        "any later version."
+    )
+    texts = [
+        (1, "Released under the MIT License or the Apache License, Version 2.0."),
+        (2, "Licensed under the Apache License, Version 2.0 or the MIT license, at your option."),
+        (3, "Licensed under the MIT license. See the LICENSE file for details. Licensed under the Apache License, Version 2.0."),
+        (4, long), (5, lgpl), (6, "Released under the MIT License."),
+        (7, "Released under the BSD 3-Clause License, or released under the GPL v2 or later."),
+    ]
+    found = {}
+    for r in c.scan(docs(spark, texts), model).where("confirmed").collect():
+        found.setdefault(r.doc_id, []).append(r.family)
+    assert {k: sorted(v) for k, v in found.items()} == {
+        1: ["apache-2.0", "mit"], 2: ["apache-2.0", "mit"], 3: ["apache-2.0", "mit"], 4: ["apache-2.0", "mit", "mpl-2.0"],
+        5: ["lgpl"], 6: ["mit"], 7: ["bsd", "gpl"],
+    }
