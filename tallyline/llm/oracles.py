@@ -119,8 +119,41 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """
 
 
+def lexical_search_sql() -> str:
+    """Every item against every document that has one of its terms."""
+    found = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH items AS (
+  SELECT row_number() OVER () AS item, item_id, {found.format(t="text")} AS terms FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), asked AS (
+  SELECT item, term, count(*) AS times FROM (SELECT item, unnest(terms) AS term FROM items) GROUP BY item, term
+), texts AS (
+  SELECT row_number() OVER () AS doc, doc_id, {found.format(t="text")} AS terms FROM documents
+), lengths AS (
+  SELECT doc, doc_id, len(terms) AS n FROM texts WHERE len(terms) > 0
+), totals AS (
+  SELECT count(*) AS docs, sum(n) AS all_terms FROM lengths
+), counts AS (
+  SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM texts)
+  WHERE term IN (SELECT term FROM asked) GROUP BY doc, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counts, totals GROUP BY term, docs
+), valued AS (
+  SELECT doc, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // all_terms))) AS value
+  FROM counts JOIN lengths USING (doc), totals
+), scored AS (
+  SELECT item, doc, doc_id, sum(times * w * value)::BIGINT AS score
+  FROM asked JOIN valued USING (term) JOIN weights USING (term) GROUP BY item, doc, doc_id
+)
+SELECT item_id::BIGINT AS item_id, rank::INTEGER AS rank, doc_id::BIGINT AS doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+) JOIN items USING (item) WHERE rank <= 20
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules(),
     "op7_url_filter": url_filter_sql(),
     "op8_pivot_search": pivot_search_sql(),
+    "op11_lexical_search": lexical_search_sql(),
 }

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyline.llm import (
     cotraining,
     html_wrapper,
+    lexical_search,
     licences,
     mixing,
     oracles,
@@ -86,6 +87,10 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_cotraining_classifier": op2_cotraining_classifier,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op8_pivot_search": op8_pivot_search,
     "op9_html_extraction": op9_html_extraction,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 ORACLES = oracles.ORACLES
