@@ -151,9 +151,51 @@ SELECT item_id::BIGINT AS item_id, rank::INTEGER AS rank, doc_id::BIGINT AS doc_
 """
 
 
+def collocations_sql() -> str:
+    """All phrases of one to three words, and every longer one of each."""
+    return r"""
+WITH pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL)
+), worded AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), phrases AS (
+  SELECT lang, unnest(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]))) AS phrase
+  FROM worded WHERE len(w) > 0
+), counted AS (
+  SELECT lang, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM phrases GROUP BY lang, phrase
+), totals AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE len(w) = 1 GROUP BY lang
+), candidates AS (
+  SELECT * FROM counted WHERE len(w) > 1 AND a >= 10
+), cuts AS (
+  SELECT lang, phrase, a, w, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k+1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, len(w))) AS k FROM candidates)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.w, k, h.a AS l, t.a AS r, (1000000::HUGEINT * c.a * c.a) // (h.a::HUGEINT * t.a) AS score
+  FROM cuts c JOIN counted h ON h.lang = c.lang AND h.phrase = head JOIN counted t ON t.lang = c.lang AND t.phrase = tail
+), worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, part AS phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM candidates WHERE len(w) = 3)
+  GROUP BY lang, part
+), kept AS (
+  SELECT s.* FROM worst s LEFT JOIN longer USING (lang, phrase) WHERE coalesce(100 * longer < 50 * a, true)
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules(),
     "op7_url_filter": url_filter_sql(),
     "op8_pivot_search": pivot_search_sql(),
     "op11_lexical_search": lexical_search_sql(),
+    "op12_collocations": collocations_sql(),
 }

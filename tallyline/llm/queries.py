@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import (
+    collocations,
     cotraining,
     html_wrapper,
     lexical_search,
@@ -91,6 +92,10 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_cotraining_classifier": op2_cotraining_classifier,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_lexical_search": op11_lexical_search,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLES = oracles.ORACLES
