@@ -24,6 +24,7 @@ from tallyline.llm import (
     quality_rules,
     simhash_dedup,
     suffix_dedup,
+    toxicity,
     url_filter,
 )
 from tallyline.llm.common import read
@@ -96,6 +97,10 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(read(spark, folder, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_cotraining_classifier": op2_cotraining_classifier,
@@ -109,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_lexical_search": op11_lexical_search,
     "op12_collocations": op12_collocations,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLES = oracles.ORACLES
