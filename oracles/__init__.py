@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracles import findings as fd
+from oracles import periods  # noqa: F401
 from oracles.parts import PARTS, PERIOD_A, PERIOD_B, REFERENCE, iso, sql, ts
 
 ORACLES: dict[str, str] = {}
@@ -313,6 +314,13 @@ FROM (SELECT DISTINCT {SCOPE} FROM asked) t LEFT JOIN billing b USING (tenant_id
 oracle("findings", """
 SELECT * EXCLUDE (tie, evidence), array_to_string(evidence, ' | ') AS evidence FROM found""")
 oracle("findings_ranked", f"SELECT {SCOPE}, finding_id, severity, category, finding_rank FROM placed")
+oracle("findings_by_period", f"SELECT {SCOPE}, finding_id, title, description, severity, category, finding_rank FROM o_placed")
+oracle("anomalies_by_period", "SELECT * FROM o_r_anomalies")
+oracle("report_summary_by_period", "SELECT * FROM o_summed")
+oracle("recon_summary_by_period", "SELECT * FROM o_reconciled")
+oracle("ledger_subscriptions_by_period", f"""
+SELECT {SCOPE}, subscription_id, generation, customer_id, plan_id, status, mrr_cents, currency,
+  {iso('created_at')} AS created_at, {iso('canceled_at')} AS canceled_at FROM o_subs""")
 oracle("recommendations", "SELECT * FROM advice")
 oracle("report_summary", "SELECT * FROM summed")
 oracle("report_envelope", f"""

@@ -139,7 +139,7 @@ SELECT 'cus_' || user_id AS customer_id, event_type AS metric_name, prev, cur, (
   row_number() OVER (PARTITION BY user_id ORDER BY (prev - cur) / prev * 100 DESC, event_type) AS nth
 FROM usage WHERE prev > 0 AND (prev - cur) / prev * 100 > 30"""
 PARTS["tickets"] = """
-SELECT 'cus_' || (o_orderkey * 2) AS customer_id, substr(o_orderpriority, 1, 1) AS p, o_orderstatus AS s
+SELECT 'cus_' || o_custkey AS customer_id, substr(o_orderpriority, 1, 1) AS p, o_orderstatus AS s
 FROM orders"""
 PARTS["plans"] = """
 SELECT *, lag(plan_id) OVER (PARTITION BY tenant_id, subscription_id ORDER BY "timestamp", event_id, ingest_seq) AS was
@@ -227,9 +227,9 @@ SELECT *, concat_ws(' | ', CASE risk_level
 FROM {p}risks"""
 
 
-churn_parts("", BASE | dict(w_pay=0.1, w_tick=0.1, w_down=0.1))
+churn_parts("", BASE | dict(w_pay=0.1, w_tick=0.02, w_down=0.1))
 churn_parts("r_", REPORT)
-churn_parts("d_", BASE | dict(w_pay=0.1, w_tick=0.1, w_down=0.1), "d_facts")
+churn_parts("d_", BASE | dict(w_pay=0.1, w_tick=0.02, w_down=0.1), "d_facts")
 
 # -- findings (report thresholds) --------------------------------------------------
 PARTS["found"] = """

@@ -16,7 +16,6 @@ from tallyline.functions.columns import (
     SCOPE,
     dollars,
     event_order,
-    instant,
     millis_between,
     percent_text,
     present,
@@ -25,6 +24,7 @@ from tallyline.functions.columns import (
 from tallyline.functions.hashing import anomaly_id, key_hash
 from tallyline.functions.materialise import store
 from tallyline.functions.ordered import ordered_scan
+from tallyline.functions.periods import Period, Periods, detected
 from tallyline.functions.skew import HeavyKeys, heavy_keys, key_counts, salted_join, split_join
 from tallyline.functions.thresholds import Thresholds, attach
 
@@ -32,6 +32,8 @@ EVENT = [*SCOPE, "event_id"]
 SUBSCRIPTION = [*SCOPE, "subscription_id"]
 INVOICE = [*SCOPE, "invoice_id"]
 SPIKE_TYPES = {"refund_spike": fixed.REFUND_TYPES, "dispute_spike": fixed.DISPUTE_TYPES}
+# One date for all tenants, or that of each tenant's period.
+ReferenceDate = str | Period | Periods
 ANOMALY_COLUMNS = [
     *SCOPE,
     "anomaly_id",
@@ -53,7 +55,7 @@ ANOMALY_COLUMNS = [
 def _anomaly(
     df: DataFrame,
     kind: str,
-    reference_date: str,
+    reference_date: ReferenceDate,
     reference: Column,
     severity: Column | str,
     description: Column,
@@ -66,6 +68,7 @@ def _anomaly(
     difference: Column | None = None,
 ) -> DataFrame:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    df = detected(df, reference_date, spread_by=reference)
     text = lambda v: F.lit(None).cast("string") if v is None else v
     number = lambda v: F.lit(None).cast("double") if v is None else v.cast("double")
     return df.select(
@@ -73,7 +76,7 @@ def _anomaly(
         anomaly_id(kind, reference).alias("anomaly_id"),
         F.lit(kind).alias("anomaly_type"),
         lit(severity).alias("severity"),
-        instant(reference_date).alias("detected_at"),
+        "detected_at",
         reference.alias("reference"),
         text(customer).alias("customer_id"),
         text(subscription).alias("subscription_id"),
@@ -86,7 +89,7 @@ def _anomaly(
     )
 
 
-def duplicate_events(events: DataFrame, thresholds: Thresholds | DataFrame, reference_date: str) -> DataFrame:
+def duplicate_events(events: DataFrame, thresholds: Thresholds | DataFrame, reference_date: ReferenceDate) -> DataFrame:
     """First pair of deliveries of one event id closer together than the window.
 
     Only ids seen twice go past the first aggregation. Of the copies with one
@@ -146,7 +149,7 @@ def duplicate_events(events: DataFrame, thresholds: Thresholds | DataFrame, refe
 
 
 def missing_invoices(
-    events: DataFrame, subscriptions: DataFrame, reference_date: str, heavy: DataFrame | None = None
+    events: DataFrame, subscriptions: DataFrame, reference_date: ReferenceDate, heavy: DataFrame | None = None
 ) -> DataFrame:
     """Active paying subscriptions without any invoice event, at any time."""
     invoiced = (
@@ -179,7 +182,7 @@ def invoice_payments(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_type").isin(fixed.PAYMENT_TYPES) & present("invoice_id"))
 
 
-def double_charges(events: DataFrame, reference_date: str) -> DataFrame:
+def double_charges(events: DataFrame, reference_date: ReferenceDate) -> DataFrame:
     """Invoices paid more than once with the first payment's amount.
 
     Payments are first counted per invoice and amount; the group that holds the
@@ -317,8 +320,9 @@ def tenant_spikes(
         F.when(limit == 0, 1.0).otherwise(F.least(F.try_divide(n, limit * 2), F.lit(1.0))),
     )
     has_refunds = (F.col("refund_spike_n") > 0) & (refunded > F.col("refund_spike_threshold_cents"))
-    found = sums.select(
+    found = detected(sums, reference_date).select(
         *SCOPE,
+        "detected_at",
         F.inline(F.array_compact(F.array(F.when(has_refunds, refund), F.when((n > 0) & (n >= limit), dispute)))),
     )
     kind = F.col("kind")
@@ -329,7 +333,7 @@ def tenant_spikes(
         ).alias("anomaly_id"),
         kind.alias("anomaly_type"),
         "severity",
-        instant(reference_date).alias("detected_at"),
+        "detected_at",
         F.lit("total").alias("reference"),
         F.lit(None).cast("string").alias("customer_id"),
         F.lit(None).cast("string").alias("subscription_id"),
@@ -357,7 +361,7 @@ def dispute_spikes(
     return spikes.where(F.col("anomaly_type") == "dispute_spike")
 
 
-def payment_failure_spikes(customers: DataFrame, thresholds: Thresholds | DataFrame, reference_date: str) -> DataFrame:
+def payment_failure_spikes(customers: DataFrame, thresholds: Thresholds | DataFrame, reference_date: ReferenceDate) -> DataFrame:
     """Customers whose failures are at least the given share of attempts (any success counts once)."""
     failures = F.col("payment_failure_count_30d")
     limit = F.col("payment_failure_spike_threshold")
@@ -395,7 +399,7 @@ def payment_failure_spikes(customers: DataFrame, thresholds: Thresholds | DataFr
     )
 
 
-def out_of_sequence(events: DataFrame, reference_date: str, heavy: DataFrame | None = None) -> DataFrame:
+def out_of_sequence(events: DataFrame, reference_date: ReferenceDate, heavy: DataFrame | None = None) -> DataFrame:
     """Cancellations before any creation, and payments after any cancellation, of one subscription.
 
     Both only depend on the subscription's first creation and first
@@ -448,11 +452,11 @@ def out_of_sequence(events: DataFrame, reference_date: str, heavy: DataFrame | N
     )
 
 
-def cancel_before_create(events: DataFrame, reference_date: str, heavy: DataFrame | None = None) -> DataFrame:
+def cancel_before_create(events: DataFrame, reference_date: ReferenceDate, heavy: DataFrame | None = None) -> DataFrame:
     return out_of_sequence(events, reference_date, heavy).where(F.col("severity") == "medium")
 
 
-def payment_after_cancel(events: DataFrame, reference_date: str, heavy: DataFrame | None = None) -> DataFrame:
+def payment_after_cancel(events: DataFrame, reference_date: ReferenceDate, heavy: DataFrame | None = None) -> DataFrame:
     return out_of_sequence(events, reference_date, heavy).where(F.col("severity") == "low")
 
 
@@ -462,7 +466,7 @@ def detect(
     customers: DataFrame,
     totals: DataFrame,
     thresholds: Thresholds | DataFrame,
-    reference_date: str,
+    reference_date: ReferenceDate,
     heavy: HeavyKeys | None = None,
 ) -> DataFrame:
     """All detectors, one table."""

@@ -11,21 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline import fixed
-from tallyline.functions.columns import ORDER_FIELDS, SCOPE, event_order, instant, present
+from tallyline.functions.columns import ORDER_FIELDS, SCOPE, event_order, present
 from tallyline.functions.materialise import store
 from tallyline.functions.ordered import ordered_scan
+from tallyline.functions.periods import Period, Periods, period_of
 from tallyline.functions.skew import HeavyKeys
 
 SUBSCRIPTION = [*SCOPE, "subscription_id"]
 CUSTOMER = [*SCOPE, "customer_id"]
 
 
-def period_events(events: DataFrame, start: str, end: str) -> DataFrame:
-    """Events of the period, both ends included."""
-    return events.where(F.col("timestamp").between(instant(start), instant(end)))
+def period_events(events: DataFrame, start: str | Period | Periods, end: str | None = None) -> DataFrame:
+    """Events of the period, or of their tenants' periods, both ends included."""
+    return period_of(start, end).within(events)
 
 
-def subscription_events(events: DataFrame, start: str, end: str, heavy: HeavyKeys | None = None) -> DataFrame:
+def subscription_events(
+    events: DataFrame, start: str | Period | Periods, end: str | None = None, heavy: HeavyKeys | None = None
+) -> DataFrame:
     """Subscription events of the period with their generation number.
 
     Generation 0 holds updates and cancellations that precede any creation;
@@ -114,7 +117,9 @@ def ledger_subscriptions(states: DataFrame) -> DataFrame:
     )
 
 
-def ledger_customers(events: DataFrame, states: DataFrame, start: str, end: str) -> DataFrame:
+def ledger_customers(
+    events: DataFrame, states: DataFrame, start: str | Period | Periods, end: str | None = None
+) -> DataFrame:
     """One row per customer an event of the period touched, without the MRR roll-up."""
     money = period_events(events, start, end).where(F.col("event_type").isin(fixed.MONEY_TYPES))
     touches = money.select(*CUSTOMER, "timestamp", "event_type", "amount_cents").unionByName(
@@ -171,7 +176,7 @@ def ledger_totals(events: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """The three ledger tables of one event set and period.
+    """The three ledger tables of one event set and period, or of a period per tenant.
 
     The generation states are written to the checkpoint folder once; the tables
     read them from there. With `stored` the tables themselves are written too,
@@ -179,25 +184,36 @@ class Ledger:
     """
 
     def __init__(
-        self, events: DataFrame, start: str, end: str, heavy: HeavyKeys | None = None, stored: bool = False
+        self,
+        events: DataFrame,
+        start: str | Period | Periods,
+        end: str | None = None,
+        heavy: HeavyKeys | None = None,
+        stored: bool = False,
     ):
-        self.events, self.period_start, self.period_end = events, start, end
+        self.events, self.period = events, period_of(start, end)
         self.heavy = heavy or HeavyKeys(events)
         keep = store if stored else (lambda df: df)
-        states = store(generation_states(subscription_events(events, start, end, self.heavy)))
+        states = store(generation_states(subscription_events(events, self.period, heavy=self.heavy)))
         self.subscriptions = keep(ledger_subscriptions(states))
         self.customers = keep(
-            with_customer_mrr(ledger_customers(events, states, start, end), self.subscriptions)
+            with_customer_mrr(ledger_customers(events, states, self.period), self.subscriptions)
         )
         self.totals = keep(ledger_totals(events, self.customers))
 
     @classmethod
     def of_tables(
-        cls, events: DataFrame, subscriptions: DataFrame, customers: DataFrame, totals: DataFrame, start: str, end: str
+        cls,
+        events: DataFrame,
+        subscriptions: DataFrame,
+        customers: DataFrame,
+        totals: DataFrame,
+        start: str | Period | Periods,
+        end: str | None = None,
     ) -> Ledger:
         """A ledger somebody else computed, for example read from ledger documents."""
         book = cls.__new__(cls)
-        book.events, book.period_start, book.period_end = events, start, end
+        book.events, book.period = events, period_of(start, end)
         book.heavy = HeavyKeys(events)
         book.subscriptions, book.customers, book.totals = subscriptions, customers, totals
         return book

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline import fixed
-from tallyline.functions.columns import SCOPE, instant
-from tallyline.functions.skew import split_join
+from tallyline.functions.columns import SCOPE
 from tallyline.functions.hashing import digest_sums, digest_text, sha256_hex
+from tallyline.functions.periods import Period, Periods, period_of
+from tallyline.functions.skew import split_join
 
 TOLERANCE_CENTS = 100
 
@@ -38,31 +39,37 @@ def discrepancies(subscriptions: DataFrame, customers: DataFrame, heavy: DataFra
     )
 
 
-def missing_payments(customers: DataFrame, period_end: str) -> DataFrame:
-    """A synthetic payment event per customer with failures and no successful payment."""
-    return customers.where((F.col("payment_failure_count_30d") > 0) & F.col("last_payment_at").isNull()).select(
+def missing_payments(customers: DataFrame, period_end: str | Period | Periods) -> DataFrame:
+    """A synthetic payment event per customer with failures and no successful payment, at the end of the period."""
+    period = Period(period_end, period_end) if isinstance(period_end, str) else period_end
+    failing = customers.where((F.col("payment_failure_count_30d") > 0) & F.col("last_payment_at").isNull())
+    return period.attach(failing, "period_end", spread_by=F.col("customer_id")).select(
         *SCOPE,
         F.concat(F.lit("missing-payment-"), F.col("customer_id")).alias("event_id"),
         F.lit("payment_succeeded").alias("event_type"),
-        instant(period_end).alias("timestamp"),
+        F.to_timestamp("period_end").alias("timestamp"),
         "customer_id",
         F.lit("Expected payment based on subscription but none found").alias("note"),
         F.col("payment_failure_count_30d").alias("failure_count"),
     )
 
 
-def recon_summary(totals: DataFrame, found: DataFrame, missing: DataFrame, start: str, end: str) -> DataFrame:
+def recon_summary(
+    totals: DataFrame, found: DataFrame, missing: DataFrame, start: str | Period | Periods, end: str | None = None
+) -> DataFrame:
     """Totals per tenant; balanced only without any difference or discrepancy."""
     per_tenant = lambda df, name: df.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias(name))
     count = lambda name: F.coalesce(F.col(name), F.lit(0))
     return (
-        totals.join(per_tenant(found, "discrepancy_count"), SCOPE, "left")
+        period_of(start, end)
+        .attach(totals, "period_start", "period_end")
+        .join(per_tenant(found, "discrepancy_count"), SCOPE, "left")
         .join(per_tenant(missing, "missing_event_count"), SCOPE, "left")
         .select(
             *SCOPE,
-            F.concat_ws("-", F.lit("recon"), *SCOPE, F.lit(start), F.lit(end)).alias("report_id"),
-            F.lit(start).alias("period_start"),
-            F.lit(end).alias("period_end"),
+            _report_id(),
+            "period_start",
+            "period_end",
             F.col("total_mrr_cents").alias("total_expected_mrr_cents"),
             F.col("total_paid_cents").alias("total_observed_mrr_cents"),
             (F.col("total_mrr_cents") - F.col("total_paid_cents")).alias("total_difference_cents"),
@@ -76,7 +83,9 @@ def recon_summary(totals: DataFrame, found: DataFrame, missing: DataFrame, start
     )
 
 
-def report_hashes(totals: DataFrame, found: DataFrame, start: str, end: str) -> DataFrame:
+def report_hashes(
+    totals: DataFrame, found: DataFrame, start: str | Period | Periods, end: str | None = None
+) -> DataFrame:
     """Per tenant a SHA-256 over the period and the order-free digest of its discrepancies.
 
     The same at every size: hashes of the entries add up before the shuffle, so no
@@ -89,22 +98,25 @@ def report_hashes(totals: DataFrame, found: DataFrame, start: str, end: str) ->
     )
     n = F.coalesce("discrepancy_count", F.lit(0))
     return (
-        totals.select(*SCOPE)
+        period_of(start, end)
+        .attach(totals.select(*SCOPE), "period_start", "period_end")
         .join(summed, SCOPE, "left")
         .select(
             *SCOPE,
-            _report_id(start, end),
+            _report_id(),
             n.alias("discrepancy_count"),
-            sha256_hex(F.concat_ws("|", *SCOPE, F.lit(start), F.lit(end), digest_text(n))).alias("report_hash"),
+            sha256_hex(F.concat_ws("|", *SCOPE, "period_start", "period_end", digest_text(n))).alias("report_hash"),
         )
     )
 
 
-def _report_id(start: str, end: str) -> Column:
-    return F.concat_ws("-", F.lit("recon"), *SCOPE, F.lit(start), F.lit(end)).alias("report_id")
+def _report_id() -> Column:
+    return F.concat_ws("-", F.lit("recon"), *SCOPE, "period_start", "period_end").alias("report_id")
 
 
-def document_hashes(totals: DataFrame, found: DataFrame, start: str, end: str) -> DataFrame:
+def document_hashes(
+    totals: DataFrame, found: DataFrame, start: str | Period | Periods, end: str | None = None
+) -> DataFrame:
     """Export: the SHA-256 of each tenant's report as one JSON document with all discrepancies in order.
 
     A document is one value, so a tenant's discrepancies meet in one group.
@@ -125,11 +137,11 @@ def document_hashes(totals: DataFrame, found: DataFrame, start: str, end: str) -
             ).alias("items"),
         )
     )
-    header = [F.lit(start).alias("period_start"), F.lit(end).alias("period_end")]
     no_items = F.array().cast("array<struct<subscription_id:string,difference_cents:bigint,reason:string>>")
-    document = F.to_json(F.struct(*SCOPE, *header, F.coalesce("items", no_items).alias("discrepancies")))
+    document = F.to_json(F.struct(*SCOPE, "period_start", "period_end", F.coalesce("items", no_items).alias("discrepancies")))
     return (
-        totals.select(*SCOPE)
+        period_of(start, end)
+        .attach(totals.select(*SCOPE), "period_start", "period_end")
         .join(listed, SCOPE, "left")
-        .select(*SCOPE, _report_id(start, end), sha256_hex(document).alias("document_hash"))
+        .select(*SCOPE, _report_id(), sha256_hex(document).alias("document_hash"))
     )

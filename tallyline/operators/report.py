@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyline import fixed
 from tallyline.functions.columns import SCOPE, iso_micros
 from tallyline.functions.hashing import digest_sums, digest_text, sha256_hex
+from tallyline.functions.periods import Periods
 from tallyline.functions.ranking import ranked
 
 HIGH_DIFFERENCE_CENTS = 1000
@@ -26,6 +27,17 @@ def report_period(tenants: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def analysis_periods(given: DataFrame, events: DataFrame) -> Periods:
+    """The period of every tenant of `given` (scope, period_start, period_end, reference_date; each may be null).
+
+    Missing ends come from the tenant's events (`report_period`). A missing reference date
+    is the end of the period.
+    """
+    derived = report_period(given, events).select(*SCOPE, *[F.col(c).alias(f"of_events_{c}") for c in ("period_start", "period_end")])
+    ends = [F.coalesce(c, f"of_events_{c}").alias(c) for c in ("period_start", "period_end")]
+    return Periods(given.join(derived, SCOPE).select(*SCOPE, *ends, "reference_date"))
+
+
 def _finding(df: DataFrame, finding_id, title, description, severity, category, evidence, tie) -> DataFrame:
     return df.select(
         *SCOPE,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyline import fixed
 from tallyline.functions.columns import SCOPE
 from tallyline.functions.materialise import store
+from tallyline.functions.periods import Periods, period_of
 from tallyline.functions.skew import HeavyKeys
 from tallyline.functions.thresholds import Thresholds
 from tallyline.operators import anomalies, churn, profiles, reconcile, report
@@ -47,7 +48,7 @@ class Analysis:
     def recon_summary(self) -> DataFrame:
         book = self.ledger
         return reconcile.recon_summary(
-            book.totals, self.discrepancies, self.missing_payments, book.period_start, book.period_end
+            book.totals, self.discrepancies, self.missing_payments, book.period
         )
 
     @cached_property
@@ -65,9 +66,7 @@ class Analysis:
     @cached_property
     def summary(self) -> DataFrame:
         book = self.ledger
-        periods = book.totals.select(
-            *SCOPE, F.lit(book.period_start).alias("period_start"), F.lit(book.period_end).alias("period_end")
-        )
+        periods = book.period.attach(book.totals.select(*SCOPE), "period_start", "period_end")
         return self.keep(
             report.report_summary(
                 periods, book.totals, self.discrepancies, self.anomalies, self.risks, self.requests, self.raw_counts
@@ -95,8 +94,8 @@ def _as_of(inputs: ChurnInputs) -> str | DataFrame:
 
 def analyze(
     events: DataFrame,
-    start: str,
-    end: str,
+    start: str | Periods,
+    end: str | None = None,
     reference_date: str | None = None,
     thresholds: Thresholds | DataFrame | None = None,
     churn_inputs: ChurnInputs | None = None,
@@ -108,13 +107,17 @@ def analyze(
 ) -> Analysis:
     """Run everything over `events`; the ledger and the finding tables are written once and shared.
 
-    A `ledger` given is used instead of one built from the events.
+    `start` may be a table of periods (`report.analysis_periods`): every tenant then has its
+    own period and reference date, and tenants without one get no results. A `ledger` given
+    is used instead of one built from the events.
     """
     keep = store if stored else (lambda df: df)
-    reference_date = reference_date or end
+    period = period_of(start, end)
+    events = period.known(events, "event_id")
+    reference_date = reference_date or (end if isinstance(start, str) else period)
     thresholds = thresholds or profiles.profile(fixed.DEFAULT_REPORT_PROFILE)
     heavy = (heavy or HeavyKeys(events)).look_up(SUBSCRIPTION, CUSTOMER)
-    ledger = ledger or Ledger(events, start, end, heavy, stored=stored)
+    ledger = ledger or Ledger(events, period, heavy=heavy, stored=stored)
     found = keep(reconcile.discrepancies(ledger.subscriptions, ledger.customers, heavy.of(CUSTOMER)))
     anomaly_table = keep(
         anomalies.detect(
@@ -124,7 +127,7 @@ def analyze(
     risks = None
     if churn_inputs is not None:
         features = churn.churn_features(
-            churn_inputs.customers,
+            period.known(churn_inputs.customers, "customer_id"),
             churn_inputs.usage_metrics,
             churn_inputs.support_tickets,
             churn_inputs.plan_downgrades,
@@ -136,7 +139,7 @@ def analyze(
     return Analysis(
         ledger=ledger,
         discrepancies=found,
-        missing_payments=reconcile.missing_payments(ledger.customers, end),
+        missing_payments=reconcile.missing_payments(ledger.customers, period),
         anomalies=anomaly_table,
         risks=risks,
         requests=requests,

@@ -19,6 +19,7 @@ from tallyline import fixed
 from tallyline.functions import columns as c
 from tallyline.functions.hashing import canonical_hash, canonical_json, source_hash
 from tallyline.functions.materialise import ensure_checkpoint_dir, spread, store
+from tallyline.functions.periods import Periods
 from tallyline.functions.skew import HeavyKeys
 from tallyline.functions.thresholds import Thresholds
 from tallyline.operators import (
@@ -44,7 +45,7 @@ START, END = derived.PERIOD_START, derived.PERIOD_END
 REFERENCE = derived.REFERENCE_DATE
 CHURN_REFERENCE = derived.CHURN_REFERENCE_DATE
 # The test events have many failed payments; lower weights spread the scores over all levels.
-CHURN_THRESHOLDS = Thresholds(payment_failure_weight=0.1, support_ticket_weight=0.1, plan_downgrade_weight=0.1)
+CHURN_THRESHOLDS = Thresholds(payment_failure_weight=0.1, support_ticket_weight=0.02, plan_downgrade_weight=0.1)
 TRACE = "trace-main"
 NORMALIZED_AT = "2024-02-20T00:00:00Z"
 METRIC_LIMITS = {
@@ -192,15 +193,28 @@ class Inputs:
     def assessed(self) -> DataFrame:
         return cost.assess_requests(self.cost_requests, self.billing)
 
-    def analysis(self) -> Analysis:
-        inputs = ChurnInputs(
+    @cached_property
+    def churn_inputs(self) -> ChurnInputs:
+        return ChurnInputs(
             self.churn_customers,
             derived.usage_metrics(self.events),
             derived.support_tickets(self.table("orders")),
             derived.plan_downgrades(self.event_table, self.event_keys),
             CHURN_REFERENCE,
         )
-        return analyze(self.event_table, START, END, REFERENCE, churn_inputs=inputs, heavy=self.event_keys)
+
+    def analysis(self) -> Analysis:
+        return analyze(self.event_table, START, END, REFERENCE, churn_inputs=self.churn_inputs, heavy=self.event_keys)
+
+    @cached_property
+    def own_periods(self) -> Periods:
+        """A period per tenant: as far as it is given, else from the tenant's events."""
+        tenants = self.event_table.select(*c.SCOPE).distinct()
+        return report.analysis_periods(derived.given_periods(tenants), self.event_table)
+
+    def analysis_by_period(self, churn: bool = True) -> Analysis:
+        inputs = self.churn_inputs if churn else None
+        return analyze(self.event_table, self.own_periods, churn_inputs=inputs, heavy=self.event_keys)
 
 
 Query = Callable[[Inputs], DataFrame]
@@ -616,6 +630,33 @@ def findings_ranked(i: Inputs) -> DataFrame:
     return i.analysis().ranked_findings.select(*c.SCOPE, "finding_id", "severity", "category", "finding_rank")
 
 
+@query
+def findings_by_period(i: Inputs) -> DataFrame:
+    """Ranked findings where every tenant has its own period and reference date."""
+    return i.analysis_by_period().ranked_findings.drop("evidence", "tie")
+
+
+@query
+def anomalies_by_period(i: Inputs) -> DataFrame:
+    return i.analysis_by_period(churn=False).anomalies
+
+
+@query
+def report_summary_by_period(i: Inputs) -> DataFrame:
+    return i.analysis_by_period().summary
+
+
+@query
+def recon_summary_by_period(i: Inputs) -> DataFrame:
+    return i.analysis_by_period(churn=False).recon_summary.drop("version")
+
+
+@query
+def ledger_subscriptions_by_period(i: Inputs) -> DataFrame:
+    book = ledgers.Ledger(i.event_table, i.own_periods, heavy=i.event_keys)
+    return book.subscriptions.drop("current_period_start", "current_period_end", "cancel_at_period_end")
+
+
 @query
 def recommendations(i: Inputs) -> DataFrame:
     return i.analysis().recommendations

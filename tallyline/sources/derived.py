@@ -139,6 +139,22 @@ def billing_view(events: DataFrame, since: str | None = None, until: str | None
     )
 
 
+def given_periods(tenants: DataFrame) -> DataFrame:
+    """Analysis periods as tenants ask for them; what is null is to come from their events."""
+
+    def of(values: dict[str, str]):
+        pairs = [F.lit(x) for kv in values.items() for x in kv]
+        return F.try_element_at(F.create_map(*pairs), F.col("tenant_id"))
+
+    return tenants.select(
+        "tenant_id",
+        "project_id",
+        of({"tenant-0": "2024-01-05T00:00:00Z"}).alias("period_start"),
+        of({"tenant-0": "2024-01-20T23:59:59.999Z", "tenant-1": "2024-01-25T12:00:00Z"}).alias("period_end"),
+        of({"tenant-1": "2024-02-10T00:00:00Z"}).alias("reference_date"),
+    )
+
+
 def usage_metrics(events: DataFrame) -> DataFrame:
     """Rows per user and event type before and after mid-January, as usage values."""
     split = F.to_timestamp(F.lit("2024-01-16T00:00:00Z"))
@@ -163,13 +179,13 @@ def usage_metrics(events: DataFrame) -> DataFrame:
 
 
 def support_tickets(orders: DataFrame) -> DataFrame:
-    """Every order as a support ticket; most belong to unknown customers."""
+    """Every order as a support ticket of its customer; customers without events stay unknown."""
     first = F.substring("o_orderpriority", 1, 1)
     return orders.select(
         F.concat(F.lit("tick_"), F.col("o_orderkey").cast("string")).alias("ticket_id"),
-        F.concat(F.lit("tenant-"), (F.col("o_orderkey") * 2 % 3).cast("string")).alias("tenant_id"),
+        F.concat(F.lit("tenant-"), (F.col("o_custkey") % 3).cast("string")).alias("tenant_id"),
         F.lit("project-main").alias("project_id"),
-        F.concat(F.lit("cus_"), (F.col("o_orderkey") * 2).cast("string")).alias("customer_id"),
+        F.concat(F.lit("cus_"), F.col("o_custkey").cast("string")).alias("customer_id"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
         F.when(first == "1", "critical").when(first == "2", "high").when(first == "3", "medium").otherwise("low").alias(
             "severity"

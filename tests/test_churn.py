@@ -149,3 +149,16 @@ def test_ranking_and_stats(spark):
     stats = churn.churn_stats(risks).collect()[0]
     assert (stats.total_assessed, stats.high_count, stats.low_count) == (4, 1, 3)
     assert stats.average_score == (60 + 6 + 6) / 4
+
+
+def test_queries_hold_customers_with_many_tickets(spark):
+    """Sums over several tickets, and the multiplier of customers with more than three open ones."""
+    from tallyline.plans.catalog import CHURN_THRESHOLDS, Inputs
+
+    features = Inputs(spark, "/root/testdata/sf0.01").churn_features(CHURN_THRESHOLDS)
+    rows = features.select("support_tickets_count", "open_tickets", "critical_tickets", "high_tickets", "w_support_tickets").collect()
+    assert sum(r.support_tickets_count for r in rows) > 1000
+    urgent = [r for r in rows if not r.critical_tickets and not r.high_tickets and r.open_tickets > 3]
+    assert urgent
+    for r in urgent:
+        assert r.w_support_tickets == pytest.approx(0.02 * 1.3 * r.support_tickets_count**0.5)
