@@ -51,7 +51,7 @@ DEVIATIONS = 2.5
 COUNTS_FROM, MOST_COUNTED = 0.2, 50_000
 BEGINNINGS = range(3, 7)
 LONGEST = max(BEGINNINGS)
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 # What digits and signs stand for.
 LEET = {
@@ -173,7 +173,9 @@ _LEVELLED = re.compile(r"(.)\1+")
 
 def skeleton(word: str) -> str:
     """The same for all readings of a token (but for stars)."""
-    level = "".join(c for c in word.lower().translate(_SKELETON) if c.isalpha())
+    level = word.lower().translate(_SKELETON)
+    if not level.isalpha():
+        level = "".join(filter(str.isalpha, level))
     return _LEVELLED.sub(r"\1", level)
 
 
@@ -195,19 +197,21 @@ def readings(token: str, model: np.ndarray, wanted: frozenset[str] | None = None
     With `wanted` (beginnings of skeletons) only those readings are sought that can matter.
     """
     inner = token.strip(AROUND)
-    words = parts_of(inner)
     # signs at the end may be letters too
-    whole = token.lstrip(BEFORE).rstrip(BEHIND)
-    signs = whole != inner
-    if not words or not (signs or noisy(inner) or (wanted is not None and _TWICE.search(inner.lower()))):
+    whole = inner if inner == token else token.lstrip(BEFORE).rstrip(BEHIND)
+    words = [inner.lower()] if inner.isalpha() else parts_of(inner)
+    if not words or not (whole != inner or noisy(inner) or (wanted is not None and _TWICE.search(words[0]))):
         return words
     for written in {inner, whole}:
-        bare = skeleton(written)
-        if wanted is None or ANY in inner or any(bare[:k] in wanted for k in range(1, LONGEST + 1)):
+        if wanted is None or ANY in inner or begins(skeleton(written), wanted):
             words += [w for w in decoded(written, model).split() if w not in words]
     return words
 
 
+def begins(bare: str, wanted: frozenset[str]) -> bool:
+    return any(bare[:k] in wanted for k in range(1, LONGEST + 1))
+
+
 def restored(text: str | None, model: np.ndarray) -> str:
     """A text with its noisy tokens decoded; the others stay, without the signs around them."""
     text = SPACED.sub(lambda m: decoded(m[0], model), text or "")
@@ -223,42 +227,53 @@ def beginnings(word: str) -> list[str]:
     return [word, *[word[:k] + "-" for k in BEGINNINGS if len(word) >= k]]
 
 
-class Words(dict):
-    """For every written token the words that count and their limits. Remembered, as tokens repeat."""
+class Words:
+    """For written tokens the words that count and their limits. Remembered, as tokens repeat."""
 
     def __init__(self, limits: dict[str, float], model: np.ndarray):
-        super().__init__()
         self.limits, self.model = limits, model
-        shortest = min(BEGINNINGS)
+        self.shortest = min(BEGINNINGS)
         names = {x.rstrip("-") for x in limits}
-        self.starts = frozenset(x[:shortest] for x in names)
+        self.starts = frozenset(x[: self.shortest] for x in names)
         self.wanted = frozenset(skeleton(x)[:LONGEST] for x in names) - {""}
+        self.harmless: set[str] = set()
+        self.known: dict[str, tuple] = {}
 
     def limit(self, word: str) -> float:
-        if word[: min(BEGINNINGS)] not in self.starts:
+        if word[: self.shortest] not in self.starts:
             return 0.0
         return max(self.limits.get(x, 0.0) for x in beginnings(word))
 
-    def __missing__(self, token: str) -> tuple:
-        if len(self) >= REMEMBERED:
-            self.clear()
+    def looked_up(self, token: str) -> tuple:
         word = token.strip(".,;:").lower()
         plain = word.isalpha() and not _TWICE.search(word)
-        words = [word] if plain else readings(token, self.model, self.wanted)
-        found = tuple((w, p) for w in words if (p := self.limit(w)))
-        if len(token) < 64:
-            self[token] = found
-        return found
+        words = (word,) if plain else readings(token, self.model, self.wanted)
+        return tuple((w, p) for w in words if w[: self.shortest] in self.starts and (p := self.limit(w)))
+
+    def of_tokens(self, tokens: set[str]) -> dict[str, float]:
+        """The words that count among what the tokens stand for."""
+        counted: dict[str, float] = {}
+        for token in tokens.difference(self.harmless):
+            found = self.known.get(token)
+            if found is None:
+                found = self.looked_up(token)
+                if len(token) < 64:
+                    if found:
+                        self.known[token] = found
+                    else:
+                        self.harmless.add(token)
+            counted.update(found)
+        if len(self.harmless) + len(self.known) > REMEMBERED:
+            self.harmless.clear()
+            self.known.clear()
+        return counted
 
     def of(self, text: str | None) -> list[float]:
         """Numbers about a text: its two strongest words, how many count, its length."""
         tokens = (text or "").split()
-        counted: dict[str, float] = {}
-        for token in set(tokens):
-            if found := self[token]:
-                counted.update(found)
+        counted = self.of_tokens(set(tokens))
         for span in SPACED.finditer(text or ""):
-            counted.update(x for w in decoded(span[0], self.model).split() for x in self[w])
+            counted.update(self.of_tokens(set(decoded(span[0], self.model).split())))
         strongest = sorted(counted.values(), reverse=True)[:2] + [0.0, 0.0]
         odds = [float(np.log(max(p, 0.05) / (1 - min(p, 0.995)))) for p in strongest[:2]]
         return [*odds, float(np.log1p(len(counted))), float(np.log1p(len(tokens)))]
