@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,11 +265,11 @@ def sink_events_json(i: Inputs) -> DataFrame:
     return back.select("tenant_id", "event_id", "event_type", "timestamp", "customer_id", "amount_cents", "ingest_seq")
 
 
-def _read_back(i: Inputs, layout: str, files_table: DataFrame) -> DataFrame:
-    """Events and errors of raw files, written one row to a line (or one to a file) and read with the raw reader."""
+def _read_back(i: Inputs, layout: str, texts: DataFrame) -> DataFrame:
+    """Events and errors of raw files, written as text and read with the raw reader."""
     ensure_checkpoint_dir(i.spark)
     path = f"{i.spark.sparkContext.getCheckpointDir()}/raw-{uuid.uuid4().hex}"
-    writer = files_table.write.option("maxRecordsPerFile", 1) if layout == "array" else files_table.write
+    writer = texts.write.partitionBy("file") if "file" in texts.columns else texts.write
     writer.text(path)
     checked = store(ingest.check(files.read_raw(i.spark, path, "tenant-all", "project-all", layout)).drop("payload", "metadata"))
     fields = ["event_id", "event_type", "customer_id", "currency"]
@@ -286,11 +286,15 @@ def src_raw_lines(i: Inputs) -> DataFrame:
 
 @query
 def src_raw_array(i: Inputs) -> DataFrame:
-    """Arrays of some hundred events each, beside a cut-off file and one that is an object."""
-    raw = i.raw.select("raw", F.pmod(F.xxhash64("raw"), F.lit(1 + i.raw.count() // 500)).alias("file"))
-    arrays = raw.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("raw"), ","), F.lit("]")).alias("text"))
-    odd = i.spark.createDataFrame([('[{"event_id":"cut',), ('{"event_id":"alone"}',)], "text string")
-    return _read_back(i, "array", arrays.select("text").unionByName(odd))
+    """Large arrays of up to 50 000 events, beside a cut-off file and one that is an object."""
+    n = 1 + i.raw.count() // 50_000
+    raw = i.raw.select("raw", "ingest_seq", F.pmod(F.xxhash64("raw"), F.lit(n)).alias("file"))
+    before = F.lag("raw").over(Window.partitionBy("file").orderBy("ingest_seq", "raw"))
+    items = raw.select("file", "ingest_seq", F.concat(F.when(before.isNull(), "[").otherwise(","), "raw").alias("text"))
+    odd = [(n, '[{"event_id":"cut'), (n + 1, '{"event_id":"alone"}'), *[(k, "]") for k in range(n)]]
+    odd = i.spark.createDataFrame([(k, (1 << 62), t) for k, t in odd], "file long, ingest_seq long, text string")
+    lines = items.unionByName(odd).repartition("file").sortWithinPartitions("file", "ingest_seq")
+    return _read_back(i, "array", lines.select("file", "text"))
 
 
 # -- ingest ----------------------------------------------------------------------

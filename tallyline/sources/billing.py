@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import ORDER_FIELDS, SCOPE
+from tallyline.sources import json_array
 
 SUBSCRIPTION_SCHEMA = (
     "subscription_id string, customer_id string, plan_id string, status string, "
@@ -47,16 +48,11 @@ def with_scope(raw: DataFrame, tenant_id: str, project_id: str) -> DataFrame:
 FILE_PLACES = 40
 
 
-def _file_numbers(spark: SparkSession, table: DataFrame) -> DataFrame:
-    """The files of a table in the order of their names: as many rows as the driver has listed files."""
+def _file_numbers(spark: SparkSession, table: DataFrame) -> tuple[DataFrame, int]:
+    """The files of a table in the order of their names, and how many they are: the driver has listed them."""
     paths = sorted(table.inputFiles())
     named = spark.createDataFrame(list(enumerate(paths)), "file_number long, file_path string")
-    return named.withColumn("file_path", _path(F.col("file_path")))
-
-
-def _path(uri: Column) -> Column:
-    """Spark writes a file's address with one slash or three; here it is one."""
-    return F.regexp_replace(uri, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+    return named.withColumn("file_path", json_array.one_slash(F.col("file_path"))), len(paths)
 
 
 def read_raw(spark: SparkSession, path: str, tenant_id: str, project_id: str, layout: str = "lines") -> DataFrame:
@@ -64,41 +60,31 @@ def read_raw(spark: SparkSession, path: str, tenant_id: str, project_id: str, la
 
     `ingest_seq` follows the input: files by name, rows by their place in the file.
     A file that holds no array, or no JSON, becomes one row with a `file_error`,
-    which ingest rejects. An array is one document and one task; large exports
-    should use lines or many files.
+    which ingest rejects. Both layouts are split into blocks of any file (see `json_array`).
     """
+    none = F.lit(None).cast("string").alias("file_error")
     if layout == "lines":
         text = spark.read.text(path)
+        files, n_files = _file_numbers(spark, text)
         # a row takes a byte at least, so block start and row number together rise within a file
         row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
         rows = text.select(
             F.col("value").alias("raw"),
-            F.col("_metadata.file_path").alias("file_path"),
+            json_array.one_slash(F.col("_metadata.file_path")).alias("file_path"),
             (F.col("_metadata.file_block_start") + row).alias("place"),
-            F.lit(None).cast("string").alias("file_error"),
+            none,
         )
     elif layout == "array":
-        text = spark.read.text(path, wholetext=True)
-        whole = text.select(F.try_parse_json("value").alias("payload"), F.col("_metadata.file_path").alias("file_path"))
-        is_array = F.coalesce(F.schema_of_variant("payload").startswith("ARRAY"), F.lit(False))
-        elements = whole.where(is_array).lateralJoin(spark.tvf.variant_explode(F.col("payload").outer()))
-        rejected = whole.where(~is_array).select(
-            F.concat(F.lit("file "), "file_path").alias("raw"),
-            "file_path",
-            F.lit(0).cast("long").alias("place"),
-            F.when(F.col("payload").isNull(), "Input file must be valid JSON")
-            .otherwise("Input file must be an array")
-            .alias("file_error"),
+        files, n_files = _file_numbers(spark, spark.read.text(path))
+        found, rejected = json_array.elements(spark, path, files, n_files)
+        rows = found.select("raw", "file_path", "place", none).unionByName(
+            rejected.select(
+                F.concat(F.lit("file "), "file_path").alias("raw"), "file_path", F.lit(0).cast("long").alias("place"), "file_error"
+            )
         )
-        rows = elements.select(
-            F.to_json("value").alias("raw"),
-            "file_path",
-            F.col("pos").cast("long").alias("place"),
-            F.lit(None).cast("string").alias("file_error"),
-        ).unionByName(rejected)
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    numbered = rows.withColumn("file_path", _path(F.col("file_path"))).join(_file_numbers(spark, text), "file_path")
+    numbered = json_array.by_file(rows, files, n_files, "place")
     sequence = F.shiftleft("file_number", FILE_PLACES) + F.col("place")
     return with_scope(numbered.select("raw", sequence.alias("ingest_seq"), "file_error"), tenant_id, project_id)
 
