@@ -2,9 +2,10 @@
 
 A window over one key runs in one task. That is fine for ordinary keys and
 fatal for a key that holds a large share of the table. `ordered_scan` keeps
-ordinary keys on the plain window and cuts the heavy ones into time slices:
-each slice is worked on by itself, and a one-row-per-slice summary carries the
-running values from slice to slice. No row is dropped or capped.
+ordinary keys on the plain window and cuts the heavy ones into slices of their
+full order, at the quantiles that a range partitioning finds: each slice is
+worked on by itself, and a one-row-per-slice summary carries the running values
+from slice to slice. No row is dropped or capped.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_SECONDS = 60
+from tallyline.functions.materialise import store
+
+# Rows of heavy keys in a slice, about.
+SLICE_ROWS = 1_000_000
 
 
 def _scan_columns(partition: list[str], order: list[str], counts: dict[str, Column], previous: dict[str, str]):
@@ -35,8 +39,8 @@ def ordered_scan(
 
     `counts` maps a new column to a flag: how many flagged rows the key has up
     to and including this one. `previous` maps a new column to a column whose
-    value in the key's previous row it takes. `order[0]` is the TIMESTAMP the
-    slices of `heavy` keys are cut from.
+    value in the key's previous row it takes. Rows of `heavy` keys are cut
+    into slices by their rank in `order`, whatever its columns are.
     """
     counts = counts or {}
     previous = previous or {}
@@ -44,12 +48,13 @@ def ordered_scan(
         columns, _ = _scan_columns(keys, order, counts, previous)
         return df.withColumns(columns)
 
-    number = F.floor(F.unix_seconds(F.col(order[0])) / F.lit(SLICE_SECONDS)).cast("bigint")
-    rows = (
-        df.join(F.broadcast(heavy.withColumn("is_heavy", F.lit(True))), keys, "left")
-        .withColumn("slice", F.when(F.col("is_heavy"), number).otherwise(F.lit(-1).cast("bigint")))
-        .drop("is_heavy")
-    )
+    few = F.broadcast(heavy)
+    whole, _ = _scan_columns(keys, order, counts, previous)
+    ordinary = df.join(few, keys, "left_anti").withColumns(whole)
+    rows = df.join(few, keys, "left_semi")
+    n_slices = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SLICE_ROWS))
+    # written once: another sample would cut elsewhere
+    rows = store(rows.repartitionByRange(n_slices, *keys, *order).withColumn("slice", F.spark_partition_id()))
     columns, position = _scan_columns([*keys, "slice"], order, counts, previous)
     scanned = rows.withColumns(columns | {"first_in_slice": position == 1})
 
@@ -57,8 +62,7 @@ def ordered_scan(
     by_slice = Window.partitionBy(*keys).orderBy("slice")
     earlier = by_slice.rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        rows.where(F.col("slice") >= 0)
-        .groupBy(*keys, "slice")
+        rows.groupBy(*keys, "slice")
         .agg(
             F.count(F.lit(1)).alias("slice_rows"),
             *[F.sum(flag.cast("bigint")).alias(f"{out}_total") for out, flag in counts.items()],
@@ -73,4 +77,5 @@ def ordered_scan(
     )
     whole = {out: F.col(out) + F.coalesce(F.col(f"{out}_before"), F.lit(0)) for out in counts}
     whole |= {out: F.when(F.col("first_in_slice"), F.col(f"{out}_before")).otherwise(F.col(out)) for out in previous}
-    return scanned.join(carried, [*keys, "slice"], "left").withColumns(whole).select(*df.columns, *whole)
+    cut = scanned.join(carried, [*keys, "slice"], "left").withColumns(whole).select(*df.columns, *whole)
+    return ordinary.select(*df.columns, *whole).unionByName(cut)

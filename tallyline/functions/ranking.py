@@ -13,9 +13,12 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column | str], out: str
 
     A window over the group would sort a whole tenant in one task. Here the
     table is range-sorted over all tasks and stored; a row's number is its place
-    in its chunk plus the rows its group has in earlier chunks.
+    in its chunk plus the rows its group has in earlier chunks. Without groups all
+    rows are one.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    if not groups:
+        return ranked(df.withColumn("all_rows", F.lit(0)), ["all_rows"], order, out).drop("all_rows")
     # a checkpoint keeps the sorted chunks and their order, which the row ids below rely on
     stored = df.orderBy(*groups, *order).checkpoint(eager=True)
     chunked = stored.withColumn("place", F.monotonically_increasing_id()).withColumn("chunk", F.shiftright("place", 33))

@@ -22,10 +22,9 @@ from tallyline.functions.columns import (
     round_half_up,
 )
 from tallyline.functions.hashing import anomaly_id, key_hash
-from tallyline.functions.materialise import store
 from tallyline.functions.ordered import ordered_scan
 from tallyline.functions.periods import Period, Periods, detected
-from tallyline.functions.skew import HeavyKeys, heavy_keys, key_counts, salted_join, split_join
+from tallyline.functions.skew import HeavyKeys, salted_join, split_join
 from tallyline.functions.thresholds import Thresholds, attach
 
 EVENT = [*SCOPE, "event_id"]
@@ -89,7 +88,9 @@ def _anomaly(
     )
 
 
-def duplicate_events(events: DataFrame, thresholds: Thresholds | DataFrame, reference_date: ReferenceDate) -> DataFrame:
+def duplicate_events(
+    events: DataFrame, thresholds: Thresholds | DataFrame, reference_date: ReferenceDate, heavy: HeavyKeys | None = None
+) -> DataFrame:
     """First pair of deliveries of one event id closer together than the window.
 
     Only ids seen twice go past the first aggregation. Of the copies with one
@@ -97,12 +98,11 @@ def duplicate_events(events: DataFrame, thresholds: Thresholds | DataFrame, refe
     gap 0, so no later copy can matter. That cut runs before the shuffle.
     """
     narrow = events.select(*EVENT, "timestamp", "ingest_seq", "event_type", "customer_id")
-    repeated = store(key_counts(narrow, EVENT).where(F.col("n") >= 2))
-    heavy = heavy_keys(repeated, EVENT)
-    heavy = None if heavy.isEmpty() else heavy
+    repeated = narrow.groupBy(*EVENT).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+    heavy_ids = (heavy or HeavyKeys(events)).of(EVENT)
     same_instant = Window.partitionBy(*EVENT, "timestamp").orderBy("ingest_seq")
     copies = (
-        split_join(narrow, repeated.select(*EVENT), EVENT, "left_semi", heavy)
+        split_join(narrow, repeated.select(*EVENT), EVENT, "left_semi", heavy_ids)
         .withColumn("copy", F.row_number().over(same_instant))
         .where(F.col("copy") <= 2)
     )
@@ -112,7 +112,7 @@ def duplicate_events(events: DataFrame, thresholds: Thresholds | DataFrame, refe
         ["timestamp", "ingest_seq"],
         counts={"position": F.lit(True)},
         previous={"previous_at": "timestamp"},
-        heavy=heavy,
+        heavy=heavy_ids,
     )
     gap = millis_between(F.col("timestamp"), F.col("previous_at"))
     close = attach(
@@ -470,9 +470,10 @@ def detect(
     heavy: HeavyKeys | None = None,
 ) -> DataFrame:
     """All detectors, one table."""
-    heavy_subscriptions = (heavy or HeavyKeys(events)).of(SUBSCRIPTION)
+    heavy = (heavy or HeavyKeys(events)).look_up(SUBSCRIPTION, EVENT)
+    heavy_subscriptions = heavy.of(SUBSCRIPTION)
     found = [
-        duplicate_events(events, thresholds, reference_date),
+        duplicate_events(events, thresholds, reference_date, heavy),
         missing_invoices(events, subscriptions, reference_date, heavy_subscriptions),
         double_charges(events, reference_date),
         tenant_spikes(events, totals, thresholds, reference_date),

@@ -149,11 +149,12 @@ def check(raw: DataFrame) -> DataFrame:
         *[f"s_{n}" for n in texts],
         F.when(whole, F.try_variant_get(F.col("v_amount_cents"), "$", "bigint")).alias("amount_cents"),
         F.when(no_metadata, F.parse_json(F.lit("{}"))).otherwise(F.col("v_metadata")).alias("metadata"),
-        messages.alias("messages"),
         F.when(F.col("suspect") & is_json, sha256_hex(as_given)).alias("given_hash"),
+        messages.alias("broken"),
     )
-    # a generator of one row: filters on `messages` stay above it, so the rules run once per row
-    return checked.select(F.inline(F.array(F.struct(*checked.columns))))
+    # a generator of one row: filters on `messages` stay above it, so the rules run once per row;
+    # the other columns don't pass through it, and those that nobody reads are not computed
+    return checked.select("*", F.inline(F.array(F.struct(F.col("broken").alias("messages"))))).drop("broken")
 
 
 def _normalised(checked: DataFrame, normalized_at: str) -> DataFrame:

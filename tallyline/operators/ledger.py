@@ -175,6 +175,12 @@ def ledger_totals(events: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
+def paid_totals(events: DataFrame, start: str | Period | Periods, end: str | None = None) -> DataFrame:
+    """What every tenant was paid in the period, as `ledger_totals` has it, from one sum over the events."""
+    paid = period_events(events, start, end).where(F.col("event_type") == "invoice_paid")
+    return paid.groupBy(*SCOPE).agg(F.coalesce(F.sum("amount_cents"), F.lit(0)).alias("total_paid_cents"))
+
+
 class Ledger:
     """The three ledger tables of one event set and period, or of a period per tenant.
 

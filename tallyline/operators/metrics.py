@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline import fixed
+from tallyline.functions.percentiles import nearest_rank
 from tallyline.functions.rules import Rule, at_least, not_null, violations
 
 METRIC_KEYS = ["runner_id", "job_type", "window_start", "window_end"]
@@ -31,16 +32,17 @@ RISK_FLAGS = [
 def rollup(runs: DataFrame, limits: dict[str, int], window: str = "1 day") -> DataFrame:
     """One metric row per runner, job type and window.
 
-    Percentiles are nearest-rank on whole milliseconds. Their state per group is
-    one counter per distinct latency, which the job time limit bounds.
+    Percentiles are nearest-rank on whole milliseconds, selected over counts.
     """
-    pct = lambda p: F.expr(f"percentile_disc({p}) within group (order by latency_ms)")
+    runs = runs.withColumn("w", F.window("started_at", window))
+    group = ["runner_id", "job_type", "w"]
+    latencies = nearest_rank(runs, group, "latency_ms", {"latency_ms_p50": 50, "latency_ms_p95": 95})
     flags = [
         F.when((F.col("job_type") == job) & (F.col(column) > limits[flag]), F.lit(flag))
         for job, flag, column in RISK_FLAGS
     ]
     return (
-        runs.groupBy("runner_id", "job_type", F.window("started_at", window).alias("w"))
+        runs.groupBy(*group)
         .agg(
             F.count_if("succeeded").alias("success_count"),
             F.count_if(~F.col("succeeded")).alias("failure_count"),
@@ -48,9 +50,8 @@ def rollup(runs: DataFrame, limits: dict[str, int], window: str = "1 day") -> Da
             F.count_if("is_replay").alias("idempotent_replay_count"),
             F.sum("input_records").alias("input_records"),
             F.sum("output_records").alias("output_records"),
-            pct(0.5).cast("bigint").alias("latency_ms_p50"),
-            pct(0.95).cast("bigint").alias("latency_ms_p95"),
         )
+        .join(latencies, group, "left")
         .select(
             "runner_id",
             "job_type",

@@ -116,7 +116,7 @@ def analyze(
     events = period.known(events, "event_id")
     reference_date = reference_date or (end if isinstance(start, str) else period)
     thresholds = thresholds or profiles.profile(fixed.DEFAULT_REPORT_PROFILE)
-    heavy = (heavy or HeavyKeys(events)).look_up(SUBSCRIPTION, CUSTOMER)
+    heavy = (heavy or HeavyKeys(events)).look_up(SUBSCRIPTION, CUSTOMER, anomalies.EVENT)
     ledger = ledger or Ledger(events, period, heavy=heavy, stored=stored)
     found = keep(reconcile.discrepancies(ledger.subscriptions, ledger.customers, heavy.of(CUSTOMER)))
     anomaly_table = keep(

@@ -160,7 +160,7 @@ class Inputs:
 
     @cached_property
     def anomalies(self) -> DataFrame:
-        events, heavy = self.event_table, self.event_keys.look_up(ledgers.SUBSCRIPTION, ledgers.CUSTOMER)
+        events, heavy = self.event_table, self.event_keys.look_up(ledgers.SUBSCRIPTION, ledgers.CUSTOMER, anomalies.EVENT)
         book = ledgers.Ledger(events, START, END, heavy, stored=True)
         return anomalies.detect(
             events, book.subscriptions, book.customers, book.totals, Thresholds(), REFERENCE, heavy
@@ -417,7 +417,7 @@ def recon_report_hash(i: Inputs) -> DataFrame:
 # -- anomalies ---------------------------------------------------------------------
 @query
 def anomaly_duplicate_event(i: Inputs) -> DataFrame:
-    return anomalies.duplicate_events(i.billing, Thresholds(), REFERENCE)
+    return anomalies.duplicate_events(i.billing, Thresholds(), REFERENCE, i.heavy)
 
 
 @query
@@ -433,12 +433,12 @@ def anomaly_double_charge(i: Inputs) -> DataFrame:
 
 @query
 def anomaly_refund_spike(i: Inputs) -> DataFrame:
-    return anomalies.refund_spikes(i.billing, i.period_ledger.totals, Thresholds(), REFERENCE)
+    return anomalies.refund_spikes(i.billing, ledgers.paid_totals(i.period_billing, START, END), Thresholds(), REFERENCE)
 
 
 @query
 def anomaly_dispute_spike(i: Inputs) -> DataFrame:
-    return anomalies.dispute_spikes(i.billing, i.period_ledger.totals, Thresholds(), REFERENCE)
+    return anomalies.dispute_spikes(i.billing, ledgers.paid_totals(i.period_billing, START, END), Thresholds(), REFERENCE)
 
 
 @query
@@ -476,7 +476,7 @@ def anomalies_by_profile(i: Inputs) -> DataFrame:
     book = i.period_ledger
     tenants = book.totals.select(*c.SCOPE, F.try_element_at(names, F.col("tenant_id")).alias("profile_id"))
     own = profiles.profile_thresholds(tenants)
-    found = anomalies.duplicate_events(i.billing, own, REFERENCE)
+    found = anomalies.duplicate_events(i.billing, own, REFERENCE, i.heavy)
     found = found.unionByName(anomalies.refund_spikes(i.billing, book.totals, own, REFERENCE))
     return found.unionByName(anomalies.payment_failure_spikes(book.customers, own, REFERENCE))
 

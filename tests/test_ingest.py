@@ -236,6 +236,22 @@ def test_incremental_ingest_takes_only_new_files(spark, tmp_path):
     assert run_once() == (["evt_1", "evt_2"], 1)
 
 
+def test_stream_keeps_the_order_of_arrival(spark, tmp_path):
+    """Events of equal time and id: by batch, files by name, rows by place, as in the batch reader."""
+    exports, out, mark = tmp_path / "in", tmp_path / "out", tmp_path / "mark"
+    exports.mkdir()
+    expected = []
+    for batch, names in enumerate((["b", "a"], ["0"])):
+        for name in names:
+            lines = [json.dumps(GOOD | {"plan_id": f"{batch}-{name}-{n:03d}"}) for n in range(300)]
+            (exports / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+        expected += [f"{batch}-{name}-{n:03d}" for name in sorted(names) for n in range(300)]
+        ingest_new_files(spark, str(exports), str(out), str(mark), "t-1", "p_1", NOW).awaitTermination()
+    rows = spark.read.parquet(f"{out}/events").select("ingest_seq", "plan_id").collect()
+    assert [r.plan_id for r in sorted(rows, key=lambda r: r.ingest_seq)] == expected
+    assert len({r.ingest_seq for r in rows}) == len(expected)
+
+
 def test_normalised_and_derived_hash_agree(spark, book):
     book.add("invoice_paid", 0, "s1", amount_cents=5)
     row = book.df(spark).select(source_hash().alias("h"), "timestamp_text").collect()[0]

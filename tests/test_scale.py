@@ -7,7 +7,7 @@ from conftest import DATA, END, REF, START, Book
 
 from pyspark.sql import functions as F
 
-from tallyline.functions import skew
+from tallyline.functions import ordered, skew
 from tallyline.functions.ordered import ordered_scan
 from tallyline.functions.ranking import ranked
 from tallyline.functions.thresholds import Thresholds
@@ -64,6 +64,34 @@ def test_heavy_keys_are_found(spark, monkeypatch):
     assert [r.k for r in skew.HeavyKeys(df).of(["k"]).collect()] == ["hot"]
 
 
+def test_sketches_find_every_heavy_key(spark, monkeypatch):
+    """More keys than a sketch tells apart: none above the share escapes, few others are taken."""
+    monkeypatch.setattr(skew, "HEAVY_FLOOR", 10)
+    monkeypatch.setattr(skew, "HEAVY_SHARE", 0.01)
+    monkeypatch.setattr(skew, "TRACKED", 1024)
+    monkeypatch.setattr(skew, "MOST_HEAVY", 100)
+    n = F.col("id")
+    hot = F.when(n % 2 == 0, F.concat(F.lit("hot"), n % 40)).otherwise(F.concat(F.lit("k"), n % 30011))
+    df = spark.range(0, 200_000, 1, 13).select(F.lit("t").alias("tenant_id"), hot.alias("k"), (n % 3).alias("m"))
+    heavy = skew.HeavyKeys(df).look_up(["tenant_id", "k"], ["tenant_id", "m"])
+    assert {tuple(r) for r in heavy.of(["tenant_id", "k"]).collect()} == {("t", f"hot{i}") for i in range(0, 40, 2)}
+    assert {tuple(r) for r in heavy.of(["tenant_id", "m"]).collect()} == {("t", 0), ("t", 1), ("t", 2)}
+    parts = [skew.key_sketches(df.where(F.col("m") == k), ["tenant_id", "k"]) for k in range(3)]
+    kept = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    merged = skew.HeavyKeys(df, kept).of(["tenant_id", "k"])
+    assert same(merged, heavy.of(["tenant_id", "k"]))
+    text = plan(kept)
+    assert "hashpartitioning(tenant_id" not in text and "hashpartitioning(k" not in text
+
+
+def test_null_and_odd_keys_are_never_heavy(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HEAVY_FLOOR", 1)
+    rows = [("t", None)] * 9 + [(None, "x")] * 9 + [("t", "a\x1fb")] * 9 + [("t", "")] * 9
+    df = spark.createDataFrame(rows, "tenant_id string, k string")
+    assert [tuple(r) for r in skew.HeavyKeys(df).of(["tenant_id", "k"]).collect()] == [("t", "")]
+    assert skew.HeavyKeys(df.limit(0)).of(["tenant_id", "k"]) is None
+
+
 def test_ordered_scan_slices(spark):
     rows = [("k", n * 20, n, n % 3 == 0) for n in range(60)]
     df = spark.createDataFrame(rows, "k string, sec long, id long, flag boolean").withColumn("t", F.timestamp_seconds("sec"))
@@ -71,6 +99,22 @@ def test_ordered_scan_slices(spark):
     assert same(ordered_scan(*args), ordered_scan(*args, heavy=df.select("k").distinct()))
 
 
+def test_one_second_spreads_over_slices(spark, monkeypatch):
+    """All rows of a key at one time: slices follow the whole order."""
+    monkeypatch.setattr("tallyline.functions.ordered.SLICE_ROWS", 50)
+    rows = [("k" if n % 3 else "other", 7, n * 7919 % 2003, n % 4 == 0) for n in range(2000)]
+    df = spark.createDataFrame(rows, "k string, sec long, id long, flag boolean").withColumn("t", F.timestamp_seconds("sec"))
+    df = df.unionByName(df.limit(3).withColumn("k", F.lit(None).cast("string")).withColumn("id", F.col("id") + 5000))
+    args = (df, ["k"], ["t", "id"], {"seen": F.col("flag")}, {"before": "id"})
+    kept = []
+    plain_store = ordered.store
+    monkeypatch.setattr(ordered, "store", lambda rows: kept.append(plain_store(rows)) or kept[-1])
+    heavy = spark.createDataFrame([("k",)], "k string")
+    assert same(ordered_scan(*args), ordered_scan(*args, heavy=heavy))
+    sizes = [r["count"] for r in kept[0].groupBy("slice").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 400 and sum(sizes) == df.where("k = 'k'").count()
+
+
 def test_one_customer_with_a_third_of_all_rows(spark, monkeypatch):
     """A hot subscription, event id and invoice at once, heavy path against plain path."""
     book = Book()
@@ -116,6 +160,13 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stats_carry_no_payloads(spark):
+    """Counting events computes neither hashes nor metadata; the rules run once per row."""
+    text = plan(all_queries()["ingest_stats"](spark, DATA))
+    assert "sha2" not in text and "AS metadata" not in text and "variant_to_json" not in text
+    assert text.count("Generate inline") == plan(all_queries()["ingest_events"](spark, DATA)).count("Generate inline")
+
+
 def test_period_reaches_the_scan(spark):
     text = plan(all_queries()["ledger_period_events"](spark, DATA))
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in text
