@@ -12,11 +12,14 @@ per epoch, as often as whole epochs fit the quota, and the last epoch ends where
 the quota does. A document's place on its source's quota, as a share, says in
 which block of the mixture it falls; inside a block all sources are permuted.
 
-Built-in functions only. Sums along a permutation are taken inside buckets of
-rows and over the buckets' sums, so a source with most of the rows is spread.
+Built-in functions only. Sums along a permutation are taken inside buckets of rows,
+over the sums of runs of buckets, and over those of all runs, so a source with most of
+the rows is spread. Rows learn of their source's plan where they are: the table of
+sources goes to them while it is small, else it is copied under salts.
 
 Cases: a null source is a source of its own; a null or empty text has no tokens
-and comes in every epoch; a source without any token is used once; rows without
+and comes in every epoch; a source without any token is used once, its rows spread
+over the blocks by their hash; rows without
 id and equal rows count each; an empty table gives an empty result. Only doc_id,
 text and source are read for the plan.
 """
@@ -30,6 +33,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.functions.skew import salted_join
 from tallyline.llm.common import Scratch, words
 
 MAX_REPEATS = 2.0
@@ -38,6 +42,12 @@ BLOCK_TOKENS = 1 << 18
 SEED = 17
 # Documents that are summed up in one window group.
 BUCKET = 4096
+# Buckets that are summed up in one window group.
+RUN = 4096
+# Documents in a block, about, if they have few tokens.
+BLOCK_ROWS = 1 << 16
+# Sources whose plan is broadcast; some 200 bytes each.
+MOST_SOURCES = 100_000
 # Exponents tried in one pass over the sources: five halvings at a time.
 HALVINGS, PASSES = 5, 6
 # Weights are whole numbers of this part, so that their sum is exact in any order.
@@ -51,6 +61,7 @@ class Mixture(NamedTuple):
     budget: int
     n_blocks: int
     sources: DataFrame
+    n_sources: int
 
 
 def source_key(source: Column) -> Column:
@@ -109,10 +120,12 @@ def planned(
     """Weights, quotas and epochs of the sources of `rows` (from `measured`)."""
     sums = rows.groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
     sources = scratch.keep(sums, "sources")
-    total = sources.agg(F.sum("tokens")).first()[0] or 0
+    totals = sources.agg(F.sum("tokens").alias("tokens"), F.sum("n_docs").alias("docs"), F.count(F.lit(1)).alias("n")).first()
+    total, n_sources = totals["tokens"] or 0, totals["n"]
+    least_blocks = max(1, -(-(totals["docs"] or 0) // BLOCK_ROWS))
     if not total:
         whole = sources.select("key", "tokens", "n_docs", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("quota"))
-        return Mixture(1.0, 0, 1, with_epochs(whole))
+        return Mixture(1.0, 0, least_blocks, with_epochs(whole), n_sources)
     exponent = bisected(sources, total, max_repeats, target_entropy, budget)
     weighed = sources.withColumn(
         "mass", F.when(F.col("tokens") > 0, mass(F.col("tokens") / F.lit(total), exponent)).otherwise(0)
@@ -127,7 +140,7 @@ def planned(
     else:
         quota = F.floor(weight * budget).cast("long")
     weighed = weighed.select("key", "tokens", "n_docs", weight.alias("weight"), quota.alias("quota"))
-    return Mixture(exponent, budget, max(1, -(-budget // block_tokens)), with_epochs(weighed))
+    return Mixture(exponent, budget, max(least_blocks, -(-budget // block_tokens)), with_epochs(weighed), n_sources)
 
 
 def with_epochs(sources: DataFrame) -> DataFrame:
@@ -150,23 +163,37 @@ def order_keys(seed: int) -> list[Column]:
     ]
 
 
+def of_source(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
+    """Join rows with the table of their sources, of which one may hold most rows."""
+    if n_sources <= MOST_SOURCES:
+        return rows.join(F.broadcast(sources), "key")
+    return salted_join(rows, sources, ["key"], F.col("doc_id"))
+
+
 def placements(rows: DataFrame, mixture: Mixture, seed: int = SEED) -> DataFrame:
     """Every use of a document: epoch, block, and position in the block."""
     sources = mixture.sources.select("key", "tokens", "quota", "full", "rest", "buckets")
     last = F.when(F.col("rest") > 0, F.col("full")).otherwise(F.col("full") - 1)
-    uses = rows.join(sources, "key").where(last >= 0)
+    uses = of_source(rows, sources, mixture.n_sources).where(last >= 0)
     uses = uses.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     uses = uses.select("*", *order_keys(seed))
     group = ["key", "epoch", "bucket"]
-    sums = uses.groupBy(*group).agg(F.sum("n_tokens").alias("n"))
-    earlier = Window.partitionBy("key", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*group, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    run = F.floor(F.col("bucket") / RUN).alias("run")
+    sums = uses.groupBy(*group).agg(F.sum("n_tokens").alias("n")).select("*", run)
+    runs = sums.groupBy("key", "epoch", "run").agg(F.sum("n").alias("n"))
+    so_far = [Window.unboundedPreceding, -1]
+    of_runs = Window.partitionBy("key", "epoch").orderBy("run").rowsBetween(*so_far)
+    runs = runs.select("key", "epoch", "run", F.coalesce(F.sum("n").over(of_runs), F.lit(0)).alias("earlier"))
+    in_run = Window.partitionBy("key", "epoch", "run").orderBy("bucket").rowsBetween(*so_far)
+    sums = sums.withColumn("n", F.coalesce(F.sum("n").over(in_run), F.lit(0))).join(runs, ["key", "epoch", "run"])
+    before = sums.select(*group, (F.col("n") + F.col("earlier")).alias("before"))
     inside = Window.partitionBy(*group).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     uses = uses.withColumn("inside", F.sum("n_tokens").over(inside)).join(before, group)
     uses = uses.withColumn("to", F.col("before") + F.col("inside"))
     uses = uses.where((F.col("epoch") < F.col("full")) | (F.col("to") <= F.col("rest")))
     at = F.col("epoch") * F.col("tokens") + F.col("to") - F.col("n_tokens")
-    share = F.when(F.col("quota") > 0, at / F.col("quota")).otherwise(0.0)
+    anywhere = F.pmod("place", F.lit(1 << 20)) / F.lit(1 << 20)
+    share = F.when(F.col("quota") > 0, at / F.col("quota")).otherwise(anywhere)
     block = F.least(F.floor(share * mixture.n_blocks), F.lit(mixture.n_blocks - 1)).cast("long")
     uses = uses.withColumn("block", block)
     inside_block = Window.partitionBy("block").orderBy("place", "doc_id", "epoch", "key", "n_tokens")
@@ -184,8 +211,8 @@ def mix(docs: DataFrame, seed: int = SEED, **limits) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = SEED, **limits) -> DataFrame:
     """The rows of `docs`, each as often as the mixture uses it.
 
-    Texts don't move: where a source's last epoch ends is one point of its
-    permutation, and each row compares its own place with that.
+    Texts don't move (while the table of sources is small): where a source's last epoch
+    ends is one point of its permutation, and each row compares its own place with that.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.keep(measured(docs), "tokens")
@@ -196,7 +223,7 @@ def mixed(docs: DataFrame, seed: int = SEED, **limits) -> DataFrame:
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     row = row.select("row", F.col("row.doc_id").alias("doc_id"), source_key(F.col("row.source")).alias("key"))
-    row = row.join(sources, "key").withColumn("epoch", F.col("full")).select("*", *order_keys(seed))
+    row = of_source(row, sources, mixture.n_sources).withColumn("epoch", F.col("full")).select("*", *order_keys(seed))
     again = F.struct("bucket", "place", F.coalesce("doc_id", F.lit(-1))) <= F.col("end")
     copies = F.col("full") + F.when(F.coalesce(again, F.lit(False)), 1).otherwise(0)
     row = row.where(copies > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), copies)))

@@ -122,3 +122,35 @@ def test_no_python_in_the_plan(spark, rows):
     for df in (m.mix(table(spark, rows)), m.mixed(table(spark, rows))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_texts_stay_where_they_are(spark, rows):
+    """The plan of `mixed` has no exchange of the texts, and the table of sources is looked up."""
+    plan = m.mixed(table(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    assert not [line for line in plan.splitlines() if "hashpartitioning(key" in line and "row" in line]
+
+
+def test_many_sources_give_the_same(spark, rows, monkeypatch):
+    df = table(spark, rows)
+    limits = {"max_repeats": 2.5, "target_entropy": 1.0}
+    few = Counter(map(tuple, m.mix(df, **limits).collect())), Counter(map(tuple, m.mixed(df, **limits).collect()))
+    monkeypatch.setattr(m, "MOST_SOURCES", 2)
+    assert few == (Counter(map(tuple, m.mix(df, **limits).collect())), Counter(map(tuple, m.mixed(df, **limits).collect())))
+
+
+def test_runs_of_buckets_add_up(spark, rows, monkeypatch):
+    df = table(spark, rows)
+    limits = {"max_repeats": 2.5, "target_entropy": 1.0}
+    monkeypatch.setattr(m, "BUCKET", 4)
+    whole = Counter(map(tuple, m.mix(df, **limits).collect()))
+    monkeypatch.setattr(m, "RUN", 3)
+    assert whole == Counter(map(tuple, m.mix(df, **limits).collect()))
+
+
+def test_rows_without_tokens_spread_over_the_blocks(spark, rows, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK_ROWS", 50)
+    empty = [(10_000 + i, "", "void") for i in range(2000)]
+    for df in (table(spark, rows + empty), table(spark, empty)):
+        sizes = Counter(r.block for r in m.mix(df).where("source = 'void'").collect())
+        assert sum(sizes.values()) >= 2000 and len(sizes) > 20 and max(sizes.values()) < 200
