@@ -7,7 +7,7 @@ generation number on each row the state is an ordinary aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline import fixed
@@ -26,18 +26,12 @@ def period_events(events: DataFrame, start: str | Period | Periods, end: str | N
     return period_of(start, end).within(events)
 
 
-def subscription_events(
-    events: DataFrame, start: str | Period | Periods, end: str | None = None, heavy: HeavyKeys | None = None
-) -> DataFrame:
-    """Subscription events of the period with their generation number.
-
-    Generation 0 holds updates and cancellations that precede any creation;
-    they change nothing.
-    """
+def narrow_events(events: DataFrame, start: str | Period | Periods, end: str | None = None) -> DataFrame:
+    """The period's subscription events, with the columns the ledger needs of them."""
     rows = period_events(events, start, end).where(
         F.col("event_type").isin(fixed.SUBSCRIPTION_TYPES) & present("subscription_id")
     )
-    narrow = rows.select(
+    return rows.select(
         *SUBSCRIPTION,
         *ORDER_FIELDS,
         "event_type",
@@ -48,6 +42,17 @@ def subscription_events(
         "period_start",
         "period_end",
     )
+
+
+def subscription_events(
+    events: DataFrame, start: str | Period | Periods, end: str | None = None, heavy: HeavyKeys | None = None
+) -> DataFrame:
+    """Subscription events of the period with their generation number.
+
+    Generation 0 holds updates and cancellations that precede any creation;
+    they change nothing.
+    """
+    narrow = narrow_events(events, start, end)
     created = F.col("event_type") == "subscription_created"
     heavy = heavy or HeavyKeys(events)
     return ordered_scan(
@@ -55,12 +60,8 @@ def subscription_events(
     )
 
 
-def generation_states(numbered: DataFrame) -> DataFrame:
-    """What the events of each generation and customer leave behind, from `subscription_events`.
-
-    Small beside the events, and all the ledger needs of them: subscriptions
-    and customers are both rolled up from here.
-    """
+def event_states() -> dict[str, Column]:
+    """What one subscription event leaves behind. Of several events the largest value of each counts."""
     created = F.col("event_type") == "subscription_created"
     updated = F.col("event_type") == "subscription_updated"
     cancelled = F.col("event_type") == "subscription_cancelled"
@@ -69,23 +70,32 @@ def generation_states(numbered: DataFrame) -> DataFrame:
     amount = F.when(created, F.coalesce("amount_cents", F.lit(0))).otherwise(F.col("amount_cents"))
     start, end = time_or("period_start"), time_or("period_end")
     # the value of the last event that sets the field, with its place
-    last = lambda value, is_set: F.max(
-        F.when((created | updated) & is_set, F.struct(place, value.alias("value")))
+    last = lambda value, is_set: F.when(
+        (created | updated) & is_set, F.struct(place, value.alias("value"))
     )
+    return {
+        "owner": F.when(created, F.col("customer_id")),
+        "plan_id": last(F.col("plan_id"), present("plan_id")),
+        "current_period_start": last(start, start.isNotNull()),
+        "current_period_end": last(end, end.isNotNull()),
+        "mrr_cents": last(amount, amount.isNotNull()),
+        "currency": last(F.col("currency"), present("currency")),
+        "created_at": F.when(created, F.col("timestamp")),
+        "canceled_at": F.when(cancelled, F.col("timestamp")),
+        "touched_at": F.col("timestamp"),
+    }
+
+
+def generation_states(numbered: DataFrame) -> DataFrame:
+    """What the events of each generation and customer leave behind, from `subscription_events`.
+
+    Small beside the events, and all the ledger needs of them: subscriptions
+    and customers are both rolled up from here.
+    """
     return (
         numbered.where(F.col("generation") > 0)
         .groupBy(*SUBSCRIPTION, "generation", "customer_id")
-        .agg(
-            F.max(F.when(created, F.col("customer_id"))).alias("owner"),
-            last(F.col("plan_id"), present("plan_id")).alias("plan_id"),
-            last(start, start.isNotNull()).alias("current_period_start"),
-            last(end, end.isNotNull()).alias("current_period_end"),
-            last(amount, amount.isNotNull()).alias("mrr_cents"),
-            last(F.col("currency"), present("currency")).alias("currency"),
-            F.max(F.when(created, F.col("timestamp"))).alias("created_at"),
-            F.max(F.when(cancelled, F.col("timestamp"))).alias("canceled_at"),
-            F.max("timestamp").alias("touched_at"),
-        )
+        .agg(*[F.max(value).alias(name) for name, value in event_states().items()])
     )
 
 
@@ -159,7 +169,11 @@ def with_customer_mrr(customers: DataFrame, subscriptions: DataFrame) -> DataFra
 
 def ledger_totals(events: DataFrame, customers: DataFrame) -> DataFrame:
     """One row per tenant and project; `event_count` counts every event given."""
-    counted = events.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("event_count"))
+    return totals_of(events.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("event_count")), customers)
+
+
+def totals_of(counted: DataFrame, customers: DataFrame) -> DataFrame:
+    """Ledger totals from the tenants' `event_count` and the customers."""
     summed = customers.groupBy(*SCOPE).agg(
         F.sum("total_mrr_cents").alias("total_mrr_cents"),
         F.count(F.lit(1)).alias("total_customers"),
