@@ -111,6 +111,8 @@ SELECT * REPLACE ({iso('last_invoice_at')} AS last_invoice_at, {iso('last_paymen
 oracle("ledger_customer_mrr", f"""
 SELECT {SCOPE}, customer_id, total_mrr_cents, active_subscriptions, subscription_count FROM cust""")
 oracle("ledger_totals", "SELECT * FROM totals")
+ORACLES["ledger_kept_subscriptions"] = ORACLES["ledger_subscriptions"]
+ORACLES["ledger_kept_totals"] = ORACLES["ledger_totals"]
 
 DIGEST = """sha256(CAST(count(*) AS VARCHAR) || ':' || concat_ws(':', {parts}))""".format(parts=", ".join(
     f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)))
@@ -297,6 +299,11 @@ oracle("cost_incremental", f"""
 SELECT DISTINCT {SCOPE}, strftime("timestamp", '%Y-%m-%d') || 'T00:00:00.000Z' AS period_start,
   strftime("timestamp", '%Y-%m-%d') || 'T23:59:59.999Z' AS period_end
 FROM billing WHERE "timestamp" >= TIMESTAMP '2024-01-20'""")
+oracle("cost_stored_snapshots", f"""
+SELECT DISTINCT {SCOPE}, strftime("timestamp", '%Y-%m-%d') || 'T00:00:00.000Z' AS period_start,
+  strftime("timestamp", '%Y-%m-%d') || 'T23:59:59.999Z' AS period_end,
+  CASE WHEN "timestamp" < TIMESTAMP '2024-01-20' THEN 'run-1' ELSE 'run-2' END AS stored_by
+FROM billing""")
 
 PARTS["finding_hashes"] = """
 SELECT *, sha256('{"category":"' || category || '","description":' || to_json(description) || ',"evidence":' || to_json(evidence)
@@ -453,6 +460,10 @@ oracle("job_request_dedupe", f"""
 SELECT {SCOPE}, job_type, job_id, '1970-01-01T00:00:00.000Z' AS requested_at, idempotency_key,
   CASE WHEN number % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS copies
 FROM queue WHERE number % 7 <> 0""")
+oracle("job_requests_done", f"""
+SELECT {SCOPE}, job_type, idempotency_key, CAST(1 AS BIGINT) AS copies,
+  CASE WHEN number % 7 = 0 THEN 'run-1' ELSE 'run-2' END AS done_by
+FROM queue""")
 
 # -- profiles -----------------------------------------------------------------------------------------
 _FIELDS = ["refund_spike_threshold_cents", "refund_spike_threshold_pct", "dispute_spike_threshold",

@@ -37,9 +37,12 @@ from tallyline.operators import (
 )
 from tallyline.operators import ledger as ledgers
 from tallyline.plans.analyze import Analysis, ChurnInputs, analyze
+from tallyline.plans.kept_ledger import KeptLedger
+from tallyline.plans.stored_results import DONE, SNAPSHOTS, finish_requests, store_snapshots
 from tallyline.session import configure
 from tallyline.sources import billing as files
 from tallyline.sources import derived
+from tallyline.sources.versions import VersionedTables
 
 START, END = derived.PERIOD_START, derived.PERIOD_END
 REFERENCE = derived.REFERENCE_DATE
@@ -126,6 +129,19 @@ class Inputs:
         """The period ledger with its tables written, for queries that read them more than once."""
         return ledgers.Ledger(self.period_billing, START, END, HeavyKeys(self.period_billing), stored=True)
 
+    def own_folder(self, name: str) -> str:
+        ensure_checkpoint_dir(self.spark)
+        return f"{self.spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+    @cached_property
+    def kept_ledger(self) -> KeptLedger:
+        """All events in three loads, each with events that are earlier than others loaded before."""
+        book = KeptLedger(self.spark, self.own_folder("ledger"), START, END, buckets=8)
+        number = F.pmod(F.xxhash64("event_id"), F.lit(3))
+        for n in range(3):
+            book.load(self.event_table.where(number == n), f"load-{n}")
+        return book
+
     @cached_property
     def churn_customers(self) -> DataFrame:
         return self.period_ledger.customers
@@ -387,6 +403,16 @@ def ledger_totals(i: Inputs) -> DataFrame:
 
 
 # -- reconciliation ----------------------------------------------------------------
+@query
+def ledger_kept_subscriptions(i: Inputs) -> DataFrame:
+    return i.kept_ledger.subscriptions
+
+
+@query
+def ledger_kept_totals(i: Inputs) -> DataFrame:
+    return i.kept_ledger.totals.drop("version")
+
+
 def _discrepancies(book: ledgers.Ledger) -> DataFrame:
     return reconcile.discrepancies(book.subscriptions, book.customers, book.heavy.of(ledgers.CUSTOMER))
 
@@ -598,24 +624,37 @@ def cost_cache_key(i: Inputs) -> DataFrame:
     return cost.cost_snapshots(i.assessed, i.billing, COST_AS_OF).select(*cost.REQUEST, "cache_key")
 
 
+def _daily(events: DataFrame) -> DataFrame:
+    """A wanted snapshot per tenant and day of the events."""
+    day = F.date_format("timestamp", "yyyy-MM-dd")
+    dated = events.withColumns(
+        {
+            "period_start": F.concat(day, F.lit("T00:00:00.000Z")),
+            "period_end": F.concat(day, F.lit("T23:59:59.999Z")),
+        }
+    )
+    keyed = cost.input_digests(dated, cost.REQUEST)
+    return keyed.select(*cost.REQUEST, cost.cache_key().alias("cache_key"))
+
+
 @query
 def cost_incremental(i: Inputs) -> DataFrame:
     """Daily snapshots to compute again, given those an earlier run stored."""
 
-    def daily(events: DataFrame) -> DataFrame:
-        day = F.date_format("timestamp", "yyyy-MM-dd")
-        dated = events.withColumns(
-            {
-                "period_start": F.concat(day, F.lit("T00:00:00.000Z")),
-                "period_end": F.concat(day, F.lit("T23:59:59.999Z")),
-            }
-        )
-        keyed = cost.input_digests(dated, cost.REQUEST)
-        return keyed.select(*cost.REQUEST, cost.cache_key().alias("cache_key"))
-
     # the earlier run saw events in arrival order up to its own time
-    stored = daily(i.billing.where(F.col("timestamp") < F.to_timestamp(F.lit(STORED_BEFORE))))
-    return cost.stale_snapshots(daily(i.billing), stored, COST_AS_OF).drop("cache_key")
+    stored = _daily(i.billing.where(F.col("timestamp") < F.to_timestamp(F.lit(STORED_BEFORE))))
+    return cost.stale_snapshots(_daily(i.billing), stored, COST_AS_OF).drop("cache_key")
+
+
+@query
+def cost_stored_snapshots(i: Inputs) -> DataFrame:
+    """The daily snapshots after two runs and a repetition of the first, with the run that stored each."""
+    folder = i.own_folder("snapshots")
+    events = i.event_table
+    early = events.where(F.col("timestamp") < F.to_timestamp(F.lit(STORED_BEFORE)))
+    for run, seen in (("run-1", early), ("run-2", events), ("run-1", events)):
+        store_snapshots(VersionedTables(i.spark, folder, buckets=8), _daily(seen), COST_AS_OF, run)
+    return VersionedTables(i.spark, folder, buckets=8).read(SNAPSHOTS).drop("cache_key")
 
 
 # -- findings and report -----------------------------------------------------------
@@ -726,6 +765,18 @@ def job_request_dedupe(i: Inputs) -> DataFrame:
     return kept.select(*c.SCOPE, "job_type", "job_id", "requested_at", "idempotency_key", "copies")
 
 
+@query
+def job_requests_done(i: Inputs) -> DataFrame:
+    """Requests done after two runs whose second is given all of them, and a repetition of the first."""
+    folder = i.own_folder("requests")
+    number = F.regexp_extract("tenant_id", r"(\d+)", 1).cast("bigint")
+    some = i.requests.where(number % 7 == 0)
+    for run, given in (("run-1", some), ("run-2", i.requests.unionByName(some)), ("run-1", i.requests)):
+        finish_requests(VersionedTables(i.spark, folder, buckets=8), given, run)
+    done = VersionedTables(i.spark, folder, buckets=8).read(DONE)
+    return done.select(*c.SCOPE, "job_type", "idempotency_key", "copies", "done_by")
+
+
 # -- profiles ----------------------------------------------------------------------
 @query
 def profile_thresholds(i: Inputs) -> DataFrame:

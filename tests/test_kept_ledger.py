@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyline.operators.ledger import Ledger
 from tallyline.plans.kept_ledger import KeptLedger
+from tallyline.plans.stored_results import DONE, SNAPSHOTS, finish_requests, store_snapshots
 from tallyline.sources.versions import Conflict, VersionedTables
 
 TABLES = ["subscriptions", "customers", "totals"]
@@ -128,3 +129,36 @@ def test_of_two_writers_one_is_told(spark):
     assert sorted((r.k or 0, r.v) for r in found) == [(0, "d"), (1, "a"), (2, "b"), (3, "e")]
 
 
+
+
+def test_work_lost_in_a_crash_is_done_again_and_counted_once(spark):
+    folder = tempfile.mkdtemp(prefix="done-")
+    rows = [("k1", "2024-01-02", "a"), ("k1", "2024-01-01", "b"), ("k2", "2024-01-01", "c")]
+    asked = spark.createDataFrame(rows, "idempotency_key string, requested_at string, job_id string")
+    worked: list[str] = []
+
+    def crash(_):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        finish_requests(VersionedTables(spark, folder, 4), asked, "run-1", crash)
+    for run in ("run-1", "run-1", "run-2"):
+        finish_requests(
+            VersionedTables(spark, folder, 4), asked, run, lambda df: worked.extend(r.job_id for r in df.collect())
+        )
+    assert sorted(worked) == ["b", "c"]
+    done = VersionedTables(spark, folder, 4).read(DONE).collect()
+    assert sorted((r.idempotency_key, r.job_id, r.copies, r.done_by) for r in done) == [
+        ("k1", "b", 2, "run-1"), ("k2", "c", 1, "run-1"),
+    ]
+
+
+def test_a_changed_snapshot_replaces_the_stored_one(spark):
+    folder = tempfile.mkdtemp(prefix="snapshots-")
+    schema = "tenant_id string, project_id string, period_start string, period_end string, cache_key string"
+    day = ("t", "p", "2024-01-01T00:00:00Z", "2024-01-01T23:59:59Z")
+    for run, key in (("a", "k1"), ("b", "k1"), ("c", "k2")):
+        wanted = spark.createDataFrame([(*day, key)], schema)
+        store_snapshots(VersionedTables(spark, folder, 4), wanted, "2024-02-01T00:00:00Z", run)
+        found = [(r.cache_key, r.stored_by) for r in VersionedTables(spark, folder, 4).read(SNAPSHOTS).collect()]
+        assert found == {"a": [("k1", "a")], "b": [("k1", "a")], "c": [("k2", "c")]}[run]
