@@ -1,28 +1,31 @@
 """Exact top-k inner products with a pivot-distance index.
 
-Vectors are turned into whole numbers, floor(scale * x). One more coordinate
-gives all of them the same length: then the largest inner product with a query
-is the smallest distance from it, and distances obey the triangle inequality.
-
-Index: every vector is keyed by its nearest pivot and its distance from it. The
-distances of a pivot are cut into rings. The directory, smallest and largest
-distance and size of every ring, has `PIVOTS * RINGS` rows at any size of data.
-
-Search: the scores with a bounded sample of the vectors give each query a
-distance that its k-th neighbour can't exceed. By the triangle inequality a ring
-[low, high] around a pivot at distance d from the query holds nothing nearer
-than low - d or d - high. The query goes through the rings by that bound and
-stops at the first beyond its limit; each ring it visits is compared whole.
-
-Pivots and rings are fitted on the sample; every vector is indexed, so results
-are exact. A ring is cut into blocks of about `BLOCK` vectors, so a vector or
-cluster that very many rows share is spread over tasks.
-
-Cases: vectors that are null, or hold a null, NaN or infinity, and rows without
-id take no part; of several rows of one id the smallest vector counts; shorter
-vectors count as if ended by zeros; with fewer candidates than k all are
-returned; ties go to the smaller id; an empty table gives an empty result. Only
-the id and vector columns are read.
+Vectors are turned into whole numbers, floor(scale * x). Distances are angles, which obey
+the triangle inequality whatever the lengths of the vectors.
+
+Index: every vector is keyed by its nearest pivot and its angle from it. The angles from a
+pivot are cut into rings (annuli). The directory keeps, for every ring, the smallest and
+largest angle of its vectors from each of the pivots, and their lengths: it has
+`PIVOTS * RINGS` rows at any size of data.
+
+Search: if a query is at angle d from a pivot and a ring at [low, high], the ring's vectors
+are at least low - d and d - high away; the largest of these gaps over all pivots, with the
+ring's lengths, bounds every inner product in it. A query's rings are sorted by that bound
+and expanded in rounds: `FIRST` rings, then four times as many, and so on. After a round
+the k-th best score found so far is the limit of the next one, and a query stops at the
+first ring whose bound is below its limit. A bounded sample of the vectors gives the
+first limit. A round reads only rings that some query expands.
+
+Pivots and rings are fitted on the sample; every vector is indexed, so results are exact.
+Rings are worked on in blocks of about `BLOCK` vectors: small rings share a block, one that
+a large cluster fills is cut into many.
+
+Cases: vectors that are null, or hold a null, NaN or infinity, and rows without id take no
+part; every row is a candidate, so an id with several rows may be found several times; rows
+with the query's id are its own, and where several rows are queries of one id, the best
+pairs of all of them count; shorter vectors count as if ended by zeros; with fewer
+candidates than k all are returned; ties go to the smaller id; an empty table gives an
+empty result. Only the id and vector columns are read.
 """
 
 from __future__ import annotations
@@ -40,13 +43,18 @@ from tallyline.llm.common import Scratch, hash_order, least_hashed
 
 SCALE = 256
 TOP = 5
-PIVOTS = 16
-RINGS = 16
+PIVOTS = 256
+RINGS = 4
 # Vectors that pivots, rings and the queries' first limits are taken from.
 SAMPLE = 2048
 BLOCK = 512
 # Queries compared with a block at once.
 QUERY_BLOCK = 2048
+# Rings that a query expands in the first round; each further round takes WIDER times as many.
+FIRST, WIDER = 32, 4
+# Of rounding in angles (arc cosines near 1 are off by 1e-7), as a share of the product of two lengths.
+SLACK = 1e-6
+LEAST = -(1 << 63)
 
 
 def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
@@ -63,7 +71,7 @@ def square(vector: Column) -> Column:
 
 
 class Space(NamedTuple):
-    """How vectors are stored, and the common square of their lengths."""
+    """How vectors are stored, and the largest square of their lengths."""
 
     dims: int
     kind: str
@@ -74,21 +82,41 @@ class Space(NamedTuple):
         found = np.frombuffer(b"".join(packed), self.kind).reshape(-1, self.dims)
         return found.astype(np.float64 if self.length2 < 2**53 else object)
 
-    def extra(self, matrix: np.ndarray) -> np.ndarray:
-        """The coordinate that brings vectors to the common length."""
-        return np.sqrt(np.maximum(0.0, self.length2 - (matrix * matrix).sum(axis=1).astype(np.float64)))
-
 
 class Index(NamedTuple):
     space: Space
-    pivots: np.ndarray  # with the extra coordinate
+    pivots: np.ndarray  # of length 1
     edges: np.ndarray  # inner ring borders of every pivot
     sample_ids: np.ndarray
     sample: np.ndarray
 
 
+class Directory(NamedTuple):
+    """Per ring: its number, size, angles from each pivot, lengths, first block and number of blocks."""
+
+    cells: np.ndarray
+    sizes: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    block: np.ndarray
+    blocks: np.ndarray
+
+
+def directions(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors brought to length 1, and their lengths. A vector of zeros stays one: any angle is right for it."""
+    points = matrix.astype(np.float64)
+    lengths = np.sqrt((points * points).sum(axis=1))
+    return points / np.where(lengths > 0, lengths, 1.0)[:, None], lengths
+
+
+def angles(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(points @ pivots.T, -1.0, 1.0))
+
+
 def packed(rows: DataFrame, space: Space) -> DataFrame:
-    """(vec_id, v) with the vector as bytes."""
+    """(vec_id, n, v) with the vector as bytes; `n` rows are alike."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -97,104 +125,169 @@ def packed(rows: DataFrame, space: Space) -> DataFrame:
                 whole = np.zeros(space.dims, space.kind)
                 whole[: len(v)] = v
                 out.append(whole.tobytes())
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "v": out})
-
-    return rows.mapInPandas(run, "vec_id long, v binary")
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "n": batch["n"], "v": out})
 
-
-def distances(points: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """From points, whose last coordinate is `extra`, to the pivots."""
-    points = np.column_stack([points.astype(np.float64), extra])
-    cross = points @ pivots.T
-    squares = (points * points).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * cross
-    return np.sqrt(np.maximum(0.0, squares))
+    return rows.mapInPandas(run, "vec_id long, n long, v binary")
 
 
 def fitted(sample: pd.DataFrame, space: Space, pivots: int, rings: int) -> Index:
     """Pivots far from each other, and ring borders at even shares of the sample."""
     matrix = space.matrix(sample["v"])
-    points = np.column_stack([matrix.astype(np.float64), space.extra(matrix)])
+    points, _ = directions(matrix)
     chosen = [0]
-    nearest = ((points - points[0]) ** 2).sum(axis=1)
-    while len(chosen) < min(pivots, len(points)) and nearest.max() > 0:
+    nearest = angles(points, points[:1])[:, 0]
+    while len(chosen) < min(pivots, len(points)) and nearest.max() > 1e-6:
         chosen.append(int(nearest.argmax()))
-        nearest = np.minimum(nearest, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
-    far = distances(matrix, points[:, -1], points[chosen])
+        nearest = np.minimum(nearest, angles(points, points[chosen[-1:]])[:, 0])
+        nearest[chosen[-1]] = 0.0
+    far = angles(points, points[chosen])
     of = far.argmin(axis=1)
     shares = np.arange(1, rings) / rings
-    edges = [np.quantile(far[of == p, p], shares) for p in range(len(chosen))]
+    edges = [np.quantile(far[of == p, p] if (of == p).any() else [0.0], shares) for p in range(len(chosen))]
     return Index(space, points[chosen], np.array(edges), sample["vec_id"].to_numpy(), matrix)
 
 
 def keyed(vectors: DataFrame, index: Index) -> DataFrame:
-    """(vec_id, v, cell, far): the ring of the nearest pivot, and the distance from it."""
+    """(vec_id, n, v, cell): the ring of the nearest pivot."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rings = index.edges.shape[1] + 1
         for batch in batches:
             if len(batch):
-                matrix = index.space.matrix(batch["v"])
-                far = distances(matrix, index.space.extra(matrix), index.pivots)
+                far = angles(directions(index.space.matrix(batch["v"]))[0], index.pivots)
                 pivot = far.argmin(axis=1)
                 own = far[np.arange(len(far)), pivot]
                 ring = (index.edges[pivot] <= own[:, None]).sum(axis=1)
-                yield batch.assign(cell=(pivot * rings + ring).astype(np.int32), far=own)
+                yield batch.assign(cell=(pivot * rings + ring).astype(np.int32))
+
+    return vectors.mapInPandas(run, "vec_id long, n long, v binary, cell int")
 
-    return vectors.mapInPandas(run, "vec_id long, v binary, cell int, far double")
 
+def ranges(vectors: DataFrame, index: Index) -> DataFrame:
+    """(cell, pivot, low, high, size): the angles of every ring's vectors from every pivot.
 
-def visits(queries: DataFrame, index: Index, directory: pd.DataFrame, top: int) -> DataFrame:
-    """(query_id, v, cell, bound) of every ring a query has to look at."""
+    The row of pivot -1 holds lengths instead. Vectors are sorted by ring, so that a task
+    has few of them; its rows meet those of other tasks as minima and maxima.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rings = index.edges.shape[1] + 1
-        cells = directory["cell"].to_numpy()
-        pivot, low, high = cells // rings, directory["low"].to_numpy(), directory["high"].to_numpy()
+        known: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
         for batch in batches:
             if not len(batch):
                 continue
+            points, lengths = directions(index.space.matrix(batch["v"]))
+            far = np.column_stack([lengths, angles(points, index.pivots)])
+            for cell, rows in batch.groupby("cell").indices.items():
+                low, high, size = far[rows].min(axis=0), far[rows].max(axis=0), len(rows)
+                if cell in known:
+                    low, high = np.minimum(low, known[cell][0]), np.maximum(high, known[cell][1])
+                    size += known[cell][2]
+                known[cell] = low, high, size
+        pivots = np.arange(-1, len(index.pivots), dtype=np.int32)
+        for cell, (low, high, size) in known.items():
+            yield pd.DataFrame({"cell": np.int32(cell), "pivot": pivots, "low": low, "high": high, "size": size})
+
+    found = vectors.mapInPandas(run, "cell int, pivot int, low double, high double, size long")
+    return found.groupBy("cell", "pivot").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size")
+    )
+
+
+def directory_of(found: pd.DataFrame, block: int) -> Directory:
+    """The directory from its `ranges`. Small rings share a block until it is full, large ones have several."""
+    found = found.sort_values(["cell", "pivot"])
+    cells = found["cell"].unique()
+    low = found["low"].to_numpy().reshape(len(cells), -1)
+    high = found["high"].to_numpy().reshape(len(cells), -1)
+    sizes = found["size"].to_numpy().reshape(len(cells), -1)[:, 0]
+    first, blocks, at, held = [], [], 0, 0
+    for size in sizes:
+        if held and held + size > block:
+            at, held = at + 1, 0
+        first.append(at)
+        blocks.append(max(1, -(-int(size) // block)))
+        held += int(size)
+        if blocks[-1] > 1:
+            at, held = at + blocks[-1], 0
+    return Directory(
+        cells, sizes, low[:, 1:], high[:, 1:], low[:, 0], high[:, 0], np.array(first), np.array(blocks)
+    )
+
+
+def with_first_limit(queries: DataFrame, index: Index, top: int) -> DataFrame:
+    """(query_id, n, v, floor): the k-th best score among the sample, the least there is without k of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
             ids, matrix = batch["vec_id"].to_numpy(), index.space.matrix(batch["v"])
-            squares = (matrix * matrix).sum(axis=1).astype(np.float64)
-            scores = (matrix @ index.sample.T).astype(np.float64)
-            scores[ids[:, None] == index.sample_ids[None, :]] = -np.inf
-            if scores.shape[1] > top:
-                kth = -np.partition(-scores, top - 1, axis=1)[:, top - 1]
-            else:
-                kth = np.full(len(ids), -np.inf)
-            limit = np.sqrt(squares + index.space.length2 - 2 * kth)
-            off = distances(matrix, np.zeros(len(ids)), index.pivots)[:, pivot]
-            bound = np.maximum(0.0, np.maximum(low - off, off - high))
-            slack = 1e-6 * (1 + np.sqrt(index.space.length2))  # of rounding in distances
-            query, place = np.nonzero(bound <= limit[:, None] + slack)
-            order = np.lexsort([bound[query, place], query])
-            query, place = query[order], place[order]
-            yield pd.DataFrame(
-                {
-                    "query_id": ids[query],
-                    "v": batch["v"].to_numpy()[query],
-                    "cell": cells[place],
-                    "bound": bound[query, place],
-                }
-            )
-
-    return queries.mapInPandas(run, "query_id long, v binary, cell int, bound double")
+            floor = []
+            for query_id, scores in zip(ids, matrix @ index.sample.T):
+                others = scores[index.sample_ids != query_id]
+                floor.append(int(np.sort(others)[-top]) if len(others) >= top else LEAST)
+            yield pd.DataFrame({"query_id": ids, "n": batch["n"], "v": batch["v"], "floor": floor})
+
+    return queries.mapInPandas(run, "query_id long, n long, v binary, floor long")
+
+
+def bounds(points: np.ndarray, lengths: np.ndarray, index: Index, directory: Directory) -> np.ndarray:
+    """Of every query (row) and ring: no inner product between them is larger."""
+    far = angles(points, index.pivots)
+    gap = np.zeros((len(points), len(directory.cells)))
+    for p in range(far.shape[1]):
+        own = far[:, p, None]
+        np.maximum(gap, np.maximum(directory.low[:, p] - own, own - directory.high[:, p]), out=gap)
+    cosine = np.cos(gap)
+    widest = lengths[:, None] * directory.most
+    return widest * SLACK + cosine * np.where(cosine >= 0, widest, lengths[:, None] * directory.least)
+
+
+def expanded(queries: DataFrame, index: Index, directory: Directory, start: int, end: int) -> DataFrame:
+    """(query_id, n, v, cells, block) of the rings that queries (query_id, n, v, floor) expand in a round.
+
+    These are the rings from place `start` to `end` in the order of a query's bounds, up
+    to the first below its limit; those of one block come in one row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            points, lengths = directions(index.space.matrix(batch["v"]))
+            for row, bound in zip(batch.itertuples(), bounds(points, lengths, index, directory)):
+                order = np.argsort(-bound, kind="stable")[start:end]
+                order = order[bound[order] >= row.floor]
+                per_block: dict[int, list[int]] = {}
+                for place in order:
+                    for b in range(directory.block[place], directory.block[place] + directory.blocks[place]):
+                        per_block.setdefault(int(b), []).append(int(directory.cells[place]))
+                out += [(row.query_id, row.n, row.v, cells, b) for b, cells in per_block.items()]
+            yield pd.DataFrame(out, columns=["query_id", "n", "v", "cells", "block"])
+
+    return queries.mapInPandas(run, "query_id long, n long, v binary, cells array<int>, block int")
 
 
 def best_in_block(space: Space, top: int):
-    """The best candidates of one block for each query that visits it."""
+    """The best candidates of one block for each query that expands a ring of it."""
 
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(vectors) and len(queries):
             vectors = vectors.sort_values("vec_id")
-            ids, matrix = vectors["vec_id"].to_numpy(), space.matrix(vectors["v"])
-            asked = queries["query_id"].to_numpy()
-            scores = space.matrix(queries["v"]) @ matrix.T
-            order = np.argsort(-scores, axis=1, kind="stable")[:, : top + 1]
+            ids, cell, alike = (vectors[c].to_numpy() for c in ("vec_id", "cell", "n"))
+            asked, times = queries["query_id"].to_numpy(), queries["n"].to_numpy()
+            scores = space.matrix(queries["v"]) @ space.matrix(vectors["v"]).T
+            looked_at = np.stack([np.isin(cell, cells) for cells in queries["cells"]])
+            looked_at &= asked[:, None] != ids[None, :]
+            scores[~looked_at] = -np.inf
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :top]
             rows = np.repeat(np.arange(len(asked)), order.shape[1])
-            found = pd.DataFrame({"query_id": asked[rows], "vec_id": ids[order.ravel()]})
-            found["score"] = scores[rows, order.ravel()].astype(np.int64)
-            out.append(found[found["query_id"] != found["vec_id"]])
+            columns = order.ravel()
+            valid = looked_at[rows, columns]
+            rows, columns = rows[valid], columns[valid]
+            # rows alike are pairs of their own, of which no more than `top` can count
+            pairs = np.minimum(np.minimum(alike[columns], top) * np.minimum(times[rows], top), top)
+            rows, columns = np.repeat(rows, pairs), np.repeat(columns, pairs)
+            found = pd.DataFrame({"query_id": asked[rows], "vec_id": ids[columns]})
+            out.append(found.assign(score=scores[rows, columns].astype(np.int64)))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
 
     return run
@@ -202,14 +295,17 @@ def best_in_block(space: Space, top: int):
 
 def search(
     rows: DataFrame, is_query: Column, top: int = TOP, scale: int = SCALE, pivots: int = PIVOTS, rings: int = RINGS,
-    sample: int = SAMPLE, block: int = BLOCK,
+    sample: int = SAMPLE, block: int = BLOCK, first: int = FIRST, compared: list[int] | None = None,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the `top` best vectors of `rows` (vec_id, embedding) for each query."""
+    """(query_id, rank, vec_id, score) of the `top` best vectors of `rows` (vec_id, embedding) for each query.
+
+    `compared` gets the number of pairs looked at in each round, at the cost of a count.
+    """
     spark = rows.sparkSession
     scratch = Scratch(spark, "pivots")
     found = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     found = found.select(F.col("vec_id").cast("long"), whole_numbers(F.col("embedding"), scale).alias("v"))
-    found = scratch.keep(found.groupBy("vec_id").agg(F.min("v").alias("v")), "numbers")
+    found = scratch.keep(found.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n")), "numbers")
     most = F.max(F.greatest(F.abs(F.coalesce(F.array_max("v"), F.lit(0))), F.abs(F.coalesce(F.array_min("v"), F.lit(0)))))
     facts = found.agg(F.max(F.size("v")), most, F.max(square(F.col("v")))).first()
     if facts[0] is None:
@@ -218,33 +314,45 @@ def search(
     space = Space(max(1, facts[0]), kind, float(facts[2]))
 
     vectors = packed(found, space)
-    chosen = least_hashed(vectors, sample, "vec_id").toPandas()
-    index = fitted(chosen, space, pivots, rings)
-    vectors = scratch.keep(keyed(vectors, index), "vectors")
-    ring = vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("low"), F.max("far").alias("high"))
-    directory = ring.orderBy("cell").toPandas()  # PIVOTS * RINGS rows at most
-
-    queries = vectors.where(is_query).select("vec_id", "v")
-    visited = visits(queries, index, directory, top)
-    n_queries = queries.count()
-    blocks = {int(c): -(-int(n) // block) for c, n in zip(directory["cell"], directory["n"])}
-    of_cell = F.broadcast(spark.createDataFrame(list(blocks.items()), "cell int, blocks int"))
-    parts = -(-n_queries // QUERY_BLOCK) or 1
-
-    left = vectors.join(of_cell, "cell").select(
-        "vec_id", "v", "cell",
-        F.pmod(hash_order("vec_id"), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-    )
-    right = visited.join(of_cell, "cell").select(
-        "query_id", "v", "cell",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(hash_order("query_id"), F.lit(parts)).cast("int").alias("part"),
-    )
-    keys = ["cell", "block", "part"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        best_in_block(space, top), "query_id long, vec_id long, score long"
-    )
+    index = fitted(least_hashed(vectors, sample, "vec_id").toPandas(), space, pivots, rings)
+    # files hold few rings each, so that a round can leave files out
+    by_ring = keyed(vectors, index).repartitionByRange("cell", hash_order("vec_id")).sortWithinPartitions("cell")
+    vectors = scratch.keep(by_ring, "vectors")
+    directory = directory_of(ranges(vectors, index).toPandas(), block)  # pivots² * rings rows at most
+    places = [(int(c), int(b), int(n)) for c, b, n in zip(directory.cells, directory.block, directory.blocks)]
+    of_cell = F.broadcast(spark.createDataFrame(places, "cell int, block_0 int, blocks int"))
+    own_block = F.col("block_0") + F.pmod(hash_order("vec_id", "v"), F.col("blocks")).cast("int")
+    vectors = vectors.join(of_cell, "cell").select("vec_id", "n", "v", "cell", own_block.alias("block"))
+
+    queries = found.where(is_query)
+    queries = scratch.keep(with_first_limit(packed(queries, space), index, top), "queries")
+    parts = max(1, -(-queries.count() // QUERY_BLOCK))
+    part = F.pmod(hash_order("query_id", "v"), F.lit(parts)).cast("int")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    start, end = 0, first
+    while start < len(directory.cells):
+        tighter = best.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n_best"))
+        limit = F.when(F.col("n_best") >= top, F.greatest("floor", "kth")).otherwise(F.col("floor"))
+        asking = queries.join(tighter, "query_id", "left").select("query_id", "n", "v", limit.alias("floor"))
+        visits = scratch.keep(expanded(asking, index, directory, start, end).withColumn("part", part), "visits")
+        if visits.isEmpty():
+            break  # bounds only fall and limits only rise: later rings are of no use either
+        if compared is not None:
+            sizes = spark.createDataFrame(list(zip(directory.cells.tolist(), directory.sizes.tolist())), "cell int, size long")
+            # a ring of several blocks has a row in each, and counts once
+            seen = visits.select("query_id", "v", F.explode("cells").alias("cell")).distinct().join(sizes, "cell")
+            compared.append(seen.agg(F.sum("size")).first()[0])
+        # named anew: the two sides of the cogroup share their origin
+        named = [F.col(c).alias(c) for c in ("block", "part")]
+        wanted = visits.select(*named, F.explode("cells").alias("cell")).distinct()
+        left = vectors.join(wanted, ["cell", "block"])
+        keys = ["block", "part"]
+        new = left.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(
+            best_in_block(space, top), "query_id long, vec_id long, score long"
+        )
+        ranked = best.unionByName(new).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+        best = scratch.keep(ranked.drop("rank"), "best")
+        start, end = end, end + (end - start) * WIDER
+    ranked = best.withColumn("rank", F.row_number().over(order))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

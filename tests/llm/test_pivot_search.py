@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from compare import difference, oracle_connection
 from conftest import DATA
@@ -17,17 +18,16 @@ SCHEMA = "vec_id long, embedding array<float>, label int, v string"
 
 
 def brute(rows, every, top):
-    whole = {}
+    whole = []
     for vec_id, v in rows:
         if vec_id is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        numbers = [math.floor(256 * float(np.float32(x))) for x in v]
-        whole[vec_id] = min(numbers, whole.get(vec_id, numbers))
+        whole.append((vec_id, [math.floor(256 * float(np.float32(x))) for x in v]))
     out = []
-    for q, a in whole.items():
-        if q % every == 0:
-            scores = [(-sum(x * y for x, y in zip(a, b)), c) for c, b in whole.items() if c != q]
-            out += [(q, n, c, -s) for n, (s, c) in enumerate(sorted(scores)[:top], 1)]
+    for q in {vec_id for vec_id, _ in whole if vec_id % every == 0}:
+        own = [v for vec_id, v in whole if vec_id == q]
+        scores = [(-sum(x * y for x, y in zip(a, b)), c) for a in own for c, b in whole if c != q]
+        out += [(q, n, c, -s) for n, (s, c) in enumerate(sorted(scores)[:top], 1)]
     return sorted(out)
 
 
@@ -55,19 +55,48 @@ def test_equals_brute_force(spark, sample):
     assert got == brute(rows, 20, 5)
 
 
-def test_bounds_leave_rings_out(spark):
+def test_rounds_leave_most_pairs_out(spark):
     rows = clustered(2000, 2)
-    space = ps.Space(12, "<i2", 1.0)
-    whole = np.floor(256 * np.array([v for _, v in rows]))
-    space = space._replace(length2=float((whole**2).sum(axis=1).max()), kind="<i4")
-    import pandas as pd
-
-    packed = pd.DataFrame({"vec_id": [i for i, _ in rows], "v": [x.astype("<i4").tobytes() for x in whole]})
-    index = ps.fitted(packed.head(500), space, 8, 8)
-    keyed = ps.keyed(spark.createDataFrame(packed, "vec_id long, v binary"), index)
-    directory = keyed.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).toPandas()
-    visited = ps.visits(keyed.where("vec_id % 50 = 0").select("vec_id", "v"), index, directory, 5).count()
-    assert visited < 0.7 * len(directory) * keyed.where("vec_id % 50 = 0").count()
+    compared = []
+    got = found(spark, rows, 50, pivots=32, rings=8, first=4, sample=64, compared=compared)
+    assert got == brute(rows, 50, 5)
+    assert len(compared) >= 2 and sum(compared) < 0.5 * 41 * len(rows)
+
+
+def test_limits_tighten_from_round_to_round(spark, monkeypatch):
+    """Without a first limit, only the scores of the rings expanded first can spare the others."""
+
+    def no_limit(queries, index, top):
+        return queries.select(F.col("vec_id").alias("query_id"), "n", "v", F.lit(ps.LEAST).alias("floor"))
+
+    monkeypatch.setattr(ps, "with_first_limit", no_limit)
+    rows = clustered(1500, 3)
+    compared = []
+    got = found(spark, rows, 50, pivots=32, rings=4, first=4, sample=64, compared=compared)
+    assert got == brute(rows, 50, 5)
+    assert sum(compared) < 0.6 * 30 * len(rows)
+
+
+def test_bounds_hold_for_every_vector(spark):
+    rng = np.random.default_rng(4)
+    whole = np.floor(256 * rng.normal(size=(400, 6)) * rng.choice([0.1, 1, 9], size=(400, 1)))
+    whole[7] = 0
+    space = ps.Space(6, "<i4", float((whole**2).sum(axis=1).max()))
+    frame = pd.DataFrame({"vec_id": range(400), "n": 1, "v": [x.astype("<i4").tobytes() for x in whole]})
+    index = ps.fitted(frame.head(100), space, 12, 3)
+    keyed = ps.keyed(spark.createDataFrame(frame, "vec_id long, n long, v binary"), index)
+    directory = ps.directory_of(ps.ranges(keyed, index).toPandas(), 50)
+    bound = ps.bounds(*ps.directions(whole), index, directory)
+    place = {int(c): n for n, c in enumerate(directory.cells)}
+    for r in keyed.collect():
+        assert (whole @ whole[r.vec_id] <= bound[:, place[r.cell]]).all()
+
+
+def test_ids_that_repeat(spark):
+    """Every row is a candidate; a vector that very many rows share is spread over blocks by its id."""
+    rows = [(i % 40, [float(i % 7), float(i % 5), 1.0]) for i in range(300)]
+    rows += [(3, [9.0, 9.0, 9.0])] * 7 + [(0, [1.0, 1.0, 1.0])] * 3
+    assert found(spark, rows, 10, block=16, pivots=4, rings=2, first=2) == brute(rows, 10, 5)
 
 
 def test_odd_vectors(spark):
