@@ -242,7 +242,7 @@ def bounds(points: np.ndarray, lengths: np.ndarray, index: Index, directory: Dir
 
 
 def expanded(queries: DataFrame, index: Index, directory: Directory, start: int, end: int) -> DataFrame:
-    """(query_id, n, v, cells, block) of the rings that queries (query_id, n, v, floor) expand in a round.
+    """(query_id, n, v, floor, cells, block) of the rings that queries (query_id, n, v, floor) expand in a round.
 
     These are the rings from place `start` to `end` in the order of a query's bounds, up
     to the first below its limit; those of one block come in one row.
@@ -259,14 +259,14 @@ def expanded(queries: DataFrame, index: Index, directory: Directory, start: int,
                 for place in order:
                     for b in range(directory.block[place], directory.block[place] + directory.blocks[place]):
                         per_block.setdefault(int(b), []).append(int(directory.cells[place]))
-                out += [(row.query_id, row.n, row.v, cells, b) for b, cells in per_block.items()]
-            yield pd.DataFrame(out, columns=["query_id", "n", "v", "cells", "block"])
+                out += [(row.query_id, row.n, row.v, row.floor, cells, b) for b, cells in per_block.items()]
+            yield pd.DataFrame(out, columns=["query_id", "n", "v", "floor", "cells", "block"])
 
-    return queries.mapInPandas(run, "query_id long, n long, v binary, cells array<int>, block int")
+    return queries.mapInPandas(run, "query_id long, n long, v binary, floor long, cells array<int>, block int")
 
 
 def best_in_block(space: Space, top: int):
-    """The best candidates of one block for each query that expands a ring of it."""
+    """The best candidates of one block for each query that expands a ring of it, as far as its limit lets them count."""
 
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -277,6 +277,7 @@ def best_in_block(space: Space, top: int):
             scores = space.matrix(queries["v"]) @ space.matrix(vectors["v"]).T
             looked_at = np.stack([np.isin(cell, cells) for cells in queries["cells"]])
             looked_at &= asked[:, None] != ids[None, :]
+            looked_at &= (scores >= queries["floor"].to_numpy()[:, None]).astype(bool)
             scores[~looked_at] = -np.inf
             order = np.argsort(-scores, axis=1, kind="stable")[:, :top]
             rows = np.repeat(np.arange(len(asked)), order.shape[1])
