@@ -146,6 +146,23 @@ SELECT {SCOPE}, {REPORT_NAME} AS report_id, discrepancy_count,
 FROM (SELECT t.*, coalesce(n, 0) AS discrepancy_count, digest FROM period_totals t LEFT JOIN (
   SELECT {SCOPE}, count(*) AS n, {DIGEST} AS digest FROM disc_hashes GROUP BY ALL) d USING (tenant_id, project_id)) t""")
 
+
+def tree_hash(leaves: str) -> str:
+    """(tenant, tree_hash) of leaves (tenant, place, h): four levels of 1024 neighbours."""
+    for _ in range(4):
+        leaves = f"""SELECT {SCOPE}, place // 1024 AS place, sha256(string_agg(h, '' ORDER BY place)) AS h
+FROM ({leaves}) GROUP BY {SCOPE}, place // 1024"""
+    return f"SELECT {SCOPE}, h AS tree_hash FROM ({leaves})"
+
+
+oracle("recon_tree_hash", f"""
+SELECT {SCOPE}, {REPORT_NAME} AS report_id, sha256(concat_ws('|', tenant_id, project_id, '{PERIOD_A}', '{PERIOD_B}',
+  coalesce(tree_hash, sha256('')))) AS report_tree_hash
+FROM period_totals t LEFT JOIN (""" + tree_hash("""
+  SELECT tenant_id, project_id, h, row_number() OVER (PARTITION BY tenant_id, project_id
+    ORDER BY customer_id, subscription_id, generation, difference_cents, reason) - 1 AS place
+  FROM disc_hashes""") + """) d USING (tenant_id, project_id)""")
+
 # -- anomalies --------------------------------------------------------------------------
 oracle("anomaly_duplicate_event", fd.ANOMALY["duplicate_event"])
 oracle("anomaly_missing_invoice", fd.ANOMALY["missing_invoice"])
@@ -312,6 +329,12 @@ PARTS["hashed_reports"] = f"""
 SELECT j.*, sha256(head || '|' || coalesce(digest, {NO_DIGEST})) AS canonical_hash
 FROM documents_json j LEFT JOIN (SELECT {SCOPE}, {DIGEST} AS digest FROM finding_hashes GROUP BY ALL) USING (tenant_id, project_id)"""
 
+PARTS["placed_hashes"] = PARTS["finding_hashes"].replace("FROM found", "FROM placed")
+oracle("report_tree_hash", f"""
+SELECT {SCOPE}, report_id, sha256(head || '|' || coalesce(tree_hash, sha256(''))) AS report_tree_hash
+FROM documents_json LEFT JOIN (""" + tree_hash(
+    f"SELECT {SCOPE}, h, finding_rank - 1 AS place FROM placed_hashes") + """) d USING (tenant_id, project_id)""")
+
 # -- findings and report ------------------------------------------------------------------------
 oracle("report_period", f"""
 SELECT t.tenant_id, t.project_id,

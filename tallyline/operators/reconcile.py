@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyline import fixed
 from tallyline.functions.columns import SCOPE
-from tallyline.functions.hashing import digest_sums, digest_text, sha256_hex
+from tallyline.functions.hashing import digest_sums, digest_text, sha256_hex, tree_hashes
 from tallyline.functions.periods import Period, Periods, period_of
+from tallyline.functions.ranking import ranked
 from tallyline.functions.skew import split_join
 
 TOLERANCE_CENTS = 100
@@ -114,6 +115,24 @@ def _report_id() -> Column:
     return F.concat_ws("-", F.lit("recon"), *SCOPE, "period_start", "period_end").alias("report_id")
 
 
+def report_tree_hashes(
+    totals: DataFrame, found: DataFrame, start: str | Period | Periods, end: str | None = None
+) -> DataFrame:
+    """Export: a hash of each tenant's report with its discrepancies in order, at any size of a tenant."""
+    place = ["customer_id", "subscription_id", "generation", "difference_cents", "reason"]
+    entry = F.struct("subscription_id", "difference_cents", "reason")
+    in_order = ranked(found.select(*SCOPE, *place), SCOPE, place, "nth").withColumn("place", F.col("nth") - 1)
+    listed = tree_hashes(in_order, SCOPE, "place", sha256_hex(F.to_json(entry)))
+    none = sha256_hex(F.lit(""))
+    text = F.concat_ws("|", *SCOPE, "period_start", "period_end", F.coalesce("tree_hash", none))
+    return (
+        period_of(start, end)
+        .attach(totals.select(*SCOPE), "period_start", "period_end")
+        .join(listed, SCOPE, "left")
+        .select(*SCOPE, _report_id(), sha256_hex(text).alias("report_tree_hash"))
+    )
+
+
 def document_hashes(
     totals: DataFrame, found: DataFrame, start: str | Period | Periods, end: str | None = None
 ) -> DataFrame:

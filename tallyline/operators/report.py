@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyline import fixed
 from tallyline.functions.columns import SCOPE, iso_micros
-from tallyline.functions.hashing import digest_sums, digest_text, sha256_hex
+from tallyline.functions.hashing import digest_sums, digest_text, sha256_hex, tree_hashes
 from tallyline.functions.periods import Periods
 from tallyline.functions.ranking import ranked
 
@@ -289,6 +289,29 @@ def document_hashes(
     )
 
 
+def report_tree_hashes(
+    summary: DataFrame,
+    ranked_findings: DataFrame,
+    advice: DataFrame,
+    trace_id: Column,
+    generated_at: str = fixed.STABLE_TIMESTAMP,
+) -> DataFrame:
+    """Export: a hash of each tenant's report with its findings in order, at any size of a tenant.
+
+    It covers the document's head and the tree hash of the ranked findings.
+    """
+    placed = ranked_findings.withColumn("place", F.col("finding_rank") - 1)
+    listed = tree_hashes(placed, SCOPE, "place", sha256_hex(_finding_json()))
+    none = sha256_hex(F.lit(""))
+    return (
+        _headed(summary, advice, trace_id, generated_at)
+        .join(listed, SCOPE, "left")
+        .select(
+            *SCOPE, "report_id", sha256_hex(F.concat_ws("|", "head", F.coalesce("tree_hash", none))).alias("report_tree_hash")
+        )
+    )
+
+
 def report_lines(
     summary: DataFrame,
     envelopes: DataFrame,

@@ -80,6 +80,10 @@ class Analysis:
         """Export: hashes of the tenants' reports as whole documents."""
         return report.document_hashes(self.summary, self.ranked_findings, self.recommendations, F.lit(trace_id))
 
+    def tree_hashes(self, trace_id: str) -> DataFrame:
+        """Export: hashes of the tenants' reports with their findings in order, at any size of a tenant."""
+        return report.report_tree_hashes(self.summary, self.ranked_findings, self.recommendations, F.lit(trace_id))
+
     def lines(self, trace_id: str, title: str = "Billing Report") -> DataFrame:
         envelopes = self.keep(self.envelopes(trace_id))
         return report.report_lines(self.summary, envelopes, self.ranked_findings, self.recommendations, title)

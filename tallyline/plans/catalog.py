@@ -402,7 +402,6 @@ def ledger_totals(i: Inputs) -> DataFrame:
     return i.ledger.totals.drop("version")
 
 
-# -- reconciliation ----------------------------------------------------------------
 @query
 def ledger_kept_subscriptions(i: Inputs) -> DataFrame:
     return i.kept_ledger.subscriptions
@@ -413,6 +412,7 @@ def ledger_kept_totals(i: Inputs) -> DataFrame:
     return i.kept_ledger.totals.drop("version")
 
 
+# -- reconciliation ----------------------------------------------------------------
 def _discrepancies(book: ledgers.Ledger) -> DataFrame:
     return reconcile.discrepancies(book.subscriptions, book.customers, book.heavy.of(ledgers.CUSTOMER))
 
@@ -440,6 +440,12 @@ def recon_report_hash(i: Inputs) -> DataFrame:
     return reconcile.report_hashes(book.totals, _discrepancies(book), START, END)
 
 
+@query
+def recon_tree_hash(i: Inputs) -> DataFrame:
+    book = i.stored_ledger
+    return reconcile.report_tree_hashes(book.totals, _discrepancies(book), START, END)
+
+
 # -- anomalies ---------------------------------------------------------------------
 @query
 def anomaly_duplicate_event(i: Inputs) -> DataFrame:
@@ -715,6 +721,11 @@ def report_envelope(i: Inputs) -> DataFrame:
     return i.analysis().envelopes(TRACE)
 
 
+@query
+def report_tree_hash(i: Inputs) -> DataFrame:
+    return i.analysis().tree_hashes(TRACE)
+
+
 @query
 def report_markdown_lines(i: Inputs) -> DataFrame:
     return i.analysis().lines(TRACE)
