@@ -138,6 +138,15 @@ def test_lenient_keeps_rejected_objects_in_both(spark):
     assert (strict.total, strict.valid, strict.invalid) == (3, 1, 2)
 
 
+def test_modes_parse_each_text_once(spark):
+    """What keeps or drops a row stays above the checks, so no text is built or parsed again to filter by its kind."""
+    checked = ing.check(raw_df(spark, GOOD, "42").select(*["tenant_id", "project_id", "ingest_seq"], F.upper("raw").alias("raw")))
+    for lenient in (False, True):
+        events = ing.events_of(checked, NOW, lenient).select("event_id", "validation_errors")
+        plan = events._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == 1 and plan.count("upper(") == 1
+
+
 def test_first_errors_is_per_tenant(spark):
     both = raw_df(spark, *["1"] * 5).unionByName(raw_df(spark, *["2"] * 2, tenant="t-2"))
     rows = ing.first_errors(ing.errors_of(ing.check(both)), 3).collect()

@@ -7,7 +7,7 @@ from conftest import DATA, END, REF, START, Book
 
 from pyspark.sql import functions as F
 
-from tallyline.functions import ordered, skew
+from tallyline.functions import materialise, ordered, skew
 from tallyline.functions.ordered import ordered_scan
 from tallyline.functions.ranking import ranked
 from tallyline.functions.thresholds import Thresholds
@@ -180,3 +180,16 @@ def test_copies_are_cut_before_the_shuffle(spark):
 def test_scans_read_only_needed_columns(spark):
     text = plan(all_queries()["cost_by_customer"](spark, DATA))
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double,props:string>" in text
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, monkeypatch, tmp_path):
+    """Few splits of many rows are cut to more tasks than there are cores; every row stays."""
+    path = str(tmp_path / "t.parquet")
+    spark.range(0, 10_000, 1, 1).write.parquet(path)
+    table = spark.read.parquet(path)
+    assert materialise.spread(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(materialise, "TASK_ROWS", 300)
+    tasks = materialise.spread(table)
+    sizes = [r.n for r in tasks.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert tasks.rdd.getNumPartitions() == 34 and sum(sizes) == 10_000 and max(sizes) < 600
+    assert same(tasks, table)
