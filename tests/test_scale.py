@@ -193,3 +193,26 @@ def test_spread_bounds_the_rows_of_a_task(spark, monkeypatch, tmp_path):
     sizes = [r.n for r in tasks.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert tasks.rdd.getNumPartitions() == 34 and sum(sizes) == 10_000 and max(sizes) < 600
     assert same(tasks, table)
+
+
+def test_report_derives_events_and_ledger_once(spark, monkeypatch):
+    """One derivation of the events, one pass for heavy keys and one ledger, which is that of the period's events."""
+    made = {"views": 0, "sketches": 0, "ledgers": 0}
+
+    def counted(name, fn):
+        def call(*args, **more):
+            made[name] += 1
+            return fn(*args, **more)
+
+        return call
+
+    i = Inputs(spark, DATA)
+    own = i.period_ledger.customers.collect()
+    monkeypatch.setattr(skew, "HEAVY_FLOOR", 1)
+    monkeypatch.setattr(derived, "billing_view", counted("views", derived.billing_view))
+    monkeypatch.setattr(skew, "key_sketches", counted("sketches", skew.key_sketches))
+    monkeypatch.setattr(ledgers.Ledger, "__init__", counted("ledgers", ledgers.Ledger.__init__))
+    result = Inputs(spark, DATA).analysis()
+    assert made == {"views": 1, "sketches": 1, "ledgers": 1}
+    assert sorted(map(str, result.ledger.customers.collect())) == sorted(map(str, own))
+    assert result.risks.count() == len(own)
